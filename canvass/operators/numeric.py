@@ -121,14 +121,15 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
         width = _bandwidth(F.col("_sd"), F.col("_iqr"), F.col("n"))
     else:
         width = F.lit(float(bandwidth))
-    stats = stats.withColumn("bw", width)
+    stats = stats.withColumns({"bw": width, "_low": low, "_step": step})
 
     same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(by, names, strict=True)]
     at = low + F.col("point") * ((high - low) / (points - 1))
+    centre = lambda c: F.col("_low") + c * F.col("_step")
     kernel = lambda c: F.exp(F.lit(-0.5) * F.pow((F.col("x") - c) / F.col("bw"), F.lit(2.0)))
     total = F.aggregate("_cells", F.lit(0.0), lambda acc, w: acc
-                        + (w["_n"] - w["_up"]) * kernel(low + w["_cell"] * step)
-                        + w["_up"] * kernel(low + (w["_cell"] + 1) * step))
+                        + (w["_n"] - w["_up"]) * kernel(centre(w["_cell"]))
+                        + w["_up"] * kernel(centre(w["_cell"] + 1)))
     root = (2 * 3.141592653589793) ** 0.5
     return (
         packed.join(stats, same)

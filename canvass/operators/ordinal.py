@@ -64,7 +64,7 @@ def reshape_draws(wide: DataFrame, names: list[str], kinds: Mapping[str, str], g
         chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
     # Averages per column first: the long form then has one row per column instead of per draw.
     means = wide.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in names])
-    long = to_long(means, [], [f"`{c}`" for c in names], "term", "value")
+    long = to_long(means, [], names, "term", "value")
     tagged = long.withColumns({"kind": chain, "grp": F.regexp_extract("term", group_pattern, 1)})
     return to_wide(tagged, ["grp"], "kind", "value", list(kinds), F.avg)
 

@@ -16,8 +16,8 @@ def to_long(df: DataFrame, key: list[str], names: Iterable[str], name: str = "qu
     names = list(names)
     types = {f.name: f.dataType for f in df.schema.fields}
     if len({types[n].simpleString() for n in names}) > 1:
-        df = df.withColumns({n: F.col(n).cast("string") for n in names})
-    return df.unpivot(key, names, name, value)
+        df = df.withColumns({n: F.col(f"`{n}`").cast("string") for n in names})
+    return df.unpivot(key, [F.col(f"`{n}`") for n in names], name, value)
 
 
 def to_long_measures(df: DataFrame, key: list[str], measures: list[str], sep: str = "_", name: str = "question") -> DataFrame:

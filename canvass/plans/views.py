@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The options of the multi-response question, in order, and the two-part option texts.
+# Labels, cities and the options of the multi-response question, in order.
+GENDER = {1: "Female", 2: "Male", 3: "Another gender identity"}
+RATING = {1: "Very poor", 2: "Poor", 3: "Fair", 4: "Good", 5: "Very good"}
+CITIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 OPTIONS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 SPEND = [f"Q6_{k}" for k in range(1, 6)]
 MULTI = [f"Q12_{k}" for k in range(1, 7)]
@@ -98,6 +101,28 @@ def battery(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def census(spark: SparkSession, d: str) -> DataFrame:
+    """Census responses with spending, multi-response group and battery.
+
+    All three question groups come out of one grouping of the order lines.
+    """
+    k = F.col("l_linenumber")
+    lines = (
+        table(spark, d, "lineitem")
+        .select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+        .join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    )
+    answers = lines.groupBy(F.col("l_orderkey").alias("line_id")).agg(
+        *[F.sum(F.when(k == i, cents("l_extendedprice"))).alias(c) for i, c in enumerate(SPEND, 1)],
+        *[F.max(F.when(F.col("p_type") == o, o)).alias(c) for c, o in zip(MULTI, OPTIONS, strict=True)],
+        *[F.max(F.when(k == i, F.col("l_returnflag"))).alias(c) for i, c in enumerate(BATTERY, 1)],
+    ).withColumns({
+        c: F.when(F.col("line_id") % 7 == i, F.col(c) * 0.0).otherwise(F.col(c) / 100.0)
+        for i, c in enumerate(SPEND, 1)
+    })
+    return respondents(spark, d).join(answers, F.col("id") == F.col("line_id"), "left").drop("line_id")
+
+
 def cell_grid(spark: SparkSession, d: str) -> DataFrame:
     """Two-level grid: order × medium × place."""
     return (
