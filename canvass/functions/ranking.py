@@ -1,8 +1,9 @@
 """Row numbers and group ids over whole tables, without one task holding a whole group.
 
-A window over a large group sorts the group in one task. Here the rows are range-partitioned by
-(group, order), so a hot group spreads over many partitions; each partition numbers its own rows and
-adds the count of the rows before it.
+A window over a large group sorts the group in one task. Here the rows are range-partitioned and
+sorted by (group, order), so a hot group spreads over many partitions. A row's number is its place in
+its partition plus the group's rows in earlier partitions; only one count per group and partition is
+shuffled for that.
 """
 
 from __future__ import annotations
@@ -12,27 +13,27 @@ from pyspark.sql import functions as F
 
 from canvass.session import materialize
 
+# Fixed value: monotonically_increasing_id keeps the partition above bit 33, the place below it.
+PLACE_BITS = 33
+
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row") -> DataFrame:
     """Number rows from 1 within ``by`` in the given order.
 
-    ``by + order`` should identify a row, otherwise ties are numbered arbitrarily. The partition ids
-    are written down once, so a lost executor cannot renumber rows halfway.
+    ``by + order`` should identify a row, otherwise ties are numbered arbitrarily. Partition and
+    place are written down once, so a lost executor cannot renumber rows halfway.
     """
-    ranged = materialize(
-        df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    sizes = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    place = F.monotonically_increasing_id()
+    placed = materialize(
+        df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_place", place), "numbered"
+    ).withColumn("_part", F.shiftright("_place", PLACE_BITS))
+    sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(k).alias(f"_of{i}") for i, k in enumerate([*by, "_part"])],
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate([*by, "_part"])]
-    inside = Window.partitionBy(*by, "_part").orderBy(*order)
-    return (
-        ranged.join(offsets, same, "left")
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .select(*df.columns, name)
-    )
+    return placed.join(offsets, same, "left").select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def group_ids(df: DataFrame, col: str, name: str = "group_id") -> DataFrame:

@@ -199,8 +199,8 @@ def ordered(df: DataFrame, levels: Mapping[str, list[str]], *names: str) -> Data
 
 def with_caption(df: DataFrame, captions: DataFrame, question: str = "question") -> DataFrame:
     """Attach the caption of each row's question."""
-    part = captions.select(F.col("question").alias("_q"), F.col("caption"))
-    return df.join(part, F.col(question) == F.col("_q"), "left").drop("_q")
+    texts = {r["question"]: r["caption"] for r in small_rows(captions)}
+    return df.withColumn("caption", lookup(F.col(question), texts))
 
 
 def string_columns(df: DataFrame) -> list[str]:

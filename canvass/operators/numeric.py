@@ -57,19 +57,25 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 20, lo: float
         values = values.where(F.col("_x") >= lo)
     if hi is not None:
         values = values.where(F.col("_x") <= hi)
-    seen = values.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    low = F.lit(float(lo)) if lo is not None else seen["lo"]
-    high = F.lit(float(hi)) if hi is not None else seen["hi"]
-    width = F.when(high > low, (high - low) / (bins - 1)).otherwise(F.lit(0.1))
-    origin = width / 2 + F.floor((low - width / 2) / width) * width
+    layout = (
+        values.agg((F.lit(float(lo)) if lo is not None else F.min("_x")).alias("lo"),
+                   (F.lit(float(hi)) if hi is not None else F.max("_x")).alias("hi"))
+        .withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / (bins - 1)).otherwise(0.1))
+        .select(F.struct("width", (
+            F.col("width") / 2 + F.floor((F.col("lo") - F.col("width") / 2) / F.col("width")) * F.col("width")
+        ).alias("origin"))).scalar()
+    )
+    width, origin = layout["width"], layout["origin"]
 
     amount = F.sum("_w").cast("bigint") if weight else F.count(F.lit(1))
     placed = F.greatest(F.ceil((F.col("_x") - origin) / width - 1e-8) - 1, F.lit(0)).cast("int")
     counts = values.groupBy(*by, placed.alias("_bin")).agg(amount.alias("_n"))
     frame = (
         counts.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.sum("_n").alias("_total"))
+        .withColumns({"_width": width, "_origin": origin})
         .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     )
+    width, origin = F.col("_width"), F.col("_origin")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("bin") == F.col("_bin")]
     n = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
     out = [*[F.col(f"_{k}").alias(k) for k in by], F.col("bin"),
@@ -98,9 +104,10 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
         return density(df.withColumn("_all", F.lit(0)), ["_all"], col, points, cells, bandwidth).drop("_all")
     x = F.col(col).cast("double")
     values = df.where(x.isNotNull()).select(*by, x.alias("_x"))
-    seen = values.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    low, high = seen["lo"], seen["hi"]
-    step = F.when(high > low, (high - low) / cells).otherwise(F.lit(1.0))
+    span = F.col("hi") - F.col("lo")
+    layout = values.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).select(F.struct(
+        "lo", F.when(span > 0, span / cells).otherwise(1.0).alias("step"), (span / (points - 1)).alias("pace"))).scalar()
+    low, step = layout["lo"], layout["step"]
 
     place = (F.col("_x") - low) / step
     cell = F.least(F.floor(place), F.lit(cells - 1)).cast("int")
@@ -121,10 +128,10 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
         width = _bandwidth(F.col("_sd"), F.col("_iqr"), F.col("n"))
     else:
         width = F.lit(float(bandwidth))
-    stats = stats.withColumns({"bw": width, "_low": low, "_step": step})
+    stats = stats.withColumns({"bw": width, "_low": low, "_step": step, "_pace": layout["pace"]})
 
     same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(by, names, strict=True)]
-    at = low + F.col("point") * ((high - low) / (points - 1))
+    at = F.col("_low") + F.col("point") * F.col("_pace")
     centre = lambda c: F.col("_low") + c * F.col("_step")
     kernel = lambda c: F.exp(F.lit(-0.5) * F.pow((F.col("x") - c) / F.col("bw"), F.lit(2.0)))
     total = F.aggregate("_cells", F.lit(0.0), lambda acc, w: acc

@@ -74,21 +74,25 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     """
     of = {c: q for q, names in questions.items() for c in names}
     bases = {f"_base_{q}": names for q, names in questions.items() if len(names) > 1}
-    narrow = df.select(
-        *by, *[F.col(c).cast("string").alias(c) for c in of],
-        *[F.when(any_answered(names), F.lit("")).alias(b) for b, names in bases.items()])
-    entries = narrow.unpivot(by, [*of, *bases], "_item", "value").where(F.col("value").isNotNull())
+    if by and all_token is None:
+        df = df.na.drop("any", subset=by)
+    # An array of entries rather than unpivot: Spark does not recognise two equal expansions as the
+    # same, so the branches below would not share their shuffle.
+    entry = lambda name, value: F.struct(F.lit(name).alias("_item"), value.alias("value"))
+    entries = df.select(*by, F.inline(F.array(
+        *[entry(c, F.col(c).cast("string")) for c in of],
+        *[entry(b, F.when(any_answered(names), F.lit(""))) for b, names in bases.items()],
+    ))).where(F.col("value").isNotNull())
     cells = entries.groupBy(*by, "_item", "value").agg(F.count(F.lit(1)).alias("n"))
     if all_token is not None:
-        cells = with_all(cells, by[0], [*by[1:], "_item", "value"], all_token)
+        cells = with_all(cells, by[0], [*by[1:], "_item", "value"], all_token).na.drop("any", subset=by)
 
     question = lookup(F.col("_item"), {**of, **{f"_base_{q}": q for q in questions}})
     kept = [*by, "question", *(["_item"] if items else []), "value"]
     # The marker is an aggregate, not a key: a filter on it stays above the shuffle that both
     # branches below share.
     counts = (
-        cells.withColumn("question", question).na.drop("any", subset=by or None)
-        .groupBy(*kept)
+        cells.withColumn("question", question).groupBy(*kept)
         .agg(F.sum(F.when(~F.col("_item").startswith("_base_"), F.col("n"))).alias("n"),
              F.sum(F.when(F.col("_item").startswith("_base_"), F.col("n"))).alias("_base"))
     )

@@ -167,7 +167,7 @@ DASH_TOTALS = f"""src AS (SELECT city, Q6_1 + Q6_2 + Q6_3 + Q6_4 + Q6_5 x FROM r
 @query("B9_dashboard_spending", f"""WITH {r.RESP}, {DASH_TOTALS} SELECT city, count(*) n, round(avg(x), 4) mean, round(median(x), 4) median
   FROM twice WHERE x IS NOT NULL GROUP BY 1""")
 def dashboard_spending(spark, d):
-    table = rp.dashboard_spending(v.resp(spark, d), PARAMS, v.SPEND, "All Cities")["summary"]
+    table = rp.dashboard_spending(v.resp(spark, d), PARAMS, v.SPEND, "All Cities")
     return rounded(table, 4, "mean", "median")
 
 
@@ -178,7 +178,7 @@ def dashboard_spending(spark, d):
   SELECT f.city, f.bin, round(origin + f.bin * width, 4) xmin, round(origin + (f.bin + 1) * width, 4) xmax, CAST(coalesce(b.n, 0) AS BIGINT) n,
   round(coalesce(b.n, 0) / (total * width), 12) density FROM f CROSS JOIN o LEFT JOIN b ON f.city = b.city AND f.bin = b.bin""")
 def dashboard_histogram(spark, d):
-    table = rp.dashboard_spending(v.resp(spark, d), PARAMS, v.SPEND, "All Cities")["histogram"]
+    table = rp.dashboard_distribution(v.resp(spark, d), PARAMS, v.SPEND, "All Cities")
     return rounded(rounded(table, 4, "xmin", "xmax"), 12, "density")
 
 

@@ -118,21 +118,30 @@ def dashboard_answers(df: DataFrame, params: SurveyParams, questions: Mapping[st
         pct_label("n", "answered").alias("label"), n_label(params.group_col, "answered").alias("facet"))
 
 
-def dashboard_spending(df: DataFrame, params: SurveyParams, spend: list[str], all_token: str,
-                       strict: bool = True) -> dict[str, DataFrame]:
-    """Spending table, histogram and density of the totals per chosen group."""
-    group = params.group_col
+def dashboard_totals(df: DataFrame, params: SurveyParams, spend: list[str], strict: bool = True) -> DataFrame:
+    """Spending totals of the wanted genders, in all groups."""
     wanted = df.where(F.col(params.gender_col).isin(params.gender_list()))
     if not strict:
         wanted = answered_any(wanted, spend)
-    totals = wanted.select(group, row_total(spend, strict).alias("total")).na.drop()
-    summary = spend_summary(totals, group, "total", all_token)
-    own = keep_in(reshape.explode_all(totals, group, all_token), group, params.groups)
-    return {
-        "summary": keep_in(summary, group, params.groups),
-        "histogram": histogram(own, [group], "total", bins=20, density=True),
-        "density": density(own, [group], "total"),
-    }
+    return wanted.select(params.group_col, row_total(spend, strict).alias("total")).na.drop()
+
+
+def dashboard_spending(df: DataFrame, params: SurveyParams, spend: list[str], all_token: str,
+                       strict: bool = True) -> DataFrame:
+    """Spending table: mean and median of the totals per chosen group."""
+    totals = dashboard_totals(df, params, spend, strict)
+    return keep_in(spend_summary(totals, params.group_col, "total", all_token), params.group_col, params.groups)
+
+
+def dashboard_distribution(df: DataFrame, params: SurveyParams, spend: list[str], all_token: str, strict: bool = True,
+                           curve: bool = False, **options) -> DataFrame:
+    """Histogram (or density curve) of the totals per chosen group, over a shared range."""
+    group = params.group_col
+    totals = reshape.explode_all(dashboard_totals(df, params, spend, strict), group, all_token)
+    shown = keep_in(totals, group, params.groups)
+    if curve:
+        return density(shown, [group], "total", **options)
+    return histogram(shown, [group], "total", **{"bins": 20, "density": True, **options})
 
 
 def statistic_series(values: DataFrame, codes: DataFrame, coded: list[str], keep: Mapping[str, list[str]]) -> DataFrame:
