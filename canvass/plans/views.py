@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Labels, cities and the options of the multi-response question, in order.
 GENDER = {1: "Female", 2: "Male", 3: "Another gender identity"}
@@ -19,23 +20,22 @@ MULTI = [f"Q12_{k}" for k in range(1, 7)]
 BATTERY = [f"Q17_{k}" for k in range(1, 8)]
 
 
+# Schemas already read from file footers, so that a report over many views lists and opens files once.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def cents(amount: str) -> Column:
     return F.round(F.col(amount) * 100).cast("bigint")
 
 
-def line(spark: SparkSession, d: str) -> DataFrame:
-    """Order × line number with amount and flag."""
-    return (
-        table(spark, d, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"))
-        .agg((F.sum(cents("l_extendedprice")) / 100.0).alias("amt"), F.max("l_returnflag").alias("flag"))
-    )
-
-
 def places(spark: SparkSession, d: str) -> DataFrame:
     """Customers with city (region), country (nation) and segment."""
     nation = table(spark, d, "nation").join(
@@ -82,22 +82,40 @@ def resp(spark: SparkSession, d: str) -> DataFrame:
         spending(spark, d), F.col("id") == F.col("line_id"), "left").drop("line_id")
 
 
+# A maximum over text would make Spark sort all order lines before it can group them; over numbers and
+# truth values it groups in hash maps and shuffles one short row per order. Text is restored after.
+
+def _ticks() -> list[Column]:
+    return [F.max(F.col("p_type") == o).alias(c) for c, o in zip(MULTI, OPTIONS, strict=True)]
+
+
+def _tick_labels() -> dict[str, Column]:
+    return {c: F.when(F.col(c), F.lit(o)) for c, o in zip(MULTI, OPTIONS, strict=True)}
+
+
+def _item_codes() -> list[Column]:
+    k = F.col("l_linenumber")
+    return [F.max(F.when(k == i, F.ascii("l_returnflag"))).alias(c) for i, c in enumerate(BATTERY, 1)]
+
+
+def _item_answers() -> dict[str, Column]:
+    return {c: F.char(F.col(c)) for c in BATTERY}
+
+
 def multi(spark: SparkSession, d: str) -> DataFrame:
     """Multi-response question: an option's label if ticked, else null."""
-    ticked = [F.max(F.when(F.col("p_type") == o, o)).alias(c) for c, o in zip(MULTI, OPTIONS, strict=True)]
     return (
         table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
         .join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("id")).agg(*ticked)
+        .groupBy(F.col("l_orderkey").alias("id")).agg(*_ticks()).withColumns(_tick_labels())
     )
 
 
 def battery(spark: SparkSession, d: str) -> DataFrame:
     """Item battery with answers A, N and R."""
-    k = F.col("l_linenumber")
     return (
-        table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
-        .agg(*[F.max(F.when(k == i, F.col("l_returnflag"))).alias(c) for i, c in enumerate(BATTERY, 1)])
+        table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(*_item_codes())
+        .withColumns(_item_answers())
     )
 
 
@@ -114,12 +132,11 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     )
     answers = lines.groupBy(F.col("l_orderkey").alias("line_id")).agg(
         *[F.sum(F.when(k == i, cents("l_extendedprice"))).alias(c) for i, c in enumerate(SPEND, 1)],
-        *[F.max(F.when(F.col("p_type") == o, o)).alias(c) for c, o in zip(MULTI, OPTIONS, strict=True)],
-        *[F.max(F.when(k == i, F.col("l_returnflag"))).alias(c) for i, c in enumerate(BATTERY, 1)],
+        *_ticks(), *_item_codes(),
     ).withColumns({
         c: F.when(F.col("line_id") % 7 == i, F.col(c) * 0.0).otherwise(F.col(c) / 100.0)
         for i, c in enumerate(SPEND, 1)
-    })
+    } | _tick_labels() | _item_answers())
     return respondents(spark, d).join(answers, F.col("id") == F.col("line_id"), "left").drop("line_id")
 
 
