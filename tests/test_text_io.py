@@ -8,14 +8,13 @@ from canvass.operators.filters import SurveyParams
 from canvass.sources import readers, writers
 
 
-def shout(texts):
-    if "bad" in texts:
-        raise RuntimeError("refused")
-    return [t.upper() for t in texts]
-
-
 @pytest.mark.parametrize("parts, batch", [(1, 2), (4, 3), (2, 100)])
 def test_failures_touch_only_their_answer(spark, parts, batch):
+    def shout(texts):
+        if "bad" in texts:
+            raise RuntimeError("refused")
+        return [t.upper() for t in texts]
+
     df = spark.createDataFrame([(i, "bad" if i == 3 else f"t{i}") for i in range(9)] + [(9, None)], "id int, t string")
     got = {r.id: (r.result, r.error) for r in tx.enrich_text(df.repartition(parts), "id", "t", shout, batch).collect()}
     assert got[3] == (None, "refused")
