@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canvass.plans.catalog import (  # noqa: F401 - importing registers the queries
-    answers, clean, harmonise, measures, model, reporting, shapes, storage,
+    answers, clean, functions, harmonise, measures, model, reporting, shapes, storage,
 )
 from canvass.plans.catalog.registry import QUERIES, SQL
 

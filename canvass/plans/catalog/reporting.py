@@ -20,6 +20,7 @@ from canvass.plans.catalog.clean import LABEL_SQL, Q6_MISSING, Q12_MISSING
 from canvass.plans.catalog.measures import rounded
 from canvass.plans.catalog.registry import query
 from canvass.plans.catalog.storage import QUESTIONS, value_levels
+from canvass.plans.instruments import Instrument, dashboard, spending_table
 
 ANSWERS = {"gender": ["gender_code"], "rating": ["rating"], "Q12": v.MULTI}
 
@@ -263,3 +264,30 @@ def age_shares(spark, d):
     df = complete_cases(v.respondents(spark, d).select(
         "city", age_band(age("birth_year", 2024), "broad").alias("age_group")))
     return rp.coarsen_share(crosstab(df, ["city"], "age_group"), "n", ["city"], ["city", "age_group"])
+
+
+VIEWS = Instrument(
+    group="city", all_token="All Cities", gender="gender_code", genders=(1, 2, 3), singles=("gender_code", "rating"),
+    groups=("Q12",), batteries=("Q17",), spending={"total": tuple(v.SPEND)}, strict_totals=False)
+SHOWN = ("EUROPE", "All Cities")
+TWICE = """f AS (SELECT * FROM census WHERE gender_code IN (1, 2, 3)), twice AS (SELECT * FROM f UNION ALL SELECT * REPLACE ('All Cities' AS city) FROM f)"""
+
+
+@query("B10_dashboard", f"""WITH {r.CENSUS}, {TWICE}, l AS (
+  SELECT id, city, 'gender_code' question, NULL item, CAST(gender_code AS VARCHAR) "value" FROM twice WHERE gender_code IS NOT NULL
+  UNION ALL SELECT id, city, 'rating', NULL, CAST(rating AS VARCHAR) FROM twice WHERE rating IS NOT NULL
+  UNION ALL SELECT id, city, 'Q12', NULL, "value" FROM ({r.long_sql('twice', 'id, city', v.MULTI)}) a
+  UNION ALL SELECT id, city, 'Q17', CASE item WHEN 'Q17_1' THEN 'Seen a ballet' WHEN 'Q17_2' THEN 'Been to the cinema' ELSE item END, "value"
+    FROM ({r.long_sql('twice', 'id, city', v.BATTERY)}) b),
+  t AS (SELECT city, question, count(DISTINCT id) answered, count(*) responses FROM l GROUP BY 1, 2)
+  SELECT l.city, l.question, item, "value", count(*) n, count(*) * 100e0 / any_value(answered) pct_cases, count(*) * 100e0 / any_value(responses) pct_responses
+  FROM l JOIN t ON l.city = t.city AND l.question = t.question WHERE l.city IN ('EUROPE', 'All Cities') GROUP BY 1, 2, 3, 4""")
+def whole_dashboard(spark, d):
+    return dashboard(v.census(spark, d), VIEWS, SHOWN, item_texts=BATTERY_TEXTS)
+
+
+@query("B10_spending_table", f"""WITH {r.RESP}, f AS (SELECT city, {' + '.join(f'coalesce({c}, 0)' for c in v.SPEND)} x FROM resp WHERE gender_code IN (1, 2) AND {Q6_MISSING} = 0),
+  twice AS (SELECT * FROM f WHERE city = 'EUROPE' UNION ALL SELECT 'All Cities', x FROM f)
+  SELECT city, count(*) n, round(avg(x), 4) mean, round(median(x), 4) median FROM twice GROUP BY 1""")
+def spending(spark, d):
+    return rounded(spending_table(v.resp(spark, d), VIEWS, "total", SHOWN, (1, 2)), 4, "mean", "median")
