@@ -1,10 +1,10 @@
 """Exact quantiles of very large groups.
 
-The built-in exact percentile gathers every distinct value of a group in one task. Here equal values
-are counted first (the shuffle key holds the value, so a hot group spreads out). The buckets that hold
-the wanted ranks are then found from small histograms: first by sign, power of two and 4 096 equal
-parts of each power, then by 65 536 equal parts of the found bucket. At most about 2^24 different
-doubles can share a final bucket, and only those are ranked by value.
+The built-in exact percentile gathers every distinct value of a group in one task. Here a first pass
+counts values, map-side, into buckets by sign, power of two and 4 096 equal parts of each power. A
+second pass takes only the values of the buckets that hold the wanted ranks. Among those, 65 536 equal
+parts narrow the search again, so that at most about 2^24 different doubles are ranked by value in one
+place. No shuffle carries more than a histogram or the values of the found buckets.
 """
 
 from __future__ import annotations
@@ -16,23 +16,20 @@ PARTS_OF_POWER = 4_096
 PARTS_OF_BUCKET = 65_536
 
 
-def value_counts(df: DataFrame, by: list[str], col: str, weight: str | None = None) -> DataFrame:
-    """Distinct values per group with their counts, in ``_v`` and ``_n``."""
-    n = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
-    return (
-        df.where(F.col(col).isNotNull())
-        .groupBy(*by, F.col(col).cast("double").alias("_v"))
-        .agg(n.alias("_n"))
-    )
+def weighted_values(df: DataFrame, by: list[str], col: str, weight: str | None = None) -> DataFrame:
+    """Keys, value ``_v`` and how often it counts, ``_n``; null values drop out."""
+    n = F.col(weight) if weight else F.lit(1)
+    return df.where(F.col(col).isNotNull()).select(
+        *by, F.col(col).cast("double").alias("_v"), n.cast("bigint").alias("_n"))
 
 
-def exact_quantiles(counts: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    """Interpolated quantiles (the default rule of R) per group from :func:`value_counts`.
+def exact_quantiles(values: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Interpolated quantiles (the default rule of R) per group of :func:`weighted_values`.
 
     Returns the keys, ``n`` and ``quantiles``, an array in the order of ``probs``.
     """
     keys = [f"_k{i}" for i in range(len(by))]
-    keyed = counts.select(
+    keyed = values.select(
         *[F.col(k).alias(a) for k, a in zip(by, keys, strict=True)], "_v", "_n",
         _magnitude(F.col("_v")).alias("_b0"))
     low = [F.floor((F.col("n") - 1) * p).cast("bigint") for p in probs]
@@ -46,15 +43,17 @@ def exact_quantiles(counts: DataFrame, by: list[str], probs: list[float]) -> Dat
     )
     picked = _locate(histogram, keys, "_b0")
 
-    finer = _members(keyed, picked, keys).withColumn("_b1", _part())
-    path = [*keys, "_b0", "_b1"]
-    kept = [F.first(c).alias(c) for c in ("n", "_ranks", "_base")]
-    outer = [F.first("_lo").alias("_lo0"), F.first("_hi").alias("_hi0")]
-    histogram = finer.groupBy(*path).agg(n, *kept, *outer)
-    picked = _locate(histogram, path[:-1], "_b1").withColumnsRenamed({"_lo0": "_lo", "_hi0": "_hi"})
+    # Both steps below use this table. What it keeps of its bucket is one struct, so that neither step
+    # prunes it differently and both share its shuffle.
+    bucket = F.first(F.struct("_lo", "_hi", "n", "_ranks", "_base")).alias("_bucket")
+    near = _members(keyed, picked, keys).groupBy(*keys, "_b0", "_v").agg(n, bucket).withColumn(
+        "_b1", _part(F.col("_v"), F.col("_bucket._lo"), F.col("_bucket._hi")))
 
-    last = _members(keyed, picked, keys).where(_part() == F.col("_b1"))
-    values = (
+    path = [*keys, "_b0", "_b1"]
+    histogram = near.groupBy(*path).agg(n, F.first("_bucket").alias("_bucket")).select(*path, "_n", "_bucket.*")
+    picked = _locate(histogram, path[:-1], "_b1")
+    last = _members(near.select(*path, "_v", "_n"), picked, path)
+    found = (
         _locate(last, path, "_v")
         .select(*keys, "n", "_v", F.explode("_ranks").alias("_rank"))
         .groupBy(*keys, "n")
@@ -65,7 +64,7 @@ def exact_quantiles(counts: DataFrame, by: list[str], probs: list[float]) -> Dat
     for p, r in zip(probs, low, strict=True):
         below, above = at[r], at[F.least(r + 1, F.col("n") - 1)]
         quantiles.append(below + ((F.col("n") - 1) * p - r) * (above - below))
-    return values.select(
+    return found.select(
         *[F.col(a).alias(k) for k, a in zip(by, keys, strict=True)], "n",
         F.array(*quantiles).alias("quantiles"))
 
@@ -78,9 +77,8 @@ def _magnitude(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, bucket).otherwise(-bucket)
 
 
-def _part() -> Column:
+def _part(v: Column, lo: Column, hi: Column) -> Column:
     """Bucket number of the value among equal parts of its enclosing bucket."""
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     return F.when(hi > lo, F.floor((v - lo) / (hi - lo) * PARTS_OF_BUCKET)).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -99,11 +97,9 @@ def _locate(buckets: DataFrame, within: list[str], order: str) -> DataFrame:
     )
 
 
-def _members(keyed: DataFrame, picked: DataFrame, keys: list[str]) -> DataFrame:
-    """Counted values inside the picked buckets.
-
-    Always read from the counted values, so that every step reuses the one shuffle behind them.
-    """
-    target = picked.withColumnsRenamed({k: f"_t{k}" for k in [*keys, "_b0"]})
-    same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in [*keys, "_b0"]]
-    return keyed.join(target, same, "inner").drop(*[f"_t{k}" for k in [*keys, "_b0"]])
+def _members(values: DataFrame, picked: DataFrame, path: list[str]) -> DataFrame:
+    """Values inside the picked buckets; those are few, so this becomes a broadcast join."""
+    path = path if "_b0" in path else [*path, "_b0"]
+    target = picked.withColumnsRenamed({k: f"_t{k}" for k in path})
+    same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in path]
+    return values.join(target, same, "inner").drop(*[f"_t{k}" for k in path])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.quantiles import exact_quantiles, value_counts
+from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.operators.reshape import explode_all
 
 
@@ -13,22 +13,17 @@ def spend_summary(df: DataFrame, by: str, total: str, all_token: str | None = No
                   approximate: bool = False) -> DataFrame:
     """Number, mean and median of a total per group, and over all groups under the token.
 
-    Amounts are counted by value first, so a hot group spreads over the cluster and the "all" group
-    is built from counted amounts. ``approximate`` takes the median from a bounded sketch in one pass.
+    The median is exact; no task holds a whole group. ``approximate`` takes it from a bounded sketch
+    in one pass.
     """
+    rows = df.select(by, total).where(F.col(total).isNotNull())
+    rows = (explode_all(rows, by, all_token) if all_token is not None else rows).where(F.col(by).isNotNull())
     if approximate:
-        rows = df.select(by, total)
-        rows = explode_all(rows, by, all_token) if all_token is not None else rows
-        return rows.na.drop().groupBy(by).agg(
+        return rows.groupBy(by).agg(
             F.count(F.lit(1)).alias("n"), F.avg(total).alias("mean"),
             F.percentile_approx(total, 0.5).alias("median"))
-    counts = value_counts(df, [by], total)
-    if all_token is not None:
-        counts = explode_all(counts, by, all_token).groupBy(by, "_v").agg(F.sum("_n").alias("_n"))
-    counts = counts.where(F.col(by).isNotNull())
-    means = counts.groupBy(F.col(by).alias("_by")).agg(
-        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
-    middle = exact_quantiles(counts, [by], [0.5])
+    means = rows.groupBy(F.col(by).alias("_by")).agg(F.avg(total).alias("mean"))
+    middle = exact_quantiles(weighted_values(rows, [by], total), [by], [0.5])
     return middle.join(means, F.col(by) == F.col("_by")).select(
         by, "n", "mean", F.col("quantiles")[0].alias("median"))
 
@@ -120,7 +115,7 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
     stats = values.groupBy(*[F.col(k).alias(a) for k, a in zip(by, names, strict=True)]).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("_sd"))
     if bandwidth is None:
-        spread = exact_quantiles(value_counts(values, by, "_x"), by, [0.25, 0.75]).select(
+        spread = exact_quantiles(weighted_values(values, by, "_x"), by, [0.25, 0.75]).select(
             *[F.col(k).alias(f"_{a}") for k, a in zip(by, names, strict=True)],
             (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("_iqr"))
         same = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in names]

@@ -19,7 +19,7 @@ from canvass.functions.scalars import logistic_density, logit
 from canvass.operators.codebook import small_rows
 from canvass.operators.reshape import expand_seq, to_long, to_wide
 from canvass.operators.tabulate import cumulative_share
-from canvass.functions.quantiles import exact_quantiles, value_counts
+from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.session import materialize
 
 # Prior means of the four thresholds of a five-point answer (equal probabilities).
@@ -39,8 +39,7 @@ def cumulative_logits(df: DataFrame, y: str, by: list[str]) -> DataFrame:
 
 def summarise_draws(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and the 2.5, 25, 75 and 97.5 percent points of the draws per group."""
-    counts = value_counts(draws, keys, value)
-    points = exact_quantiles(counts, keys, [0.025, 0.25, 0.75, 0.975])
+    points = exact_quantiles(weighted_values(draws, keys, value), keys, [0.025, 0.25, 0.75, 0.975])
     means = draws.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg(value).alias("est"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     q = F.col("quantiles")

@@ -26,6 +26,17 @@ def with_total(df: DataFrame, value: str, by: list[str], name: str = "total") ->
     return df.join(totals, same, "left").select(*df.columns, name)
 
 
+def _known(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows without nulls in the columns.
+
+    Plain null tests rather than ``na.drop``: Spark merges and places them alike wherever a branch
+    repeats, which keeps repeated branches equal and their shuffle shared.
+    """
+    for n in names:
+        df = df.where(F.col(n).isNotNull())
+    return df
+
+
 def share(df: DataFrame, value: str, by: list[str], name: str = "share") -> DataFrame:
     """``value`` divided by its sum within ``by``."""
     return with_total(df, value, by, "_total").withColumn(
@@ -42,7 +53,7 @@ def crosstab(df: DataFrame, by: list[str], question: str, all_token: str | None
     counts = df.groupBy(*by, question).agg(F.count(F.lit(1)).alias("n"))
     if all_token is not None:
         counts = with_all(counts, by[0], [*by[1:], question], all_token)
-    return counts.na.drop("any", subset=[*by, question])
+    return _known(counts, [*by, question])
 
 
 def freq(df: DataFrame, question: str) -> DataFrame:
@@ -74,8 +85,8 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     """
     of = {c: q for q, names in questions.items() for c in names}
     bases = {f"_base_{q}": names for q, names in questions.items() if len(names) > 1}
-    if by and all_token is None:
-        df = df.na.drop("any", subset=by)
+    if all_token is None:
+        df = _known(df, by)
     # An array of entries rather than unpivot: Spark does not recognise two equal expansions as the
     # same, so the branches below would not share their shuffle.
     entry = lambda name, value: F.struct(F.lit(name).alias("_item"), value.alias("value"))
@@ -85,7 +96,7 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     ))).where(F.col("value").isNotNull())
     cells = entries.groupBy(*by, "_item", "value").agg(F.count(F.lit(1)).alias("n"))
     if all_token is not None:
-        cells = with_all(cells, by[0], [*by[1:], "_item", "value"], all_token).na.drop("any", subset=by)
+        cells = _known(with_all(cells, by[0], [*by[1:], "_item", "value"], all_token), by)
 
     question = lookup(F.col("_item"), {**of, **{f"_base_{q}": q for q in questions}})
     kept = [*by, "question", *(["_item"] if items else []), "value"]

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from canvass.functions.quantiles import exact_quantiles, value_counts
+from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.functions.ranking import group_ids, number_rows
 from canvass.operators import numeric as nm
 from canvass.operators.text import batches
@@ -26,7 +26,7 @@ def amounts(spark):
 
 
 def test_exact_quantiles(spark, amounts):
-    got = exact_quantiles(value_counts(spark.createDataFrame(amounts), ["g"], "x"), ["g"], PROBS).collect()
+    got = exact_quantiles(weighted_values(spark.createDataFrame(amounts), ["g"], "x"), ["g"], PROBS).collect()
     assert {r.g for r in got} == set(amounts.g)
     for r in got:
         x = amounts[amounts.g == r.g].x
@@ -36,7 +36,7 @@ def test_exact_quantiles(spark, amounts):
 
 def test_quantiles_of_weighted_values_and_without_groups(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 1), (10.0, 1)], "x double, w int")
-    counts = value_counts(df, [], "x", weight="w")
+    counts = weighted_values(df, [], "x", weight="w")
     assert exact_quantiles(counts, [], [0.5]).first().quantiles == [1.0]
 
 
