@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LITERAL_LIMIT = 20_000
+# Rows of a codebook sheet that may be read to the driver, and pairs that may become a literal map (a
+# map literal is searched from front to back for every row; longer code lists are joined).
+ROW_LIMIT = 20_000
+LITERAL_LIMIT = 500
 
 SHEETS = {
     "crosswalk": "raw string, clean string",
@@ -27,7 +30,7 @@ SHEETS = {
 }
 
 
-def small_rows(df: DataFrame, limit: int = LITERAL_LIMIT) -> list:
+def small_rows(df: DataFrame, limit: int = ROW_LIMIT) -> list:
     """Rows of a dictionary on the driver; refuses a table beyond the limit."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
@@ -144,8 +147,15 @@ def variable_labels(df: DataFrame) -> DataFrame:
 
 
 def decode(df: DataFrame, labels: Mapping[str, Mapping], names: Iterable[str] | None = None) -> DataFrame:
-    """Codes → labels; codes without a label stay as text."""
+    """Codes → labels; codes without a label stay as text. Long code lists are joined."""
     chosen = [n for n in (names if names is not None else labels) if n in df.columns]
+    long = [n for n in chosen if len(labels.get(n, {})) > LITERAL_LIMIT]
+    if long:
+        rows = [(n, str(k), t) for n in long for k, t in labels[n].items()]
+        codes = df.sparkSession.createDataFrame(rows, "variable string, code string, label string")
+        order = df.columns
+        df = label_codes(df, codes, long).select(*order)
+        chosen = [n for n in chosen if n not in long]
     return df.withColumns({
         n: F.coalesce(
             lookup(F.col(n).cast("string"), {str(k): v for k, v in labels.get(n, {}).items()}),
@@ -191,10 +201,14 @@ def with_order(df: DataFrame, col: str, levels: list[str], name: str | None = No
     return df.withColumn(name or f"{col}_ord", lookup(F.col(col), {v: i for i, v in enumerate(levels, 1)}))
 
 
+def order_keys(levels: Mapping[str, list[str]], *names: str) -> list[Column]:
+    """Sort keys: level order where a column has levels, else its value."""
+    return [lookup(F.col(n), {v: i for i, v in enumerate(levels[n], 1)}) if n in levels else F.col(n) for n in names]
+
+
 def ordered(df: DataFrame, levels: Mapping[str, list[str]], *names: str) -> DataFrame:
     """Sort by level order where a column has levels, else by value."""
-    keys = [lookup(F.col(n), {v: i for i, v in enumerate(levels[n], 1)}) if n in levels else F.col(n) for n in names]
-    return df.orderBy(*keys)
+    return df.orderBy(*order_keys(levels, *names))
 
 
 def with_caption(df: DataFrame, captions: DataFrame, question: str = "question") -> DataFrame:

@@ -165,7 +165,7 @@ def fit_terms(rows: DataFrame, terms: list[Term], refits: int = 3) -> dict[str,
     offset = reduce(lambda a, b: a + b, [F.lit(t.mean) * t.column for t in terms])
     data = materialize(rows.where(F.col("w") > 0).select(
         (F.col("k") / F.col("w")).alias("label"), F.col("w").cast("double").alias("weight"),
-        offset.alias("offset"), F.array(*[F.lit(t.sd) * t.column for t in terms]).alias("x")).coalesce(1), "cells")
+        offset.alias("offset"), F.array(*[F.lit(t.sd) * t.column for t in terms]).alias("x")), "cells")
     data = data.withColumn("features", array_to_vector("x"))
     strength = 4.0 / data.agg(F.sum("weight")).first()[0]
     for _ in range(refits):
@@ -274,7 +274,7 @@ def check_proportional_odds(
     with cut-specific slopes. Folds are cut from the respondent number; respondents are read once.
     """
     with_fold = df.withColumn("fold", F.pmod(F.col(key), F.lit(folds)))
-    cells = materialize(ordinal_cells(with_fold, y, ["fold", *xs]).coalesce(1), "cells")
+    cells = materialize(ordinal_cells(with_fold, y, ["fold", *xs]), "cells")
     found = covariate_levels(cells, xs)
     common = ordinal_terms(found, levels - 1, prior_means, slope_sd=prior_sd)
     specific = ordinal_terms(found, levels - 1, prior_means, slope_sd=prior_sd, specific=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.ranking import number_rows
 from canvass.operators import reshape as rs
-from canvass.operators.codebook import ordered
+from canvass.operators.codebook import order_keys, ordered
 from canvass.operators.tabulate import crosstab, sample_size
 from canvass.plans import views as v
 from canvass.plans.catalog import registry as r
@@ -140,9 +140,11 @@ def grid_of_levels(spark, d):
   row_number() OVER (ORDER BY CASE priority WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 4 ELSE 5 END, city) pos
   FROM counts""")
 def ordered_crosstab(spark, d):
-    rows = ordered(priority_counts(spark, d), {"priority": PRIORITIES[::-1]}, "priority", "city")
-    # A cross-tab is small; its rows keep the sorted order while they are numbered.
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    levels = {"priority": PRIORITIES[::-1]}
+    # A cross-tab has one row per city and answer; the position makes its order visible.
+    keys = order_keys(levels, "priority", "city")
+    numbered_rows = priority_counts(spark, d).withColumn("pos", F.row_number().over(Window.orderBy(*keys)))
+    return ordered(numbered_rows, levels, "priority", "city")
 
 
 @query("O1_number_rows", """SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) pos FROM orders""")

@@ -85,3 +85,10 @@ def test_option_strings(spark):
     assert [r.o for r in plain.where("id = 5").collect()] == ["a (x", " y)", "b (z)", "c"]
     assert [r.o for r in aware.where("id = 5").collect()] == ["a (x, y)", "b (z)", "c"]
     assert rows(aware.where("id < 5")) == [(1, None), (2, ""), (3, "a"), (4, "a"), (4, "b")]
+
+
+def test_long_code_list_is_joined(spark):
+    df = spark.createDataFrame([(7, "a"), (900, "b"), (5000, "c"), (None, "d")], "code int, x string")
+    out = cb.decode(df, {"code": {i: f"label {i}" for i in range(1000)}})
+    assert out.columns == ["code", "x"]
+    assert rows(out) == [("5000", "c"), ("label 7", "a"), ("label 900", "b"), (None, "d")]
