@@ -105,6 +105,15 @@ def n_label(group: Column | str, n: Column | str) -> Column:
     return F.concat(as_column(group), F.lit("\nN = "), as_column(n).cast("string"))
 
 
+def classify(text: Column | str, patterns: dict[str, str]) -> Column:
+    """Label of the first pattern found in the text; null if there is none."""
+    chain = None
+    for label, pattern in patterns.items():
+        hit = as_column(text).rlike(pattern)
+        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
+    return chain
+
+
 def logistic_density(x: Column, mu: Column, sigma: Column) -> Column:
     """Density of the logistic distribution."""
     e = F.exp(-F.abs((x - mu) / sigma))

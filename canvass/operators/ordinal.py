@@ -15,7 +15,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.scalars import logistic_density, logit
+from canvass.functions.scalars import classify, logistic_density, logit
 from canvass.operators.codebook import small_rows
 from canvass.operators.reshape import expand_seq, to_long, to_wide
 from canvass.operators.tabulate import cumulative_share
@@ -57,14 +57,10 @@ def reshape_draws(wide: DataFrame, names: list[str], kinds: Mapping[str, str], g
 
     ``kinds`` maps a kind to the pattern of its column names; the first match counts.
     """
-    chain = None
-    for kind, pattern in kinds.items():
-        hit = F.col("term").rlike(pattern)
-        chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
     # Averages per column first: the long form then has one row per column instead of per draw.
     means = wide.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in names])
     long = to_long(means, [], names, "term", "value")
-    tagged = long.withColumns({"kind": chain, "grp": F.regexp_extract("term", group_pattern, 1)})
+    tagged = long.withColumns({"kind": classify("term", dict(kinds)), "grp": F.regexp_extract("term", group_pattern, 1)})
     return to_wide(tagged, ["grp"], "kind", "value", list(kinds), F.avg)
 
 

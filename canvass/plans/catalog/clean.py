@@ -200,7 +200,7 @@ def extract_text(spark, d):
     url = F.col("url")
     return v.table(spark, d, "pages").select(
         "page_id", F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"),
-        F.when(url.rlike("/en/"), "english").when(url.rlike("/fr/"), "french").alias("lang"))
+        s.classify(url, {"english": "/en/", "french": "/fr/"}).alias("lang"))
 
 
 @query("D13_rename_regex", f'WITH {r.MULTI} SELECT id, Q12_1 "Q12a1", Q12_2 "Q12a2", Q12_3 "ASIA_n" FROM multi')

@@ -49,14 +49,18 @@ def read_survey(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.
 
 def read_surveys(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, pattern: str = "*",
                  name: str = "source") -> DataFrame:
-    """All survey files below a folder as one table, tagged with the file name without extension."""
-    reader = spark.read.format(fmt).option("pathGlobFilter", pattern)
+    """All surveys of a folder as one table, tagged with the survey's name without extension.
+
+    A survey is a file, or a directory of files, directly below ``path``.
+    """
+    base = path.rstrip("/")
+    reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", "true")
-    df = reader.load(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    df = reader.load(f"{base}/{pattern}")
+    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"/\Q{base.rsplit('/', 1)[-1]}\E/([^/.]+)", 1)
     return df.select("*", stem.alias(name))
 
 

@@ -67,10 +67,12 @@ def test_respondents_are_read_once(spark, name):
     assert len(re.findall(r"FileScan parquet [^\n]*orders", text)) == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"S4_two_header", "U4_enrich_text"}))
+# Queries on written tables do not show the plan that wrote them.
+ONE_PLAN = [n for n in sorted(SQL) if n[0] != "S" and n not in ("U4_enrich_text", "W4_group_ids", "W5_batches", "O1_number_rows")]
+
+
+@pytest.mark.parametrize("name", ONE_PLAN)
 def test_no_python_and_no_cartesian_product(spark, name):
-    if name.startswith(("S", "W4", "W5", "O1", "M9", "M1")):
-        pytest.skip("written tables hide their own plan")
     text = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "Python" not in text and "Pandas" not in text
 

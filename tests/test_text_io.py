@@ -50,6 +50,14 @@ def test_directory_of_files_is_tagged(spark, tmp_path):
     assert rows(got.select("source", "x", "y")) == [("fi", "fi", None), ("lt", "lt", 1)]
 
 
+def test_folder_of_surveys_is_tagged(spark, tmp_path):
+    for name in ("fi.csv", "lt.csv"):
+        spark.createDataFrame([(name, 1)], "a string, b int").repartition(2).write.csv(str(tmp_path / "in" / name), header=True)
+    (tmp_path / "in" / "ua.csv").write_text("a,b\nx,2\n")
+    got = readers.read_surveys(spark, str(tmp_path / "in"), "csv", "a string, b int", "*.csv")
+    assert rows(got) == [("fi.csv", 1, "fi"), ("lt.csv", 1, "lt"), ("x", 2, "ua")]
+
+
 def test_extract_and_csv_rename(spark, tmp_path):
     df = spark.createDataFrame([("A", "f", 1), ("B", "f", 2), ("A", None, 3)], "city string, gender string, v int")
     writers.export_extract(df, SurveyParams(("A",), ("total",), ("f", "m")), str(tmp_path / "x"))
