@@ -39,6 +39,11 @@ def answered_text(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col) != "")
 
 
+def blank_as_missing(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Blank open answers become null, so that counts and rates take them as not answered."""
+    return df.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names})
+
+
 def complete_cases(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Drop rows that are null in any of the columns."""
     return df.na.drop("any", subset=names)

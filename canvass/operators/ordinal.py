@@ -162,14 +162,16 @@ def fit_terms(rows: DataFrame, terms: list[Term], refits: int = 3) -> dict[str,
     data = materialize(rows.where(F.col("w") > 0).select(
         (F.col("k") / F.col("w")).alias("label"), F.col("w").cast("double").alias("weight"),
         offset.alias("offset"), F.array(*[F.lit(t.sd) * t.column for t in terms]).alias("x")), "cells")
-    data = data.withColumn("features", array_to_vector("x"))
+    # Every iteration is a pass over the cells: keep them in memory, backed by the written table.
+    data = data.withColumn("features", array_to_vector("x")).cache()
     strength = 4.0 / data.agg(F.sum("weight")).first()[0]
-    for _ in range(refits):
+    for step in range(refits):
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", weightCol="weight", offsetCol="offset", fitIntercept=False,
-            regParam=strength, tol=1e-9, maxIter=50).fit(data)
+            regParam=strength, tol=1e-9 if step == refits - 1 else 1e-5, maxIter=50).fit(data)
         p = F.col("prediction")
         strength = 1.0 / model.transform(data).agg(F.sum(F.col("weight") * p * (1 - p))).first()[0]
+    data.unpersist()
     return {t.name: t.mean + t.sd * float(c) for t, c in zip(terms, model.coefficients, strict=True)}
 
 

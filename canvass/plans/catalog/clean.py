@@ -9,7 +9,7 @@ from canvass.functions import scalars as s
 from canvass.operators import filters as f
 from canvass.operators import quality
 from canvass.operators import reshape
-from canvass.operators.tabulate import sample_size, tally
+from canvass.operators.tabulate import response_rate, sample_size, tally
 from canvass.plans import views as v
 from canvass.plans.catalog import registry as r
 from canvass.plans.catalog.registry import query
@@ -63,6 +63,11 @@ def answered_text(spark, d):
     return f.answered_text(v.open_text(spark, d), "answer").select("id", "lang", "answer")
 
 
+@query("P6_text_answer_rate", f"""WITH {r.OPEN_TEXT} SELECT lang, count(nullif(answer, '')) * 100e0 / count(*) answer FROM open_text GROUP BY 1""")
+def text_answer_rate(spark, d):
+    return response_rate(f.blank_as_missing(v.open_text(spark, d), ["answer"]), ["lang"], {"answer": ["answer"]})
+
+
 @query("P7_complete_cases", f"""WITH {r.RESPONDENTS} SELECT id, gender_code, birth_year FROM respondents
   WHERE gender_code IS NOT NULL AND birth_year IS NOT NULL""")
 def complete_cases(spark, d):

@@ -33,6 +33,8 @@ class Instrument:
     free_text: tuple[str, ...] = ()
     spending: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     strict_totals: bool = False
+    # Totals in which a respondent without any amount counts as 0 instead of dropping out.
+    empty_as_zero: tuple[str, ...] = ()
 
     def params(self, groups: tuple[str, ...], genders: tuple[str, ...] = ("total",)) -> SurveyParams:
         ignore = () if self.gender else ("gender",)
@@ -85,7 +87,8 @@ PARTICIPATION = Instrument(
     spending={
         "last event": ("M18_1t_eur_mvr", "M19_1t_eur_mvr", "M19_2t_eur_mvr", "M19_3t_eur_mvr", "M19_4t_eur_mvr",
                        "M19_5t_eur_mvr", "M19_6t_eur_mvr", "M21_1t_eur_mvr", "M21_2t_eur_mvr"),
-        "events per month": ("M29_1t", "M29_2t", "M29_3t"), "listening per month": ("M37_1t", "M37_2t", "M37_3t", "M37_4t")})
+        "events per month": ("M29_1t", "M29_2t", "M29_3t"), "listening per month": ("M37_1t", "M37_2t", "M37_3t", "M37_4t")},
+    empty_as_zero=("events per month",))
 
 
 def grid_names(stem: str = "M34", media: int = 8, places: int = 3) -> dict[str, str]:
@@ -128,7 +131,7 @@ def spending_table(df: DataFrame, instrument: Instrument, kind: str, groups: tup
     params = instrument.params(groups, genders)
     if instrument.gender:
         df = df.where(F.col(instrument.gender).isin(params.gender_list()))
-    if not instrument.strict_totals:
+    if not instrument.strict_totals and kind not in instrument.empty_as_zero:
         df = answered_any(df, names)
     totals = df.select(instrument.group, row_total(names, instrument.strict_totals).alias("total")).na.drop()
     return keep_in(spend_summary(totals, instrument.group, "total", instrument.all_token), instrument.group, groups)

@@ -24,7 +24,13 @@ def test_dashboard_counts_singles_and_batteries(spark):
 
 def test_spending_table(spark):
     out = ins.spending_table(participation(spark), ins.PARTICIPATION, "events per month", ("Spain", "Italy", "All Countries"))
-    assert rows(out) == [("All Countries", 2, 10.0, 10.0), ("Italy", 1, 10.0, 10.0), ("Spain", 1, 10.0, 10.0)]
+    assert rows(out) == [("All Countries", 3, 20 / 3, 10.0), ("Italy", 1, 10.0, 10.0), ("Spain", 2, 5.0, 5.0)]
+
+
+def test_unanswered_totals_drop_out(spark):
+    df = participation(spark).withColumnsRenamed({"M29_1t": "M37_1t", "M29_2t": "M37_2t"})
+    out = ins.spending_table(df, ins.PARTICIPATION, "listening per month", ("Spain", "All Countries"))
+    assert rows(out) == [("All Countries", 2, 10.0, 10.0), ("Spain", 1, 10.0, 10.0)]
 
 
 def test_strict_totals_drop_partly_answered(spark):
