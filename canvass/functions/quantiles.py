@@ -5,6 +5,10 @@ counts values, map-side, into buckets by sign, power of two and 4 096 equal part
 second pass takes only the values of the buckets that hold the wanted ranks. Among those, 65 536 equal
 parts narrow the search again, so that at most about 2^24 different doubles are ranked by value in one
 place. No shuffle carries more than a histogram or the values of the found buckets.
+
+The found buckets and their values are written to the shared folder. The planner then knows their real
+size and broadcasts the buckets if they are small; an estimate from the source would make it shuffle
+all values instead.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.session import materialize
+
 PARTS_OF_POWER = 4_096
 PARTS_OF_BUCKET = 65_536
 
@@ -41,17 +47,15 @@ def exact_quantiles(values: DataFrame, by: list[str], probs: list[float]) -> Dat
         .withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumns({"_ranks": wanted, "_base": F.lit(0).cast("bigint")})
     )
-    picked = _locate(histogram, keys, "_b0")
+    picked = materialize(_locate(histogram, keys, "_b0"), "buckets")
 
-    # Both steps below use this table. What it keeps of its bucket is one struct, so that neither step
-    # prunes it differently and both share its shuffle.
-    bucket = F.first(F.struct("_lo", "_hi", "n", "_ranks", "_base")).alias("_bucket")
-    near = _members(keyed, picked, keys).groupBy(*keys, "_b0", "_v").agg(n, bucket).withColumn(
-        "_b1", _part(F.col("_v"), F.col("_bucket._lo"), F.col("_bucket._hi")))
+    kept = [F.first(c).alias(c) for c in ("_lo", "_hi", "n", "_ranks", "_base")]
+    near = materialize(
+        _members(keyed, picked, [*keys, "_b0"]).groupBy(*keys, "_b0", "_v").agg(n, *kept)
+        .withColumn("_b1", _part(F.col("_v"), F.col("_lo"), F.col("_hi"))), "values")
 
     path = [*keys, "_b0", "_b1"]
-    histogram = near.groupBy(*path).agg(n, F.first("_bucket").alias("_bucket")).select(*path, "_n", "_bucket.*")
-    picked = _locate(histogram, path[:-1], "_b1")
+    picked = _locate(near.groupBy(*path).agg(n, *kept), path[:-1], "_b1")
     last = _members(near.select(*path, "_v", "_n"), picked, path)
     found = (
         _locate(last, path, "_v")
@@ -98,8 +102,7 @@ def _locate(buckets: DataFrame, within: list[str], order: str) -> DataFrame:
 
 
 def _members(values: DataFrame, picked: DataFrame, path: list[str]) -> DataFrame:
-    """Values inside the picked buckets; those are few, so this becomes a broadcast join."""
-    path = path if "_b0" in path else [*path, "_b0"]
+    """Values inside the picked buckets, with what is known of the bucket."""
     target = picked.withColumnsRenamed({k: f"_t{k}" for k in path})
     same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in path]
     return values.join(target, same, "inner").drop(*[f"_t{k}" for k in path])

@@ -29,9 +29,10 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row
     ).withColumn("_part", F.shiftright("_place", PLACE_BITS))
     sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    # Written down so that the planner sees how few they are and does not shuffle the rows for them.
+    offsets = materialize(sizes.select(
         *[F.col(k).alias(f"_of{i}") for i, k in enumerate([*by, "_part"])],
-        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "offsets")
     same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate([*by, "_part"])]
     return placed.join(offsets, same, "left").select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
 

@@ -60,7 +60,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["B2_census_tables", "B9_census_dashboard", "G6_percent_of_cases", "B7_answer_table", "G12_spend_summary"])
+@pytest.mark.parametrize("name", ["B2_census_tables", "B9_census_dashboard", "G6_percent_of_cases", "B7_answer_table"])
 def test_respondents_are_read_once(spark, name):
     text = plan(QUERIES[name](spark, DIR))
     assert len(re.findall(r"FileScan parquet [^\n]*lineitem", text)) == 1
@@ -77,6 +77,13 @@ def test_no_python_and_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in text and "Python" not in text and "Pandas" not in text
 
 
+def test_rows_are_not_shuffled_again_to_be_numbered(spark):
+    for name in ("O1_number_rows", "W5_batches"):
+        df = QUERIES[name](spark, DIR)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
 def test_views_group_in_hash_maps(spark):
     for view in (v.multi, v.battery, v.spending, v.census):
         assert "SortAggregate" not in plan(view(spark, DIR))
