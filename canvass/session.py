@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders with intermediate tables, and the session that made each.
+_folders: dict[str, SparkSession] = {}
+
+
 def build_session(app: str = "canvass", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the library expects; cluster sizing stays with the caller.
 
@@ -31,24 +36,42 @@ def build_session(app: str = "canvass", master: str | None = None, **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; without the setting, one below the warehouse.
 
-    A local session without the setting gets a temporary folder. On a cluster a machine-local folder
-    would vanish with its machine, so the setting is required there.
+    Both are places that the driver and all executors see. A machine-local folder is never used: it
+    would vanish with its machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="canvass-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path.rstrip("/") if path else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's folder in the shared folder."""
+    if not _folders:
+        atexit.register(clean_all)
+    folder = f"{shared_dir(spark)}/canvass-{spark.sparkContext.applicationId}"
+    _folders[folder] = spark
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when its results have been written.
+
+    Results are lazy and still read these tables, so the library cannot delete them earlier by itself.
+    What is left is deleted when the driver's Python ends.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in [f for f, owner in _folders.items() if owner is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        del _folders[folder]
+
+
+def clean_all() -> None:
+    """Clean up at the end of the driver's Python, as far as its sessions still run."""
+    for spark in {id(s): s for s in _folders.values()}.values():
+        with contextlib.suppress(Exception):
+            clean(spark)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
