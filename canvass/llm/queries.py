@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm import exact_dedup, mixing, sharding
+from canvass.llm import exact_dedup, mixing, quality, sharding, toxicity
 from canvass.llm.common import table
 
 
+def op2_byte_network(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, d, "labels")))
+
+
+def op3_span_field(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, d, "labels")))
+
+
 def op4_poisson_mixing(spark: SparkSession, d: str) -> DataFrame:
     """All sources at the same share of characters: which copies of which document, in which order."""
     return mixing.mixture(table(spark, d, "documents"), seed=7)
@@ -46,6 +56,8 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc
 
 
 LLM_QUERIES = {
+    "op2_byte_network": op2_byte_network,
+    "op3_span_field": op3_span_field,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op8_block_naming": op8_block_naming,
