@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm import exact_dedup, mixing, quality, sharding, toxicity
+from canvass.llm import exact_dedup, language_model, licenses, mixing, pieces, quality, sharding, toxicity
 from canvass.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op6_hilbert_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign(table(spark, d, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(table(spark, d, "documents"))
+
+
 def op8_block_naming(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
@@ -55,11 +59,24 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc
   doc_id = first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc_id) kept, sha256(t) text_sha256 FROM n"""
 
 
+def op9_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """How much more each document is like the benchmark's texts than like the corpus."""
+    docs = table(spark, d, "documents")
+    return language_model.scored(docs, language_model.train(docs, table(spark, d, "benchmark")))
+
+
+def op10_merge_dropout(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.digests(table(spark, d, "documents"), seed=1)
+
+
 LLM_QUERIES = {
     "op2_byte_network": op2_byte_network,
     "op3_span_field": op3_span_field,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_hilbert_sharding": op6_hilbert_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_block_naming": op8_block_naming,
+    "op9_cross_entropy": op9_cross_entropy,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8}
