@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm import exact_dedup, language_model, licenses, mixing, pieces, quality, sharding, toxicity
+import corpus_pipeline
+from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, quality, sharding, toxicity
 from canvass.llm.common import table
 
 
+def op1_collision_counting(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_groups(table(spark, d, "embeddings"))
+
+
 def op2_byte_network(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, d, "labels")))
@@ -40,6 +45,10 @@ copied AS (SELECT doc_id, source, CAST(c AS INT) AS copy FROM counted, range(1,
 SELECT doc_id, source, copy, row_number() OVER (ORDER BY md5('7:order:' || doc_id || ':' || copy), doc_id, copy) AS position FROM copied"""
 
 
+def op5_odd_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_groups(table(spark, d, "documents"), similarity=0.85, width=3)
+
+
 def op6_hilbert_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign(table(spark, d, "documents"))
 
@@ -70,13 +79,18 @@ def op10_merge_dropout(spark: SparkSession, d: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_collision_counting": op1_collision_counting,
     "op2_byte_network": op2_byte_network,
     "op3_span_field": op3_span_field,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_odd_sketches": op5_odd_sketches,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_license_scan": op7_license_scan,
     "op8_block_naming": op8_block_naming,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_merge_dropout": op10_merge_dropout,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8}
+if corpus_pipeline.ORACLE_SQL:
+    LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
