@@ -182,11 +182,11 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
                     out.append((a, b - 1) if similarities(words[a: b - 1], words[b - 1: b])[0, 0] >= least else None)
                 elif b - a > 2:
                     near, left = similarities(words[a:b], words[a:b]) >= least, np.ones(b - a, bool)
+                    # From the smallest node outwards, so that the buckets of a group find the same links.
                     for root in range(b - a):
                         front = [root] if left[root] else []
                         left[root] = False
-                        while front:
-                            i = front.pop()
+                        for i in front:
                             new = np.flatnonzero(near[i] & left)
                             left[new] = False
                             front += new.tolist()
@@ -195,7 +195,7 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
             yield pd.DataFrame({"a": nodes[out].min(axis=1), "b": nodes[out].max(axis=1)}).drop_duplicates()
             rest = rest.iloc[complete:]
 
-    return dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInPandas(link, "a long, b long").distinct()
+    return dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node").mapInPandas(link, "a long, b long").distinct()
 
 
 def _with_end(batches: Iterator) -> Iterator:
