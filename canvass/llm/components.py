@@ -11,22 +11,28 @@ from canvass.session import materialize
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest node reachable from each node of the links: columns node and component.
 
-    Labels sink to the smallest neighbour's and then to their label's label, so that their distance to
-    the smallest node about halves in a round. Each round is written down. Neighbours are reduced to
-    their minimum before they are shuffled; none are gathered, however many a node has.
+    In a round every node moves to its smallest neighbour, or that one's if smaller; links are then
+    taken between the places reached, and those within a place fall away. Neighbours are reduced to
+    their minimum before they are shuffled; none are gathered, however many a node has. Links and
+    rounds are written down, so all rounds see the same links.
     """
-    both = materialize(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-        .unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct(), "links")
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    links = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other").distinct(), "links")
+    links = materialize(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        sunk = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "sunk")
-        up = sunk.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        labels = materialize(sunk.join(up, "label", "left").select("node", "old", F.least("label", "higher").alias("label")), "labels")
-        if labels.where("label <> old").isEmpty():
+        near = materialize(links.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("near")), "near")
+        above = near.select(F.col("node").alias("near"), F.col("near").alias("higher"))
+        moved = materialize(near.join(above, "near").select("node", F.col("higher").alias("place")), "moved")
+        if labels is None:
+            labels = moved.withColumnRenamed("place", "label")
+        else:
+            step = moved.select(F.col("node").alias("label"), "place")
+            labels = materialize(labels.join(step, "label", "left").select("node", F.coalesce("place", "label").alias("label")), "labels")
+        ends = links.join(moved, "node").select("other", F.col("place").alias("a"))
+        there = moved.select(F.col("node").alias("other"), F.col("place").alias("b"))
+        links = materialize(ends.join(there, "other").where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct(), "links")
+        if links.isEmpty():
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("old")
 
 
 def blocks(size: Column, most: int) -> Column:
