@@ -33,7 +33,7 @@ WORDS = re.compile(r" +[^ ]*|[^ ]+")
 #: Words up to this length are segmented on arrays.
 SHORT = 40
 #: Characters of texts whose words are gathered before they are segmented.
-GATHERED = 1 << 24
+GATHERED = 1 << 22
 # The odd multipliers of a published 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BITS64 = (1 << 64) - 1
