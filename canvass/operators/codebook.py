@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 # Rows of a codebook sheet that may be read to the driver, and pairs that may become a literal map (a
 # map literal is searched from front to back for every row; longer code lists are joined).
 ROW_LIMIT = 20_000
-LITERAL_LIMIT = 500
 
 SHEETS = {
     "crosswalk": "raw string, clean string",
@@ -85,8 +84,6 @@ class Codebook:
 
 def lookup(value: Column, pairs: Mapping) -> Column:
     """Value of a literal dictionary; null if the key is absent."""
-    if len(pairs) > LITERAL_LIMIT:
-        raise ValueError(f"more than {LITERAL_LIMIT} pairs; join a table instead")
     if not pairs:
         return F.lit(None).cast("string")
     flat = [F.lit(x) for pair in pairs.items() for x in pair]
@@ -147,15 +144,8 @@ def variable_labels(df: DataFrame) -> DataFrame:
 
 
 def decode(df: DataFrame, labels: Mapping[str, Mapping], names: Iterable[str] | None = None) -> DataFrame:
-    """Codes → labels; codes without a label stay as text. Long code lists are joined."""
+    """Codes → labels; codes without a label stay as text. A code list that is a table is for :func:`label_codes`."""
     chosen = [n for n in (names if names is not None else labels) if n in df.columns]
-    long = [n for n in chosen if len(labels.get(n, {})) > LITERAL_LIMIT]
-    if long:
-        rows = [(n, str(k), t) for n in long for k, t in labels[n].items()]
-        codes = df.sparkSession.createDataFrame(rows, "variable string, code string, label string")
-        order = df.columns
-        df = label_codes(df, codes, long).select(*order)
-        chosen = [n for n in chosen if n not in long]
     return df.withColumns({
         n: F.coalesce(
             lookup(F.col(n).cast("string"), {str(k): v for k, v in labels.get(n, {}).items()}),
@@ -167,10 +157,11 @@ def decode(df: DataFrame, labels: Mapping[str, Mapping], names: Iterable[str] |
 def label_codes(df: DataFrame, codes: DataFrame, names: Iterable[str]) -> DataFrame:
     """Codes → labels in several columns from one code list ``(variable, code, label)``, by join."""
     for n in names:
-        part = codes.where(F.col("variable") == n).select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+        # One row per code: a code listed twice takes its first label in text order and repeats no respondent.
+        part = codes.where(F.col("variable") == n).groupBy(F.col("code").cast("string").alias("_code")).agg(F.min("label").alias("_label"))
         text = F.col(n).cast("string")
         df = (
-            df.join(part, text == F.col("_code").cast("string"), "left")
+            df.join(part, text == F.col("_code"), "left")
             .withColumn(n, F.coalesce(F.col("_label"), text)).drop("_code", "_label")
         )
     return df

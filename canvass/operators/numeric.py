@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.operators.reshape import explode_all
@@ -62,7 +63,9 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 20, lo: float
     )
     width, origin = layout["width"], layout["origin"]
 
-    amount = F.sum("_w").cast("bigint") if weight else F.count(F.lit(1))
+    # Whole weights stay whole; fractional ones are summed as they are.
+    kind = "double" if weight and not isinstance(df.schema[weight].dataType, T.IntegralType) else "bigint"
+    amount = F.sum(F.col("_w").cast(kind)) if weight else F.count(F.lit(1))
     placed = F.greatest(F.ceil((F.col("_x") - origin) / width - 1e-8) - 1, F.lit(0)).cast("int")
     counts = values.groupBy(*by, placed.alias("_bin")).agg(amount.alias("_n"))
     frame = (
@@ -72,7 +75,7 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 20, lo: float
     )
     width, origin = F.col("_width"), F.col("_origin")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("bin") == F.col("_bin")]
-    n = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
+    n = F.coalesce(F.col("_n"), F.lit(0).cast(kind))
     out = [*[F.col(f"_{k}").alias(k) for k in by], F.col("bin"),
            (origin + F.col("bin") * width).alias("xmin"), (origin + (F.col("bin") + 1) * width).alias("xmax"),
            n.alias("n")]

@@ -108,3 +108,19 @@ def test_economic_table(spark):
     out = nm.economic_table(df, "country", "expense", "visits", "yearly")
     assert out.where(F.abs("gap") > 0.131).count() == 0
     assert {r.country: round(r.country_total, 2) for r in out.collect()} == {"X": 5663.89, "Y": 183.04}
+
+
+def test_fractional_weights_are_not_cut(spark):
+    from canvass.operators import numeric
+    df = spark.createDataFrame([("a", 0.0, 0.5), ("a", 10.0, 0.5), ("a", 10.0, 0.25)], "g string, x double, w double")
+    assert sum(r.n for r in numeric.histogram(df, ["g"], "x", bins=5, weight="w").collect()) == 1.25
+
+
+def test_long_lists_and_repeated_codes(spark):
+    from canvass.operators import codebook
+    df = spark.createDataFrame([(str(i),) for i in range(700)], "code string")
+    got = codebook.decode(df, {"code": {str(i): f"label {i}" for i in range(650)}}).collect()
+    assert got[3].code == "label 3" and got[699].code == "699"
+    twice = spark.createDataFrame([("code", "1", "b"), ("code", "1", "a")], "variable string, code string, label string")
+    out = codebook.label_codes(df, twice, ["code"]).collect()
+    assert len(out) == 700 and "a" in {r.code for r in out}
