@@ -15,37 +15,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.session import materialize
 
 PARTS_OF_POWER = 4_096
 PARTS_OF_BUCKET = 65_536
+WEIGHT = "decimal(28,9)"
 
 
 def weighted_values(df: DataFrame, by: list[str], col: str, weight: str | None = None) -> DataFrame:
-    """Keys, value ``_v`` and how often it counts, ``_n``; null values drop out."""
-    n = F.col(weight) if weight else F.lit(1)
-    return df.where(F.col(col).isNotNull()).select(
-        *by, F.col(col).cast("double").alias("_v"), n.cast("bigint").alias("_n"))
+    """Keys, value ``_v`` and how often it counts, ``_n``; null values and weights that are null or not positive drop out.
+
+    Whole weights stay whole. Others are taken to nine decimals, whose sums are exact in any order.
+    """
+    whole = weight is None or isinstance(df.schema[weight].dataType, T.IntegralType)
+    n = (F.col(weight) if weight else F.lit(1)).cast("bigint" if whole else WEIGHT)
+    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"), n.alias("_n"))
+    return values.where(F.col("_n") > 0) if weight else values
 
 
 def exact_quantiles(values: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     """Interpolated quantiles (the default rule of R) per group of :func:`weighted_values`.
 
-    Returns the keys, ``n`` and ``quantiles``, an array in the order of ``probs``.
+    Returns the keys, ``n`` and ``quantiles``, an array in the order of ``probs``. With fractional
+    weights ranks are cumulative weights: a quantile is the value whose span of them holds that part
+    of the sum, and nothing is interpolated.
     """
+    kind = values.schema["_n"].dataType
+    whole = isinstance(kind, T.IntegralType)
     keys = [f"_k{i}" for i in range(len(by))]
     keyed = values.select(
         *[F.col(k).alias(a) for k, a in zip(by, keys, strict=True)], "_v", "_n",
         _magnitude(F.col("_v")).alias("_b0"))
-    low = [F.floor((F.col("n") - 1) * p).cast("bigint") for p in probs]
-    wanted = F.array_distinct(F.array(*low, *[F.least(r + 1, F.col("n") - 1) for r in low]))
-
-    n, lowest, highest = F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    if whole:
+        low = [F.floor((F.col("n") - 1) * p).cast("bigint") for p in probs]
+        high = [F.least(r + 1, F.col("n") - 1) for r in low]
+    else:
+        last_rank = (F.col("n") - F.lit("1e-9").cast(WEIGHT)).cast(WEIGHT)
+        low = high = [F.least((F.col("n").cast("double") * p).cast(WEIGHT), last_rank) for p in probs]
+    wanted = F.array_distinct(F.array(*low, *high))
+
+    n, lowest, highest = F.sum("_n").cast(kind).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     histogram = (
         keyed.groupBy(*keys, "_b0").agg(n, lowest, highest)
-        .withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumns({"_ranks": wanted, "_base": F.lit(0).cast("bigint")})
+        .withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)).cast(kind))
+        .withColumns({"_ranks": wanted, "_base": F.lit(0).cast(kind)})
     )
     picked = materialize(_locate(histogram, keys, "_b0"), "buckets")
 
@@ -65,9 +80,12 @@ def exact_quantiles(values: DataFrame, by: list[str], probs: list[float]) -> Dat
     )
     at = F.col("_at")
     quantiles = []
-    for p, r in zip(probs, low, strict=True):
-        below, above = at[r], at[F.least(r + 1, F.col("n") - 1)]
-        quantiles.append(below + ((F.col("n") - 1) * p - r) * (above - below))
+    for p, r, s in zip(probs, low, high, strict=True):
+        below, above = at[r], at[s]
+        part = (F.col("n") - 1) * p - r if whole else F.lit(0.0)
+        # Between equal or infinite neighbours there is nothing to interpolate.
+        inner = (part > 0) & (below != above) & ((below != float("-inf")) | (above == float("inf")))
+        quantiles.append(F.when(inner, below + part * (above - below)).otherwise(below))
     return found.select(
         *[F.col(a).alias(k) for k, a in zip(by, keys, strict=True)], "n",
         F.array(*quantiles).alias("quantiles"))
@@ -93,8 +111,9 @@ def _locate(buckets: DataFrame, within: list[str], order: str) -> DataFrame:
     """
     earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     start, end = F.col("_base"), F.col("_base") + F.col("_n")
+    kind = buckets.schema["_base"].dataType
     return (
-        buckets.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        buckets.withColumn("_base", (F.col("_base") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).cast(kind))
         .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= start) & (r < end)))
         .where(F.size("_ranks") > 0)
         .drop("_n")

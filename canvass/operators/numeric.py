@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.operators.reshape import explode_all
+from canvass.session import materialize
 
 
 def spend_summary(df: DataFrame, by: str, total: str, all_token: str | None = None,
@@ -15,17 +16,21 @@ def spend_summary(df: DataFrame, by: str, total: str, all_token: str | None = No
     """Number, mean and median of a total per group, and over all groups under the token.
 
     The median is exact; no task holds a whole group. ``approximate`` takes it from a bounded sketch
-    in one pass.
+    in one pass. For the exact one, groups and totals are written down, two columns, so that the source
+    is read once.
     """
     rows = df.select(by, total).where(F.col(total).isNotNull())
+    if not approximate:
+        rows = materialize(rows, "totals")
+    keys = [by] if all_token is None else [by, "_all"]
     rows = (explode_all(rows, by, all_token) if all_token is not None else rows).where(F.col(by).isNotNull())
     if approximate:
-        return rows.groupBy(by).agg(
+        return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.avg(total).alias("mean"),
-            F.percentile_approx(total, 0.5).alias("median"))
-    means = rows.groupBy(F.col(by).alias("_by")).agg(F.avg(total).alias("mean"))
-    middle = exact_quantiles(weighted_values(rows, [by], total), [by], [0.5])
-    return middle.join(means, F.col(by) == F.col("_by")).select(
+            F.percentile_approx(total, 0.5).alias("median")).select(by, "n", "mean", "median")
+    means = rows.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.avg(total).alias("mean"))
+    middle = exact_quantiles(weighted_values(rows, keys, total), keys, [0.5])
+    return middle.join(means, [F.col(k) == F.col(f"_of_{k}") for k in keys]).select(
         by, "n", "mean", F.col("quantiles")[0].alias("median"))
 
 
@@ -96,12 +101,13 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
     """Gaussian kernel density per group on equally spaced points over the range of all groups.
 
     Each value is shared between its two neighbours on a fine grid of cells; the kernel is then
-    summed over at most ``cells`` weights per group, whatever the number of respondents.
+    summed over at most ``cells`` weights per group, whatever the number of respondents. Keys and
+    values are written down, so that the source is read once.
     """
     if not by:
         return density(df.withColumn("_all", F.lit(0)), ["_all"], col, points, cells, bandwidth).drop("_all")
     x = F.col(col).cast("double")
-    values = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    values = materialize(df.where(x.isNotNull()).select(*by, x.alias("_x")), "values")
     span = F.col("hi") - F.col("lo")
     layout = values.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).select(F.struct(
         "lo", F.when(span > 0, span / cells).otherwise(1.0).alias("step"), (span / (points - 1)).alias("pace"))).scalar()

@@ -39,6 +39,7 @@ def cumulative_logits(df: DataFrame, y: str, by: list[str]) -> DataFrame:
 
 def summarise_draws(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and the 2.5, 25, 75 and 97.5 percent points of the draws per group."""
+    draws = materialize(draws.select(*keys, value), "draws")
     points = exact_quantiles(weighted_values(draws, keys, value), keys, [0.025, 0.25, 0.75, 0.975])
     means = draws.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg(value).alias("est"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

@@ -54,18 +54,22 @@ def explode_options(df: DataFrame, col: str, sep: str = ",", paren_aware: bool =
     return df.withColumn(name or col, F.explode_outer(F.split(F.col(col), pattern)))
 
 
-def explode_all(df: DataFrame, by: str, token: str) -> DataFrame:
-    """Repeat each row under the token, next to its own group."""
-    return df.withColumn(by, F.explode(F.array(F.col(by), F.lit(token))))
+def explode_all(df: DataFrame, by: str, token: str, mark: str = "_all") -> DataFrame:
+    """Repeat each row under the token, next to its own group; ``mark`` tells the repetition from a group of that name."""
+    own, every = F.struct(F.col(by).alias("by"), F.lit(False).alias("all")), F.struct(F.lit(token).alias("by"), F.lit(True).alias("all"))
+    return df.withColumn(mark, F.explode(F.array(own, every))).withColumns({by: F.col(f"{mark}.by"), mark: F.col(f"{mark}.all")})
 
 
-def with_totals(counts: DataFrame, by: str, keys: list[str], value: str = "n", label: str = "Total") -> DataFrame:
+def with_totals(counts: DataFrame, by: str, keys: list[str], value: str = "n", label: str = "Total",
+                mark: str | None = None) -> DataFrame:
     """Add the total over ``by`` for every combination of the keys.
 
     Works on counted rows, so the repetition costs nothing next to the count itself. A null group is
-    its own group and never mistaken for the total.
+    its own group and never mistaken for the total, nor is a group that bears the label; ``mark`` names
+    a column that is true in the totals.
     """
-    return explode_all(counts, by, label).groupBy(by, *keys).agg(F.sum(value).alias(value))
+    out = explode_all(counts, by, label).groupBy(by, "_all", *keys).agg(F.sum(value).alias(value))
+    return out.withColumnRenamed("_all", mark) if mark else out.drop("_all")
 
 
 def fill_absent(df: DataFrame, value: float = 0, names: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.scalars import answered_flag, any_answered
 from canvass.operators.codebook import lookup
-from canvass.operators.reshape import explode_all
+from canvass.operators.reshape import with_totals
 
 
 def with_total(df: DataFrame, value: str, by: list[str], name: str = "total") -> DataFrame:
@@ -44,8 +44,8 @@ def share(df: DataFrame, value: str, by: list[str], name: str = "share") -> Data
 
 
 def with_all(counts: DataFrame, by: str, keys: list[str], token: str, value: str = "n") -> DataFrame:
-    """Add the group of all rows next to each group, from counted rows."""
-    return explode_all(counts, by, token).groupBy(by, *keys).agg(F.sum(value).alias(value))
+    """Add the group of all rows next to each group, from counted rows; a group named like the token stays apart."""
+    return with_totals(counts, by, keys, value, token)
 
 
 def crosstab(df: DataFrame, by: list[str], question: str, all_token: str | None = None) -> DataFrame:
@@ -96,7 +96,8 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     ))).where(F.col("value").isNotNull())
     cells = entries.groupBy(*by, "_item", "value").agg(F.count(F.lit(1)).alias("n"))
     if all_token is not None:
-        cells = _known(with_all(cells, by[0], [*by[1:], "_item", "value"], all_token), by)
+        cells = _known(with_totals(cells, by[0], [*by[1:], "_item", "value"], label=all_token, mark="_all"), by)
+    names, by = by, [*by, "_all"] if all_token is not None else by
 
     question = lookup(F.col("_item"), {**of, **{f"_base_{q}": q for q in questions}})
     kept = [*by, "question", *(["_item"] if items else []), "value"]
@@ -112,7 +113,7 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "question"]]
     out = counts.where(F.col("n").isNotNull()).join(totals, same)
     item = [F.col("_item").alias("item")] if items else []
-    return out.select(*by, "question", *item, "value", "n", "answered", "responses")
+    return out.select(*names, "question", *item, "value", "n", "answered", "responses")
 
 
 def multi_freq(df: DataFrame, by: list[str], names: list[str], base: str | None = None,

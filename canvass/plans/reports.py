@@ -139,9 +139,10 @@ def dashboard_distribution(df: DataFrame, params: SurveyParams, spend: list[str]
     group = params.group_col
     totals = reshape.explode_all(dashboard_totals(df, params, spend, strict), group, all_token)
     shown = keep_in(totals, group, params.groups)
+    keys = [group, "_all"]
     if curve:
-        return density(shown, [group], "total", **options)
-    return histogram(shown, [group], "total", **{"bins": 20, "density": True, **options})
+        return density(shown, keys, "total", **options).drop("_all")
+    return histogram(shown, keys, "total", **{"bins": 20, "density": True, **options}).drop("_all")
 
 
 def statistic_series(values: DataFrame, codes: DataFrame, coded: list[str], keep: Mapping[str, list[str]]) -> DataFrame:

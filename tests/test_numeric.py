@@ -124,3 +124,40 @@ def test_long_lists_and_repeated_codes(spark):
     twice = spark.createDataFrame([("code", "1", "b"), ("code", "1", "a")], "variable string, code string, label string")
     out = codebook.label_codes(df, twice, ["code"]).collect()
     assert len(out) == 700 and "a" in {r.code for r in out}
+
+
+def test_quantiles_of_fractional_weights_and_infinities(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, 0.25), ("a", 2.0, 0.25), ("a", 3.0, 0.5), ("b", 7.0, 0.1), ("c", 1.0, 0.2), ("c", 5.0, 0.7), ("c", 9.0, 0.0), ("c", 8.0, None)],
+        "g string, x double, w double")
+    got = {r.g: r.quantiles for r in exact_quantiles(weighted_values(df, ["g"], "x", "w"), ["g"], [0.0, 0.2, 0.4, 1.0]).collect()}
+    assert got == {"a": [1.0, 1.0, 2.0, 3.0], "b": [7.0] * 4, "c": [1.0, 1.0, 5.0, 5.0]}
+    inf = float("inf")
+    ends = spark.createDataFrame([("l", -inf), ("l", 1.0), ("h", 1.0), ("h", inf), ("s", inf), ("s", inf)], "g string, x double")
+    assert rows(exact_quantiles(weighted_values(ends, ["g"], "x"), ["g"], [0.5]).select("g", "quantiles")) == [
+        ("h", [inf]), ("l", [-inf]), ("s", [inf])]
+
+
+def test_totals_of_a_group_named_like_the_total(spark):
+    from canvass.operators import reshape, tabulate
+    df = spark.createDataFrame([("All", 3.0), ("A", 1.0), ("A", 5.0)], "city string, total double")
+    assert rows(nm.spend_summary(df, "city", "total", "All")) == [("A", 2, 3.0, 3.0), ("All", 1, 3.0, 3.0), ("All", 3, 3.0, 3.0)]
+    counts = spark.createDataFrame([("Total", "x", 3), ("A", "x", 2)], "g string, q string, n int")
+    assert rows(reshape.with_totals(counts, "g", ["q"], mark="all")) == [
+        ("A", False, "x", 2), ("Total", False, "x", 3), ("Total", True, "x", 5)]
+    told = tabulate.tally(df, ["city"], {"q": ["total"]}, "All").where("value = '3.0'")
+    assert rows(told.select("city", "n", "answered")) == [("All", 1, 1), ("All", 1, 3)]
+
+
+def test_the_source_of_amounts_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    df = spark.range(100).selectExpr("cast(id % 3 as string) g", "cast(id as double) x").mapInPandas(count, "g string, x double")
+    nm.spend_summary(df, "g", "x", "All").collect()
+    assert read.value == 100
+    nm.density(df, ["g"], "x", points=8).collect()
+    assert read.value == 200
