@@ -100,20 +100,23 @@ def split_tag(df: DataFrame, col: str, tags: Mapping, name: str = "source", keep
     return tagged if keep_others else tagged.where(F.col(name).isNotNull())
 
 
-def band_join(df: DataFrame, col: str, bands: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
+def band_join(df: DataFrame, col: str, bands: DataFrame, lo: str, hi: str, width: float | None = None) -> DataFrame:
     """Attach the band whose [lo, hi] holds the value; null ends are open.
 
-    The range condition becomes an equality on cells of the given width: each band is repeated for
-    the cells it touches and each value looks only into its own cell. Cells beyond the outermost
-    finite ends are folded into the outermost cell, so open bands stay short.
+    The sorted ends of the bands cut the axis into cells: values of one cell are in the same bands. So the
+    range condition is an equality on the number of the cell, and a band is repeated for the cells between
+    its ends only, however wide it is. Finding a value's cell compares it with every end, as suits a list
+    of bands. ``width`` is not needed any more.
     """
-    cell = lambda c: F.floor(c / width)
-    ends = bands.select(F.explode(F.array(F.col(lo), F.col(hi))).alias("_end")).where(F.col("_end").isNotNull())
-    first = ends.agg(F.min(cell(F.col("_end"))) - 1).scalar()
-    last = ends.agg(F.max(cell(F.col("_end"))) + 1).scalar()
-    keyed = bands.withColumn("_cell", F.explode(F.sequence(
-        F.coalesce(cell(F.col(lo)), first), F.coalesce(cell(F.col(hi)), last))))
-    value = F.col(col)
-    inside = (value >= F.coalesce(F.col(lo), value)) & (value <= F.coalesce(F.col(hi), value))
-    values = df.withColumn("_own", F.least(F.greatest(cell(value), first), last))
-    return values.join(keyed, (F.col("_own") == F.col("_cell")) & inside, "left").drop("_own", "_cell")
+    ends = bands.agg(F.struct(F.collect_set(lo).alias("lows"), F.collect_set(hi).alias("highs")).alias("ends")).scalar()
+    lows, highs = F.col("_ends")["lows"], F.col("_ends")["highs"]
+
+    def cell(x: Column) -> Column:
+        return F.size(F.filter(lows, lambda e: e <= x)) + F.size(F.filter(highs, lambda e: e < x))
+
+    begin = F.when(F.col(lo).isNull(), F.lit(0)).otherwise(cell(F.col(lo)))
+    end = F.when(F.col(hi).isNull(), F.size(lows) + F.size(highs)).otherwise(cell(F.col(hi)))
+    keyed = bands.where(F.coalesce(F.col(lo) <= F.col(hi), F.lit(True))).withColumn("_ends", ends).withColumn(
+        "_cell", F.explode(F.sequence(begin, end))).drop("_ends")
+    values = df.withColumn("_ends", ends).withColumn("_own", F.when(F.col(col).isNotNull(), cell(F.col(col)))).drop("_ends")
+    return values.join(keyed, F.col("_own") == F.col("_cell"), "left").drop("_own", "_cell")

@@ -236,4 +236,17 @@ BANDS = [(None, 17, "0-17"), (18, 29, "18-29"), (30, 64, "30-64"), (65, None, "6
 def band_join(spark, d):
     bands = spark.createDataFrame(BANDS, "lo int, hi int, band string")
     ages = v.respondents(spark, d).select(s.age("birth_year", 2024).alias("age"))
-    return sample_size(f.band_join(ages, "age", bands, "lo", "hi", 10), ["band"])
+    return sample_size(f.band_join(ages, "age", bands, "lo", "hi"), ["band"])
+
+
+WIDE_BANDS = [(None, -1, "debt"), (0, 2_000_000, "all"), (0, 499_999, "low"), (500_000, 1_000_000, "mid"), (5, 4, "empty")]
+
+
+@query("J6_band_join_wide", """SELECT o_orderkey, band FROM orders LEFT JOIN (VALUES (-1e18, -1, 'debt'), (0, 2000000, 'all'), (0, 499999, 'low'),
+  (500000, 1000000, 'mid')) b(lo, hi, band) ON CASE WHEN o_orderkey % 10 > 0 THEN (o_orderkey * 7919) % 3000001 - 500000 END BETWEEN lo AND hi""")
+def band_join_wide(spark, d):
+    """Overlapping bands far wider than the distance of values, and unknown values."""
+    bands = spark.createDataFrame(WIDE_BANDS, "lo long, hi long, band string")
+    key = F.col("o_orderkey")
+    values = v.table(spark, d, "orders").select("o_orderkey", F.when(key % 10 > 0, key * 7919 % 3000001 - 500000).alias("x"))
+    return f.band_join(values, "x", bands, "lo", "hi").select("o_orderkey", "band")

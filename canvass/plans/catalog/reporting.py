@@ -20,7 +20,7 @@ from canvass.plans.catalog.clean import LABEL_SQL, Q6_MISSING, Q12_MISSING
 from canvass.plans.catalog.measures import rounded
 from canvass.plans.catalog.registry import query
 from canvass.plans.catalog.storage import QUESTIONS, value_levels
-from canvass.plans.instruments import Instrument, dashboard, spending_table
+from canvass.plans.instruments import Instrument, answered_bases, dashboard, spending_table
 
 ANSWERS = {"gender": ["gender_code"], "rating": ["rating"], "Q12": v.MULTI}
 
@@ -268,7 +268,7 @@ def age_shares(spark, d):
 
 VIEWS = Instrument(
     group="city", all_token="All Cities", gender="gender_code", genders=(1, 2, 3), singles=("gender_code", "rating"),
-    groups=("Q12",), batteries=("Q17",), spending={"total": tuple(v.SPEND)}, strict_totals=False)
+    groups=("Q12",), batteries=("Q17",), amounts=("Q6",), spending={"total": tuple(v.SPEND)}, strict_totals=False)
 SHOWN = ("EUROPE", "All Cities")
 TWICE = """f AS (SELECT * FROM census WHERE gender_code IN (1, 2, 3)), twice AS (SELECT * FROM f UNION ALL SELECT * REPLACE ('All Cities' AS city) FROM f)"""
 
@@ -291,3 +291,27 @@ def whole_dashboard(spark, d):
   SELECT city, count(*) n, round(avg(x), 4) mean, round(median(x), 4) median FROM twice GROUP BY 1""")
 def spending(spark, d):
     return rounded(spending_table(v.resp(spark, d), VIEWS, "total", SHOWN, (1, 2)), 4, "mean", "median")
+
+
+@query("B10_chosen_spending", f"""WITH {r.RESP}, f AS (SELECT city, coalesce(Q6_2, 0) + coalesce(Q6_4, 0) x FROM resp WHERE gender_code IN (1, 2) AND coalesce(Q6_2, Q6_4) IS NOT NULL),
+  twice AS (SELECT * FROM f WHERE city = 'EUROPE' UNION ALL SELECT 'All Cities', x FROM f)
+  SELECT city, count(*) n, round(avg(x), 4) mean, round(median(x), 4) median FROM twice GROUP BY 1""")
+def chosen_spending(spark, d):
+    """The total of the categories that a user picks."""
+    return rounded(spending_table(v.resp(spark, d), VIEWS, ["Q6_2", "Q6_4"], SHOWN, (1, 2)), 4, "mean", "median")
+
+
+@query("B10_place_amounts", f"""WITH {r.RESP}, f AS (SELECT city, Q6_3 x FROM resp WHERE gender_code IN (1, 2, 3) AND Q6_3 IS NOT NULL),
+  twice AS (SELECT * FROM f WHERE city = 'EUROPE' UNION ALL SELECT 'All Cities', x FROM f)
+  SELECT city, count(*) n, round(avg(x), 4) mean, round(median(x), 4) median FROM twice GROUP BY 1""")
+def place_amounts(spark, d):
+    """The amounts of one place."""
+    return rounded(spending_table(v.resp(spark, d), VIEWS, ["Q6_3"], SHOWN), 4, "mean", "median")
+
+
+@query("B10_answered_bases", f"""WITH {r.CENSUS}, {TWICE}, k AS (SELECT city, count(*) - sum({Q6_MISSING}) a, count(*) - sum({Q12_MISSING}) b,
+  count(coalesce({', '.join(v.BATTERY)})) c FROM twice WHERE city IN ('EUROPE', 'All Cities') GROUP BY 1)
+  SELECT city, 'Q6' question, CAST(a AS BIGINT) answered FROM k UNION ALL SELECT city, 'Q12', CAST(b AS BIGINT) FROM k UNION ALL SELECT city, 'Q17', c FROM k""")
+def bases(spark, d):
+    """How many answered each question group."""
+    return answered_bases(v.census(spark, d), VIEWS, SHOWN)

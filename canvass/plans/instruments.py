@@ -5,7 +5,7 @@ A report needs an instrument and a table; column groups that a table lacks are s
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ from canvass.functions.scalars import row_total
 from canvass.operators.codebook import lookup
 from canvass.operators.filters import SurveyParams, answered_any, keep_in
 from canvass.operators.numeric import spend_summary
-from canvass.operators.tabulate import tally
+from canvass.operators.tabulate import answered_counts, tally, with_all
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Instrument:
     singles: tuple[str, ...] = ()
     groups: tuple[str, ...] = ()
     batteries: tuple[str, ...] = ()
+    amounts: tuple[str, ...] = ()
     free_text: tuple[str, ...] = ()
     spending: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     strict_totals: bool = False
@@ -43,6 +44,11 @@ class Instrument:
     def questions(self, df: DataFrame, which: tuple[str, ...]) -> dict[str, list[str]]:
         return question_groups(df, which, drop=self.free_text)
 
+    def amount_columns(self, df: DataFrame, kind: str | Sequence[str]) -> list[str]:
+        """Columns of a named total, or of the questions and columns that are listed, as far as the table has them."""
+        stems = self.spending[kind] if isinstance(kind, str) else kind
+        return list(dict.fromkeys(n for s in stems for n in cols(df).group(s).minus(*self.free_text)))
+
     def single_questions(self, df: DataFrame) -> dict[str, list[str]]:
         return {q: [q] for q in self.singles if q in df.columns}
 
@@ -83,11 +89,13 @@ PARTICIPATION = Instrument(
              "M77", "M78"),
     batteries=("S6", "S7", "S8", "M22", "M24", "M25", "M26", "M31", "M33", "M35", "M38", "M39", "M42", "M43", "M44",
                "M45", "M46", "M47", "M49", "M50", "M51", "M54", "M56", "M57", "M61", "M62", "M63", "M70", "M74", "M79"),
+    amounts=("M14", "M18", "M29", "M34", "M36", "M37", "M55", "M69", "M71", "M73"),
     free_text=("M31_6t", "S8_9t", "M22_9t", "M42_11", "M42_11t", "M44_6", "M44_6t", "M70_21t"),
     spending={
         "last event": ("M18_1t_eur_mvr", "M19_1t_eur_mvr", "M19_2t_eur_mvr", "M19_3t_eur_mvr", "M19_4t_eur_mvr",
                        "M19_5t_eur_mvr", "M19_6t_eur_mvr", "M21_1t_eur_mvr", "M21_2t_eur_mvr"),
-        "events per month": ("M29_1t", "M29_2t", "M29_3t"), "listening per month": ("M37_1t", "M37_2t", "M37_3t", "M37_4t")},
+        "events per month": ("M29_1t", "M29_2t", "M29_3t"), "listening per month": ("M37_1t", "M37_2t", "M37_3t", "M37_4t"),
+        "studies": ("M55",), "instruments per year": ("M69",), "income per year": ("M71",), "total income": ("M73",)},
     empty_as_zero=("events per month",))
 
 
@@ -124,10 +132,16 @@ def dashboard(df: DataFrame, instrument: Instrument, groups: tuple[str, ...], ge
         (F.col("n") * F.lit(100.0) / F.col("responses")).alias("pct_responses"))
 
 
-def spending_table(df: DataFrame, instrument: Instrument, kind: str, groups: tuple[str, ...],
+def spending_table(df: DataFrame, instrument: Instrument, kind: str | Sequence[str], groups: tuple[str, ...],
                    genders: tuple[str, ...] = ("total",)) -> DataFrame:
-    """Number, mean and median of one spending total per group."""
-    names = [c for c in instrument.spending[kind] if c in cols(df).names]
+    """Number, mean and median of one spending total per group.
+
+    ``kind`` names a total of the instrument, or lists the questions or columns to add up. One column of a
+    place or grid gives the amounts there.
+    """
+    names = instrument.amount_columns(df, kind)
+    if not names:
+        raise ValueError(f"the table has no column of {kind!r}")
     params = instrument.params(groups, genders)
     if instrument.gender:
         df = df.where(F.col(instrument.gender).isin(params.gender_list()))
@@ -135,3 +149,14 @@ def spending_table(df: DataFrame, instrument: Instrument, kind: str, groups: tup
         df = answered_any(df, names)
     totals = df.select(instrument.group, row_total(names, instrument.strict_totals).alias("total")).na.drop()
     return keep_in(spend_summary(totals, instrument.group, "total", instrument.all_token), instrument.group, groups)
+
+
+def answered_bases(df: DataFrame, instrument: Instrument, groups: tuple[str, ...],
+                   genders: tuple[str, ...] = ("total",)) -> DataFrame:
+    """Respondents who answered each multi-response group, battery and amount question, per group, in one pass."""
+    if instrument.gender:
+        df = df.where(F.col(instrument.gender).isin(instrument.params(groups, genders).gender_list()))
+    questions = instrument.questions(df, (*instrument.groups, *instrument.batteries, *instrument.amounts))
+    wide = answered_counts(df, [instrument.group], questions)
+    counts = wide.unpivot(instrument.group, list(questions), "question", "answered")
+    return keep_in(with_all(counts, instrument.group, ["question"], instrument.all_token, "answered"), instrument.group, groups)

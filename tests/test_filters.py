@@ -92,3 +92,19 @@ def test_long_code_list_is_joined(spark):
     out = cb.decode(df, {"code": {i: f"label {i}" for i in range(1000)}})
     assert out.columns == ["code", "x"]
     assert rows(out) == [("5000", "c"), ("label 7", "a"), ("label 900", "b"), (None, "d")]
+
+
+def test_band_join_repeats_a_band_per_cell_of_ends(spark):
+    bands = spark.createDataFrame([(0, 2_000_000, "wide"), (10, 19, "teens"), (15, None, "open"), (None, None, "any"), (9, 3, "none")],
+                                  "lo long, hi long, band string")
+    df = spark.createDataFrame([(None,), (-1,), (0,), (10,), (15,), (19,), (20,), (2_000_000,), (2_000_001,)], "x long")
+    joined = f.band_join(df, "x", bands, "lo", "hi")
+    inside = lambda x, lo, hi: x is not None and (lo is None or x >= lo) and (hi is None or x <= hi)
+    table = [(None if b.lo is None else b.lo, b.hi, b.band) for b in bands.collect()]
+    expected = []
+    for (x,) in df.collect():
+        expected += [(x, n) for lo, hi, n in table if inside(x, lo, hi)] or [(x, None)]
+    got = [(r.x, r.band) for r in joined.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    empty = f.band_join(df, "x", bands.limit(0), "lo", "hi")
+    assert empty.count() == 9 and empty.where("band IS NOT NULL").count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows
 
 from canvass.plans import instruments as ins
@@ -38,6 +39,29 @@ def test_strict_totals_drop_partly_answered(spark):
     assert rows(ins.spending_table(df, ins.CENSUS, "total", ("Lviv",))) == [("Lviv", 1, 5.0, 5.0)]
 
 
+def test_chosen_and_named_amounts(spark):
+    df = spark.createDataFrame([
+        ("Spain", "Male", 1.0, None, 5.0, 9.0), ("Spain", "Male", None, None, None, None), ("Italy", "Female", 2.0, 4.0, None, 1.0)],
+        "S0 string, S3 string, M69_1t double, M69_2t double, M55 double, M36_2t double")
+    table = lambda kind: rows(ins.spending_table(df, ins.PARTICIPATION, kind, ("Spain", "All Countries")))
+    assert table("instruments per year") == [("All Countries", 2, 3.5, 3.5), ("Spain", 1, 1.0, 1.0)]
+    assert table(["M69_1t"]) == [("All Countries", 2, 1.5, 1.5), ("Spain", 1, 1.0, 1.0)]
+    assert table(["M69_1t", "M36_2t"]) == [("All Countries", 2, 6.5, 6.5), ("Spain", 1, 10.0, 10.0)]
+    assert table("studies") == [("All Countries", 1, 5.0, 5.0), ("Spain", 1, 5.0, 5.0)]
+    with pytest.raises(ValueError):
+        table("total income")
+
+
+def test_bases_of_all_question_groups(spark):
+    p = ins.PARTICIPATION
+    questions = {*p.batteries, *p.amounts}
+    assert len(questions) == 40
+    df = spark.createDataFrame([("Spain", "Male", *["x"] * 40), ("Italy", "Male", *[None] * 40), ("Spain", None, *["x"] * 40)],
+                               ["S0", "S3", *sorted(questions)])
+    assert rows(ins.answered_bases(df, p, ("Spain", "All Countries"))) == sorted(
+        (g, q, 1) for g in ("Spain", "All Countries") for q in questions)
+
+
 def test_grid_names():
     names = ins.grid_names()
     assert len(names) == 24
