@@ -67,21 +67,29 @@ def infer_qtype(df: DataFrame, levels: DataFrame, names: list[str] | None = None
     return facts.join(labels, "variable", "left").select("variable", qtype.alias("qtype"))
 
 
-def options_string(levels: DataFrame) -> DataFrame:
-    """``"label [code] | label [code]"`` per variable, in code order."""
+def option_lists(levels: DataFrame) -> DataFrame:
+    """``option_list``: the texts "label [code]" of each variable, in code order."""
     pair = F.struct(F.col("code"), F.concat("label", F.lit(" ["), F.col("code").cast("string"), F.lit("]")).alias("text"))
     return levels.groupBy("variable").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["text"]), " | ").alias("options"))
+        F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["text"]).alias("option_list"))
+
+
+def options_string(levels: DataFrame) -> DataFrame:
+    """``"label [code] | label [code]"`` per variable, in code order, for display."""
+    return option_lists(levels).select("variable", F.array_join("option_list", " | ").alias("options"))
 
 
 def questionnaire(df: DataFrame, questions: Mapping[str, str], levels: DataFrame) -> DataFrame:
-    """Variable, question text, type and options, one row per variable; texts default to the name."""
+    """Variable, question text, type and options, one row per variable; texts default to the name.
+
+    Options come as a list, and joined for display; labels may hold the separator.
+    """
     spec = infer_qtype(df, levels)
     texts = df.sparkSession.createDataFrame(
         [(c, i, questions.get(c) or c) for i, c in enumerate(df.columns)],
         "variable string, position int, question string")
-    return spec.join(texts, "variable").join(options_string(levels), "variable", "left").select(
-        "position", "variable", "question", "qtype", "options")
+    return spec.join(texts, "variable").join(option_lists(levels), "variable", "left").select(
+        "position", "variable", "question", "qtype", F.array_join("option_list", " | ").alias("options"), "option_list")
 
 
 def group_by_question(spec: DataFrame) -> DataFrame:
@@ -99,7 +107,8 @@ def group_by_question(spec: DataFrame) -> DataFrame:
 
 def questionnaire_blocks(spec: DataFrame) -> DataFrame:
     """One markdown block per variable, in questionnaire order."""
-    bullets = F.concat(F.lit("**Options:**\n- "), F.array_join(F.split("options", r" \| "), "\n- "))
+    # Headings and marks of a block.
+    bullets = F.concat(F.lit("**Options:**\n- "), F.array_join("option_list", "\n- "))
     block = F.concat(
         F.lit("## "), F.col("variable"), F.lit("\n**Question:** "), F.col("question"),
         F.lit("\n**Type:** "), F.col("qtype"), F.lit("\n"), F.coalesce(bullets, F.lit("")), F.lit("\n\n---\n"))

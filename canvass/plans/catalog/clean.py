@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions import columns as c
 from canvass.functions import scalars as s
+from canvass.operators import codebook as cb
 from canvass.operators import filters as f
 from canvass.operators import quality
 from canvass.operators import reshape
@@ -31,6 +32,13 @@ def rename(spark, d):
     return c.suffix_columns(df, "_new", ["id"])
 
 
+@query("P2_rename_crosswalk", "SELECT o_orderkey id, o_orderpriority Q4, o_orderstatus FROM orders")
+def rename_crosswalk(spark, d):
+    book = cb.Codebook.from_rows(
+        spark, crosswalk=[("o_orderkey", "id"), ("o_orderpriority", "Q4"), ("not_there", "Q5")], levels=[("Q4", "1-URGENT", "high", 1)])
+    return cb.rename_crosswalk(v.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), book)
+
+
 @query("P3_drop_columns", f"WITH {r.RESPONDENTS} SELECT id, city, country, segment, rating FROM respondents")
 def drop_columns(spark, d):
     return c.drop_columns(v.respondents(spark, d), ["end_date", "no_such_column", "gender_code"], contains="birth")

@@ -231,7 +231,7 @@ def statistic_series(spark, d):
   (2, 'birth_year', 'birth_year', 'numeric/open', NULL), (3, 'country', 'country', 'text', NULL)) t(position, "variable", question, qtype, "options") WHERE n > 0""")
 def questionnaire(spark, d):
     df = v.respondents(spark, d).select("gender_code", "rating", "birth_year", "country")
-    return dc.questionnaire(df, QUESTIONS, value_levels(spark))
+    return dc.questionnaire(df, QUESTIONS, value_levels(spark)).drop("option_list")
 
 
 @query("B13_open_answers", f"""WITH {r.OPEN_TEXT}, f AS (SELECT * FROM open_text WHERE answer <> '') SELECT f.id, lang, answer, quality FROM f LEFT JOIN labels ON f.id = doc_id""")

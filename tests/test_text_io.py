@@ -114,3 +114,11 @@ def test_codebook_xml(spark, tmp_path):
 def test_tables_by_name(spark, tmp_path):
     paths = writers.write_tables({"one": spark.range(3), "two": spark.range(2)}, str(tmp_path))
     assert {n: spark.read.parquet(p).count() for n, p in paths.items()} == {"one": 3, "two": 2}
+
+
+def test_labels_may_hold_the_separator(spark):
+    df = spark.createDataFrame([(1,), (2,)], "q int")
+    levels = spark.createDataFrame([("q", 1, "A | B"), ("q", 2, "C")], "variable string, code int, label string")
+    spec = dc.questionnaire(df, {}, levels)
+    assert spec.first()["options"] == "A | B [1] | C [2]"
+    assert "**Options:**\n- A | B [1]\n- C [2]\n" in dc.questionnaire_blocks(spec).first()["block"]
