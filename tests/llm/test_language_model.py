@@ -1,4 +1,5 @@
 import math
+import sys
 from collections import Counter
 
 import numpy as np
@@ -65,3 +66,18 @@ def test_empty_tables_and_batches(spark, monkeypatch):
     monkeypatch.setattr(lm, "HELD", 1)
     assert lm.count_words(docs).where("word = X'61'").first().n == sum((t or "").lower().split().count("a") for _, t in DOCS)
     assert [x for p in lm.pieces(["aaa", None, "b", ""], 2) for x in p] == ["aaa", None, "b", ""]
+
+
+def test_rare_words_and_bigrams_of_a_large_corpus_count(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules[__name__], "DOCS", [*DOCS, (7, "a b " * 60_000), (8, "seldom a seldom thing"), (8, "q seldom thing")])
+    monkeypatch.setattr(sys.modules[__name__], "TARGET", [*TARGET, (4, "seldom thing only here")])
+    docs, target = frames(spark)
+    want = sorted(((i or 0, n, t, b) for i, n, t, b in brute(0, 0) if n), key=lambda r: r[:3])
+    seen = []
+    for often in (4e-6, 0.0, 2.0):  # where a bigram is scored makes no difference
+        monkeypatch.setattr(lm, "OFTEN", often)
+        got = lm.scored(docs, lm.train(docs, target)).collect()
+        assert len(got) == len(DOCS)
+        seen.append(sorted(((r.doc_id or 0, r.n_words, r.target_bits, r.background_bits) for r in got if r.n_words), key=lambda r: r[:3]))
+        assert np.allclose(seen[-1], want)
+    assert seen[0] == seen[1] == seen[2]
