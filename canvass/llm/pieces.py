@@ -7,9 +7,11 @@ varied but reproducible way into pieces that spell it all the same. Without drop
 of the public SentencePiece library.
 
 No piece reaches over the start of a word, so words are segmented on their own. The key of the hash is
-seed, word and one of ``variants`` numbers that a hash of document and place draws for each occurrence
-of the word. Words of a batch are segmented side by side on arrays, one merge per word and round; long
-unbroken ones by an agenda. Characters without a piece fall back to bytes, among them a U+2581 of the
+seed, document, copy, place and word, so every occurrence of a word has draws of its own. Distinct words
+of a batch are first segmented without dropout. An occurrence whose draws skip none of the merges that
+its word took then has that segmentation, as a skipped candidate that is never the best one changes
+nothing; all other occurrences are segmented one by one. That happens side by side on arrays, one merge
+per word and round; long unbroken words are segmented by an agenda. Characters without a piece fall back to bytes, among them a U+2581 of the
 text itself, which SentencePiece uses for the space; so every text decodes to itself.
 """
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ WORDS = re.compile(r" +[^ ]*|[^ ]+")
 SHORT = 40
 #: Characters of texts whose words are gathered before they are segmented.
 GATHERED = 1 << 22
+#: Words that are segmented at once.
+CHUNK = 1 << 17
 # The odd multipliers of a published 64-bit mixing function.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BITS64 = (1 << 64) - 1
@@ -92,22 +97,22 @@ def mixed(x):
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int = 0, dropout: float = 0.0, variants: int = 4) -> None:
-        self.v, self.seed, self.variants = vocabulary, seed, variants if dropout else 1
+    def __init__(self, vocabulary: Vocabulary, seed: int = 0, dropout: float = 0.0) -> None:
+        self.v, self.seed = vocabulary, seed
         self.limit = min(int(dropout * 2**64), BITS64)
         # Symbols of characters that no piece has: numbers that are in no pair.
         self.other = 1 << 22
 
-    def key(self, word: str, variant: int) -> int:
-        return mixed((self.seed * MIX[0] + variant * MIX[1] + zlib.crc32(word.encode())) & BITS64)
+    def key(self, word: str, occurrence: int) -> int:
+        return mixed((self.seed * MIX[0] + occurrence * MIX[1] + zlib.crc32(word.encode())) & BITS64)
 
     def symbols(self, word: str) -> list[int]:
         get = self.v.symbol.get
         return [s if (s := get(c)) is not None and c != "▁" else self.other + ord(c) for c in word]
 
-    def agenda(self, word: str, variant: int) -> list[int]:
+    def agenda(self, word: str, key: int) -> list[int]:
         """Segment one word by a queue of candidates."""
-        v, key = self.v, self.key(word, variant)
+        v = self.v
         sym = self.symbols(word)
         n = len(sym)
         stop, nxt, prev, queue = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1)), []
@@ -137,25 +142,34 @@ class Encoder:
             propose(i)
         return [s for s, g in zip(sym, gone, strict=True) if not g]
 
-    def side_by_side(self, words: list[tuple[str, int]]) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
-        """Segment many words at once; symbols of all words in order, and how many each has."""
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the characters of all words in order, and how many each has."""
+        return np.array([s for w in words for s in self.symbols(w)], dtype=np.int64), np.array([len(w) for w in words], dtype=np.int64)
+
+    def side_by_side(self, words: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Segment many occurrences of words at once; symbols of all words in order, and how many each has."""
+        key = np.array([self.key(w, k) for w, k in words], dtype=np.uint64)
+        return self.merged(*self.letters([w for w, _ in words]), key)
+
+    def draws(self, key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Are the candidates skipped?"""
+        u = lambda x: x.astype(np.uint64)
+        return mixed(key + u(begin) * np.uint64(MIX[0]) + u(middle) * np.uint64(MIX[1]) + u(end) * np.uint64(MIX[2])) < np.uint64(self.limit)
+
+    def merged(self, sym: np.ndarray, lengths: np.ndarray, key: np.ndarray | None, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of words, without dropout if there are no keys; ``taken`` gets the merges of each round."""
         v = self.v
-        lengths = np.array([len(w) for w, _ in words], dtype=np.int64)
-        sym = np.array([s for w, _ in words for s in self.symbols(w)], dtype=np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(lengths)), lengths)
         begin = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        stop = begin + 1
-        key = np.array([self.key(w, k) for w, k in words], dtype=np.uint64) if self.limit else None
+        sym, stop = sym.copy(), begin + 1
         done = []
         while len(sym):
             pair = np.where((sym[:-1] < self.other) & (sym[1:] < self.other) & (word[:-1] == word[1:]), sym[:-1] * v.size + sym[1:], -1)
             at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
             hit = np.flatnonzero(v.pairs[at] == pair)
-            if self.limit and len(hit):
-                u = lambda x: x.astype(np.uint64)
-                draw = mixed(key[word[hit]] + u(begin[hit]) * np.uint64(MIX[0]) + u(stop[hit]) * np.uint64(MIX[1]) + u(stop[hit + 1]) * np.uint64(MIX[2]))
-                hit = hit[draw >= np.uint64(self.limit)]
-            live = np.zeros(len(words), bool)
+            if self.limit and key is not None and len(hit):
+                hit = hit[~self.draws(key[word[hit]], begin[hit], stop[hit], stop[hit + 1])]
+            live = np.zeros(len(lengths), bool)
             live[word[hit]] = True
             rest = live[word]
             done.append((sym[~rest], word[~rest]))
@@ -164,11 +178,15 @@ class Encoder:
             owner = word[hit]
             heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat((v.rank[at[hit]] << 32) | hit, heads) & 0xFFFFFFFF
+            if taken is not None:
+                taken.append((word[best], begin[best], stop[best], stop[best + 1]))
             sym[best], stop[best] = v.merged[at[best]], stop[best + 1]
             rest[best + 1] = False
             sym, word, begin, stop = sym[rest], word[rest], begin[rest], stop[rest]
+        if not done:
+            return sym, np.zeros(len(lengths), np.int64)
         sym, word = np.concatenate([s for s, _ in done]), np.concatenate([w for _, w in done])
-        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
     def spelled(self, sym: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes for characters that have no piece."""
@@ -189,47 +207,83 @@ class Encoder:
 
     def batch(self, texts: list[str | None], ids: list) -> Iterator[np.ndarray]:
         """Piece numbers of each text; the draws depend on seed, id, place and word."""
-        known: list[dict[str, int]] = [{} for _ in range(self.variants)]
-        todo, uses = [], []
+        known: dict[str, int] = {}
+        use, drawn, sizes = [], [], []
         for text, i in zip(texts, ids, strict=True):
             words = WORDS.findall(" " + text) if text else []
-            if self.variants > 1:
-                first = mixed((self.seed * MIX[2] + zlib.crc32(str(i).encode())) & BITS64)
-                draw = (mixed(np.arange(len(words), dtype=np.uint64) * np.uint64(MIX[0]) + np.uint64(first)) % np.uint64(self.variants)).tolist()
-            else:
-                draw = [0] * len(words)
-            use = []
-            for w, k in zip(words, draw, strict=True):
-                n = known[k].get(w)
-                if n is None:
-                    n = known[k][w] = len(todo)
-                    todo.append((w, k))
-                use.append(n)
-            uses.append(np.array(use, dtype=np.int64))
+            use.extend([known.setdefault(w, len(known)) for w in words])
+            sizes.append(len(words))
+            if self.limit:
+                first = mixed((self.seed * MIX[2] + xxhash.xxh64_intdigest(str(i).encode())) & BITS64)
+                drawn.append(mixed(np.arange(len(words), dtype=np.uint64) * np.uint64(MIX[0]) + np.uint64(first)))
+        # Short words first; the segmentation of a word without dropout has the number of the word.
+        names = sorted(known, key=lambda w: len(w) > SHORT)
+        short = sum(len(w) <= SHORT for w in names)
+        place = np.empty(len(known), np.int64)
+        place[[known[w] for w in names]] = np.arange(len(names))
+        use = place[np.array(use, dtype=np.int64)]
         del known
         parts, counts = [], []
-        short = [n for n, (w, _) in enumerate(todo) if len(w) <= SHORT]
-        for k in range(0, len(short), 1 << 17):
-            sym, count = self.spelled(*self.side_by_side([todo[n] for n in short[k: k + (1 << 17)]]))
-            parts.append(sym)
-            counts.append(count)
-        long = [n for n, (w, _) in enumerate(todo) if len(w) > SHORT]
-        for n in long:
-            sym = np.array(self.agenda(*todo[n]), dtype=np.int64)
-            sym, count = self.spelled(sym, np.array([len(sym)]))
-            parts.append(sym)
+
+        def keep(sym: np.ndarray, count: np.ndarray) -> None:
+            sym, count = self.spelled(sym, count)
+            parts.append(sym.astype(np.int32))
             counts.append(count)
-        if todo:
-            flat, count = np.concatenate(parts).astype(np.int32), np.concatenate(counts)
-            size, start = np.empty(len(todo), np.int64), np.empty(len(todo), np.int64)
-            order = np.array(short + long)
-            size[order], start[order] = count, np.cumsum(count) - count
-        for use in uses:
-            if len(use):
-                n = size[use]
-                yield flat[np.repeat(start[use] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            else:
-                yield np.zeros(0, np.int32)
+
+        letters, lengths = self.letters(names[:short])
+        begins = np.cumsum(lengths) - lengths
+        if self.limit:
+            crc = np.array([zlib.crc32(w.encode()) for w in names], dtype=np.uint64)
+            key = np.uint64(self.seed * MIX[0] & BITS64) + np.concatenate(drawn) * np.uint64(MIX[1]) + crc[use]
+            key = mixed(key)
+            del drawn
+            skipped = np.zeros(len(use), bool)
+            by_word = np.argsort(use, kind="stable")
+            bounds = np.searchsorted(use[by_word], np.arange(short + 1))
+        for k in range(0, short, CHUNK):
+            end = min(k + CHUNK, short)
+            taken = [] if self.limit else None
+            keep(*self.merged(letters[begins[k]: begins[end - 1] + lengths[end - 1]], lengths[k:end], None, taken))
+            if taken:
+                word, *candidate = (np.concatenate(c) for c in zip(*taken, strict=True))
+                order = np.argsort(word, kind="stable")
+                candidate = [c[order] for c in candidate]
+                many = np.bincount(word, minlength=end - k)
+                start = np.cumsum(many) - many
+                mine = by_word[bounds[k]: bounds[end]]
+                for j in range(0, len(mine), CHUNK):
+                    part = mine[j: j + CHUNK]
+                    of = use[part] - k
+                    n = many[of]
+                    flat = np.repeat(start[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    owner = np.repeat(part, n)
+                    skipped[owner[self.draws(key[owner], *[c[flat] for c in candidate])]] = True
+        if self.limit:
+            # Long words are always segmented one by one.
+            again = np.flatnonzero(skipped)
+            for k in range(0, len(again), CHUNK):
+                part = again[k: k + CHUNK]
+                n = lengths[use[part]]
+                flat = np.repeat(begins[use[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                keep(*self.merged(letters[flat], n, key[part]))
+            far = np.flatnonzero(use >= short)
+            todo = [(names[w], int(x)) for w, x in zip(use[far].tolist(), key[far].tolist(), strict=True)]
+            use[again] = short + np.arange(len(again))
+            use[far] = short + len(again) + np.arange(len(far))
+        else:
+            todo = [(w, 0) for w in names[short:]]
+        for w, x in todo:
+            sym = np.array(self.agenda(w, x), dtype=np.int64)
+            keep(sym, np.array([len(sym)]))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        at = 0
+        for many in sizes:
+            mine = use[at: at + many]
+            at += many
+            n = size[mine]
+            yield flat[np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def encode(self, texts: list[str | None], ids: list) -> Iterator[np.ndarray]:
         at = 0
@@ -248,21 +302,25 @@ def decode(vocabulary: Vocabulary, pieces) -> str:
     return b"".join([spelling[i] for i in pieces]).decode("utf-8", "replace")[1:]
 
 
-def encoded(docs: DataFrame, seed: int = 0, dropout: float = 0.1, variants: int = 4, model: str = MODEL,
-            id_col: str = "doc_id", text_col: str = "text", name: str = "pieces") -> DataFrame:
+def encoded(docs: DataFrame, seed: int = 0, dropout: float = 0.1, model: str = MODEL, id_col: str = "doc_id",
+            text_col: str = "text", name: str = "pieces", copy_col: str | None = None) -> DataFrame:
     """The documents with their piece numbers in the column ``name``, which is replaced if there is one.
 
-    A null or empty text has no pieces. Rows with the same id and text are segmented alike.
+    A null or empty text has no pieces. Rows with the same id and text are segmented alike, unless ``copy_col``
+    tells them apart.
     """
     vocabulary = load(model)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(vocabulary, seed, dropout, variants)
+        encoder = Encoder(vocabulary, seed, dropout)
         for texts, ids in batches:
             yield pd.Series(list(encoder.encode(texts.tolist(), ids.tolist())), dtype=object)
 
-    return docs.withColumn(name, encode(col(text_col), col(id_col).cast("string")))
+    ident = col(id_col).cast("string")
+    if copy_col:
+        ident = F.concat_ws(":", F.coalesce(ident, F.lit("\\N")), col(copy_col).cast("string"))
+    return docs.withColumn(name, encode(col(text_col), ident))
 
 
 def decoded(df: DataFrame, model: str = MODEL, pieces_col: str = "pieces", name: str = "text") -> DataFrame:
@@ -277,7 +335,7 @@ def decoded(df: DataFrame, model: str = MODEL, pieces_col: str = "pieces", name:
     return df.withColumn(name, spell(col(pieces_col)))
 
 
-def digests(docs: DataFrame, seed: int = 0, dropout: float = 0.1, variants: int = 4, model: str = MODEL) -> DataFrame:
+def digests(docs: DataFrame, seed: int = 0, dropout: float = 0.1, model: str = MODEL) -> DataFrame:
     """One row per document: doc_id, n_pieces, pieces_crc32 (of the numbers as 4 little-endian bytes), and
     whether decoding gives the text back. Encoding and decoding happen in one pass, so the pieces do not
     travel."""
@@ -285,7 +343,7 @@ def digests(docs: DataFrame, seed: int = 0, dropout: float = 0.1, variants: int
 
     @F.pandas_udf("struct<n_pieces long, pieces_crc32 long, lossless boolean>")
     def summarise(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary, seed, dropout, variants)
+        encoder = Encoder(vocabulary, seed, dropout)
         for texts, ids in batches:
             texts, rows = texts.tolist(), []
             for text, pieces in zip(texts, encoder.encode(texts, ids.tolist()), strict=True):

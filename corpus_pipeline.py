@@ -6,7 +6,8 @@ reads back as the next stage's documents. All stages but the last return the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from canvass.llm import exact_dedup, minhash, mixing, pieces, quality
 from canvass.llm.common import table
@@ -34,8 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the numbers of their pieces, under seeded merge dropout."""
-    return pieces.encoded(docs, seed=1)
+    """The documents with the numbers of their pieces, under seeded merge dropout that differs between copies."""
+    # Equal rows: it makes no difference which of them has which number.
+    numbered = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1))))
+    return pieces.encoded(numbered, seed=1, copy_col="_copy").drop("_copy")
 
 
 STAGES = [

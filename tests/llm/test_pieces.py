@@ -67,3 +67,28 @@ def test_frames(spark):
     assert all(r.lossless and want[r.doc_id] == (r.n_pieces, r.pieces_crc32) for r in got) and len(got) == len(TEXTS) + 1
     assert pieces.digests(docs.limit(0)).count() == 0
     assert pieces.digests(table(spark, "/root/testdata/sf0.01", "documents")).where("NOT lossless").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 7])
+def test_every_occurrence_has_draws_of_its_own(monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    word = "internationalization"
+    encoder = pieces.Encoder(V, 5, 0.3)
+    one = [g.tolist() for g in encoder.encode([word], [1])][0]
+    seen = {tuple(g.tolist()) for g in encoder.encode([word] * 300, list(range(300)))}
+    assert len(seen) > 20 and tuple(one) in seen
+    # As if each occurrence had been segmented on its own.
+    text = " ".join([word, "the", "representation", "the"] * 30)
+    names = pieces.WORDS.findall(" " + text)
+    drawn = pieces.mixed(pieces.np.arange(len(names), dtype=pieces.np.uint64) * pieces.np.uint64(pieces.MIX[0]) + pieces.np.uint64(
+        pieces.mixed((5 * pieces.MIX[2] + pieces.xxhash.xxh64_intdigest(b"9")) & pieces.BITS64)))
+    want = [p for w, k in zip(names, drawn.tolist(), strict=True) for p in encoder.agenda(w, encoder.key(w, k))]
+    assert next(iter(encoder.encode([text], [9]))).tolist() == want
+
+
+def test_copies_differ_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "internationalization of representation " * 20)] * 4 + [(None, None)], "doc_id long, text string")
+    out = [r.pieces for r in corpus_pipeline.encode_pieces(spark, docs, "").collect()]
+    assert len({tuple(p) for p in out if p}) == 4 and len(out) == 5
