@@ -1,16 +1,19 @@
-"""Licence texts found in documents: winnowed fingerprints pick candidates, banded alignment confirms them.
-
-Every run of ``GRAM`` words has a hash; of each ``WINDOW`` neighbouring hashes the smallest is kept as
-a fingerprint. The fingerprints of the templates form an inverted index of bounded size, which travels
-to the tasks. A document that shares a run of GRAM + WINDOW - 1 words with a template shares a
-fingerprint of it, which fixes a diagonal; an alignment in a band about that diagonal then finds how
-many words of the template occur in order, and from where to where.
+"""Licence texts found in documents: runs of words pick candidates, banded alignment confirms them.
+
+A match that lacks few enough words of a template for the wanted coverage still has a run of its words;
+how long that run must be follows from coverage and length, and the template is indexed by its runs of
+that length, ``GRAM`` words at most. If it is GRAM + WINDOW - 1 words, of each ``WINDOW`` neighbouring
+hashes only the smallest is indexed and looked up. The index travels to the tasks. A run that text and
+template share fixes a diagonal; an alignment in a band about it finds how many words of the template
+occur in order, and from where to where. Words of punctuation only, such as the marks of comment
+lines, are left out of both. Many words put into a match can still break all its runs.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm.common import col
 
-GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
+GRAM, WINDOW, COVERAGE = 3, 3, 0.8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = b"\"'`.,;:!?()[]{}<>*#/|-"
 REMEMBERED = 400_000
@@ -56,14 +59,21 @@ TEMPLATES = {
 
 
 def word_hash(word: bytes) -> int:
-    """Of the word without punctuation around it; a word of punctuation only stands for itself."""
-    return xxhash.xxh64_intdigest(word.strip(EDGE) or word) >> 1
+    """Of the word without punctuation around it; -1 for a word of punctuation only."""
+    bare = word.strip(EDGE)
+    return xxhash.xxh64_intdigest(bare) >> 1 if bare else -1
+
+
+def run_of(words: int, coverage: float) -> int:
+    """The longest run that a match at the coverage has at least, if it only lacks words or has others for them."""
+    need = min(max(math.ceil(coverage * words - 1e-9), 1), words)
+    return -(-need // (words - need + 1))
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    """Hash of each run of GRAM words."""
-    out = np.zeros(max(len(h) - GRAM + 1, 0), np.uint64)
-    for k in range(GRAM):
+def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of each run of so many words."""
+    out = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for k in range(size):
         out = (out * np.uint64(0x9E3779B97F4A7C15) + h[k: k + len(out)].astype(np.uint64))
         out ^= out >> np.uint64(29)
     return out
@@ -82,37 +92,57 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Templates, their fingerprints with template and place, and a filter on the low bits of a hash."""
+    """Templates, their runs by length with template and place, and a filter on the low bits of a run's hash."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.words = {n: np.array([word_hash(w) for w in t.encode().lower().split()], np.int64) for n, t in sorted(templates.items())}
-        self.places = defaultdict(list)
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE) -> None:
+        hashes = {n: np.array([word_hash(w) for w in t.encode().lower().split()], np.int64) for n, t in sorted(templates.items())}
+        self.words = {n: h[h >= 0] for n, h in hashes.items() if (h >= 0).any()}
+        self.places, self.low, self.thinned = {}, {}, set()
         for name, h in self.words.items():
-            g = grams(h)
-            for k in fingerprints(g).tolist():
-                self.places[int(g[k])].append((name, k))
-        self.low = np.zeros(1 << 16, bool)
-        self.low[[p & 0xFFFF for p in self.places]] = True
+            run = run_of(len(h), coverage)
+            size = min(run, GRAM)
+            g = grams(h, size)
+            thin = run >= GRAM + WINDOW - 1
+            if thin:
+                self.thinned.add(name)
+            places = self.places.setdefault(size, defaultdict(list))
+            for k in fingerprints(g).tolist() if thin else range(len(g)):
+                places[int(g[k])].append((name, k))
+        for size, places in self.places.items():
+            self.low[size] = np.zeros(1 << 16, bool)
+            self.low[size][[p & 0xFFFF for p in places]] = True
 
     def candidates(self, h: np.ndarray) -> dict[str, list[int]]:
-        """Per template the places in the text where it may begin, one for each band."""
-        g = grams(h)
-        maybe = np.flatnonzero(self.low[(g & np.uint64(0xFFFF)).astype(np.int64)])
-        if not len(maybe):
-            return {}
+        """Per template the places in the text where it may begin, so many that each hit is in the inner half of a band."""
         found = defaultdict(set)
-        for k in maybe.tolist():
-            for name, place in self.places.get(int(g[k]), ()):
-                near = g[max(k - WINDOW + 1, 0): k + WINDOW]
-                at = k - max(k - WINDOW + 1, 0)
-                if at in fingerprints(near):
+        for size, places in self.places.items():
+            g = grams(h, size)
+            for k in np.flatnonzero(self.low[size][(g & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+                for name, place in places.get(int(g[k]), ()):
+                    if name in self.thinned:
+                        from_ = max(k - WINDOW + 1, 0)
+                        if k - from_ not in fingerprints(g[from_: k + WINDOW]):
+                            continue
                     found[name].add(k - place)
-        return {n: [s for i, s in enumerate(b) if not i or s - b[i - 1] > band_of(self.words[n]) // 2] for n, b in ((n, sorted(s)) for n, s in found.items())}
+        out = {}
+        for name, begins in found.items():
+            kept = []
+            for s in sorted(begins):
+                if not kept or s - kept[-1] > band_of(self.words[name]) // 2:
+                    kept.append(s)
+            out[name] = kept
+        return out
 
 
 def band_of(template: np.ndarray) -> int:
-    """Words by which an alignment may leave its diagonal: a quarter of the template's, 2 to BAND."""
-    return max(2, min(BAND, len(template) // 4))
+    """Words by which an alignment may leave its diagonal: a quarter of the template's, 2 at least."""
+    return max(2, len(template) // 4)
+
+
+def shared(template: np.ndarray, text: np.ndarray) -> int:
+    """Words that both have, in any order."""
+    have = Counter(text.tolist())
+    return sum(min(n, have[w]) for w, n in Counter(template.tolist()).items())
 
 
 def align(template: np.ndarray, text: np.ndarray, begin: int, band: int) -> tuple[int, int, int]:
@@ -166,12 +196,17 @@ class Scanner:
         if not text:
             return []
         h = self.hashes(text)
+        word = np.flatnonzero(h >= 0)
+        h = h[word]
         found = []
         for name, begins in self.index.candidates(h).items():
             template = self.index.words[name]
+            band, need = band_of(template), self.coverage * len(template)
             for begin in begins:
-                matched, first, last = align(template, h, begin, band_of(template))
-                if matched >= self.coverage * len(template):
+                if shared(template, h[max(begin - band, 0): max(begin + len(template) + band + 1, 0)]) < need:
+                    continue
+                matched, first, last = align(template, h, begin, band)
+                if matched >= need:
                     found.append((matched / len(template), matched, name, first, last))
         # Of overlapping finds the one with more matched words counts, unless its coverage is lower.
         found.sort(key=lambda f: (-f[0], -f[1], f[2], f[3]))
@@ -182,18 +217,18 @@ class Scanner:
         if not taken:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        return [(n, c, m, len(self.index.words[n]), spans[a][0], spans[b - 1][1]) for c, m, n, a, b in sorted(taken, key=lambda f: f[3])]
+        return [(n, c, m, len(self.index.words[n]), spans[word[a]][0], spans[word[b - 1]][1]) for c, m, n, a, b in sorted(taken, key=lambda f: f[3])]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per licence found: doc_id, license, coverage, matched, template_words, start, stop.
 
-    Whole texts are scanned; ``start`` and ``stop`` count code points. A template with fewer than GRAM
+    Whole texts are scanned; ``start`` and ``stop`` count code points. A template without
     words is never found; texts without licences, null and empty ones give no row; repeated rows give
     repeated results. Other columns are not read.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, coverage)
     schema = "array<struct<license string, coverage double, matched int, template_words int, start int, stop int>>"
 
     @F.pandas_udf(schema)

@@ -69,3 +69,29 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in got) == ["3", "3", "3", "None"] and max(r.start for r in got) == 400_000
     assert li.scan(docs.limit(0)).count() == 0
     assert li.scan(docs, {}).count() == 0
+
+
+def test_commented_headers_and_short_variants():
+    scan = li.Scanner(INDEX, li.COVERAGE)
+    words = li.TEMPLATES["Apache-2.0-header"].split()
+    lines = [" ".join(words[k: k + 5]) for k in range(0, len(words), 5)]
+    for mark in ("# ", "// ", " * "):
+        assert [(g[0], g[1]) for g in scan("\n".join(mark + x for x in lines))] == [("Apache-2.0-header", 1.0)]
+    numbered = scan(" ".join(f"{k} {x}" for k, x in enumerate(lines)))  # a word more every five words
+    assert [(g[0], g[1]) for g in numbered] == [("Apache-2.0-header", 1.0)]
+    assert [g[0] for g in scan("Released under an MIT License")] == ["MIT"]
+    long = " ".join(f"w{k}" for k in range(200))
+    drift = " ".join(f"w{k}" + " x" * (k % 5 == 0) for k in range(200))
+    assert [g[1] for g in li.Scanner(li.Index({"long": long}), li.COVERAGE)(drift)] == [1.0]
+    assert [g[0] for g in li.Scanner(li.Index({"two": "Public Domain"}), li.COVERAGE)("in the public domain now")] == ["two"]
+
+
+def test_every_match_with_other_words_is_a_candidate():
+    rng = random.Random(4)
+    for n in [*range(1, 40), 64, 120]:
+        template = [f"t{k}" for k in range(n)]
+        scan = li.Scanner(li.Index({"t": " ".join(template)}), li.COVERAGE)
+        for _ in range(10):
+            other = set(rng.sample(range(n), n - int(np.ceil(0.8 * n - 1e-9))))
+            text = " ".join("other" if k in other else w for k, w in enumerate(template))
+            assert [g[2] for g in scan("ahead " + text + " after")] == [n - len(other)]
