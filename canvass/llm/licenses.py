@@ -29,7 +29,39 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = b"\"'`.,;:!?()[]{}<>*#/|-"
 REMEMBERED = 400_000
 
-# Published licence notices.
+# Published licence notices, headers and texts. Of the longest texts (GPL family, Apache, MPL, CC0) the title.
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. ")
+_CLAUSE_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. ")
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software")
+_HEADER = (
+    "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public "
+    "License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any "
+    "later version.")
+_GNU = {"GPL-2.0": ("program", "", "2"), "GPL-3.0": ("program", "", "3"), "LGPL-2.0": ("library", "Library ", "2"),
+        "LGPL-2.1": ("library", "Lesser ", "2.1"), "LGPL-3.0": ("library", "Lesser ", "3"), "AGPL-3.0": ("program", "Affero ", "3")}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+         "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+         "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -38,24 +70,65 @@ TEMPLATES = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."),
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+    "MIT-text": _MIT + ".",
+    "MIT-full": _MIT + (
+        ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "Apache-2.0-release": "Released under the Apache License 2.0.",
+    "Apache-2.0-title": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, "
+        "AND DISTRIBUTION"),
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause-text": _BSD + _AS_IS,
+    "BSD-3-Clause-text": _BSD + _CLAUSE_3 + _AS_IS,
+    "BSD-2-Clause-conditions": _BSD.strip(),
+    "BSD-3-Clause-conditions": (_BSD + _CLAUSE_3).strip(),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "CC0-1.0-notice": "This work is licensed under CC0 1.0 Universal.",
+    "CC0-1.0-title": "Creative Commons Legal Code CC0 1.0 Universal",
+    "GPL-2.0-only-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License version 2 as published by the Free Software Foundation."),
+    "ISC": "Released under the ISC License.",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."),
+    "MPL-2.0-title": "Mozilla Public License Version 2.0 1. Definitions",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    **{f"{name}-header": _HEADER.format(what=what, kind=kind, version=version, mark=":;"[version < "3"], comma=",;"[version < "3"])
+       for name, (what, kind, version) in _GNU.items()},
+    **{f"CC-{short}-{version}": f"Licensed under CC {short} {version}." for short in _CC for version in ("3.0", "4.0")},
+    **{f"CC-{short}-4.0-notice": f"This work is licensed under a Creative Commons {name} 4.0 International License." for short, name in _CC.items()},
+    **{f"CC-{short}-3.0-notice": f"This work is licensed under a Creative Commons {name} 3.0 Unported License." for short, name in _CC.items()},
+    **{f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in _SPDX},
 }
+#: Words that name a licence; a match has all of its template's, and all version numbers with a dot.
+TELLING = {"affero", "apache", "bsd", "bsd-style", "cc", "cc0", "commons", "creative", "gnu", "isc", "lesser", "mit", "mozilla", "mpl"}
+VERSION = re.compile(rb"\d+(\.\d+)+")
 
 
 def word_hash(word: bytes) -> int:
@@ -92,12 +165,30 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Templates, their runs by length with template and place, and a filter on the low bits of a run's hash."""
+    """Templates, their runs by length with template and place, and a filter on the low bits of a run's hash.
+
+    ``must`` has words that tell a template from others, and how many of them a match needs: all words of TELLING and
+    VERSION, and those that a sibling lacks, a template whose text would reach the coverage. Of up to four such words
+    the naming ones are needed, or all if none of them is one; of more, the share that is the coverage.
+    """
 
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE) -> None:
         hashes = {n: np.array([word_hash(w) for w in t.encode().lower().split()], np.int64) for n, t in sorted(templates.items())}
         self.words = {n: h[h >= 0] for n, h in hashes.items() if (h >= 0).any()}
         self.places, self.low, self.thinned = {}, {}, set()
+        naming = {word_hash(w) for t in templates.values() for w in t.encode().lower().split()
+                  if w.strip(EDGE).decode() in TELLING or VERSION.fullmatch(w.strip(EDGE)) or w.strip(EDGE).isdigit()}
+        whole = {word_hash(w) for t in templates.values() for w in t.encode().lower().split() if w.strip(EDGE).isdigit()}
+        counts = {n: Counter(h.tolist()) for n, h in self.words.items()}
+        self.must = {}
+        for name, h in self.words.items():
+            needs = [(np.array([w for w in counts[name] if w in naming - whole], np.int64), 1.0)]
+            for other, have in counts.items():
+                lacks = np.array(list((counts[name] - have).elements()), np.int64)
+                if other != name and 0 < len(lacks) <= (1 - coverage) * len(h) + 1e-9:
+                    told = lacks[[w in naming for w in lacks.tolist()]]
+                    needs.append((lacks, coverage) if len(lacks) > 4 else (told if len(told) else lacks, 1.0))
+            self.must[name] = list({(tuple(sorted(w.tolist())), c): (w, c) for w, c in needs if len(w)}.values())
         for name, h in self.words.items():
             run = run_of(len(h), coverage)
             size = min(run, GRAM)
@@ -206,7 +297,7 @@ class Scanner:
                 if shared(template, h[max(begin - band, 0): max(begin + len(template) + band + 1, 0)]) < need:
                     continue
                 matched, first, last = align(template, h, begin, band)
-                if matched >= need:
+                if matched >= need and all(shared(w, h[first:last]) >= c * len(w) for w, c in self.index.must[name]):
                     found.append((matched / len(template), matched, name, first, last))
         # Of overlapping finds the one with more matched words counts, unless its coverage is lower.
         found.sort(key=lambda f: (-f[0], -f[1], f[2], f[3]))

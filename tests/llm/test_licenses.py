@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from canvass.llm import licenses as li
 from canvass.llm.common import table
@@ -95,3 +97,27 @@ def test_every_match_with_other_words_is_a_candidate():
             other = set(rng.sample(range(n), n - int(np.ceil(0.8 * n - 1e-9))))
             text = " ".join("other" if k in other else w for k, w in enumerate(template))
             assert [g[2] for g in scan("ahead " + text + " after")] == [n - len(other)]
+
+
+def test_neighbouring_licences_are_told_apart():
+    scan = li.Scanner(INDEX, li.COVERAGE)
+    named = lambda text: [g[0] for g in scan(text)]
+    header = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+              "published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    assert named(header.format(2)) == ["GPL-2.0-header"] and named(header.format(3)) == ["GPL-3.0-header"] and named(header.format(9)) == []
+    assert named(header.format(3).replace("General", "Affero General")) == ["AGPL-3.0-header"]
+    assert named(header.format("2.1").replace("General", "Lesser General").replace("program", "library")) == ["LGPL-2.1-header"]
+    assert named("Released under an Example License") == [] and named("Released under the BSD License") == ["BSD"]
+    assert named("Licensed under CC BY-NC-SA 4.0") == ["CC-BY-NC-SA-4.0"] and named("Licensed under CC BY-NC-SA 9.0") == []
+    assert named("// SPDX-License-Identifier: GPL-2.0-only") == ["SPDX-GPL-2.0-only"]
+
+
+def test_texts_of_the_distribution():
+    """Texts that were published elsewhere, not cut from the templates."""
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    scan = li.Scanner(INDEX, li.COVERAGE)
+    for file, name in {"BSD": "BSD-3-Clause-text", "GPL-2": "GPL-2.0-header", "GPL-3": "GPL-3.0-title", "LGPL-2.1": "LGPL-2.1-header",
+                       "LGPL-3": "LGPL-3.0-title", "Apache-2.0": "Apache-2.0-title", "MPL-2.0": "MPL-2.0-title", "CC0-1.0": "CC0-1.0-title"}.items():
+        assert name in [g[0] for g in scan((folder / file).read_text())], file
