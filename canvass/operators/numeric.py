@@ -89,6 +89,10 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 20, lo: float
     return frame.join(counts, same, "left").select(*out)
 
 
+#: Cells to a bandwidth, and the bandwidths beyond which the kernel is zero in double precision.
+FINE, REACH = 64, 39
+
+
 def _bandwidth(sd: Column, iqr: Column, n: Column) -> Column:
     """Rule-of-thumb bandwidth of a Gaussian kernel: 0.9 · min(sd, iqr / 1.34) · n^(-1/5)."""
     spread = F.least(sd, iqr / 1.34)
@@ -96,13 +100,57 @@ def _bandwidth(sd: Column, iqr: Column, n: Column) -> Column:
     return F.lit(0.9) * spread * F.pow(n.cast("double"), F.lit(-0.2))
 
 
-def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: int = 1024,
+def _bandwidths(values: DataFrame, by: list[str], bandwidth: float | None) -> DataFrame:
+    """Keys of the groups, each with an underscore before its name, with ``n`` and ``bw``."""
+    names = [f"_{k}" for k in by]
+    stats = values.groupBy(*[F.col(k).alias(a) for k, a in zip(by, names, strict=True)]).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("_sd"))
+    if bandwidth is None:
+        spread = exact_quantiles(weighted_values(values, by, "_x"), by, [0.25, 0.75]).select(
+            *[F.col(k).alias(f"_{a}") for k, a in zip(by, names, strict=True)],
+            (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("_iqr"))
+        same = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in names]
+        stats = stats.join(spread, same)
+        width = _bandwidth(F.col("_sd"), F.col("_iqr"), F.col("n"))
+    else:
+        width = F.lit(float(bandwidth))
+    return stats.select(*names, "n", width.alias("bw"))
+
+
+def _density_by_bandwidth(values: DataFrame, by: list[str], layout: Column, points: int, bandwidth: float | None) -> DataFrame:
+    """Density on cells of each group's own width."""
+    names = [f"_{k}" for k in by]
+    # Written down: one row per group, which is joined twice.
+    stats = materialize(_bandwidths(values, by, bandwidth).withColumns({"_low": layout["lo"], "_pace": layout["pace"]}), "bandwidths")
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(by, names, strict=True)]
+    place = (F.col("_x") - F.col("_low")) / (F.col("bw") / FINE)
+    placed = values.join(stats, same).withColumn("_place", place).withColumn("_cell", F.floor("_place"))
+    cell = placed.groupBy(*names, "bw", "_low", "_pace", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_place") - F.col("_cell")).alias("_up"))
+    first = lambda side: F.when(F.col("_pace") > 0, side / F.col("_pace")).otherwise(0.0)
+    left = F.greatest(F.ceil(first(F.col("_cell") * F.col("bw") / FINE - REACH * F.col("bw"))), F.lit(0)).cast("int")
+    right = F.least(F.floor(first((F.col("_cell") + 1) * F.col("bw") / FINE + REACH * F.col("bw"))), F.lit(points - 1)).cast("int")
+    right = F.when(F.col("_pace") > 0, right).otherwise(points - 1)
+    met = cell.withColumns({"_from": left, "_to": right}).where("_from <= _to").withColumn("_point", F.explode(F.sequence("_from", "_to")))
+    kernel = lambda c: F.exp(-0.5 * F.pow((F.col("_point") * F.col("_pace") - c * F.col("bw") / FINE) / F.col("bw"), F.lit(2.0)))
+    weight = (F.col("_n") - F.col("_up")) * kernel(F.col("_cell")) + F.col("_up") * kernel(F.col("_cell") + 1)
+    sums = met.groupBy(*[F.col(a).alias(f"_{a}") for a in names], "_point").agg(F.sum(weight).alias("_sum"))
+    frame = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    again = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in names] + [F.col("point") == F.col("_point")]
+    root = (2 * 3.141592653589793) ** 0.5
+    return frame.join(sums, again, "left").select(
+        *[F.col(a).alias(k) for k, a in zip(by, names, strict=True)], "point", (F.col("_low") + F.col("point") * F.col("_pace")).alias("x"),
+        (F.coalesce("_sum", F.lit(0.0)) / (F.col("n") * F.col("bw") * root)).alias("density"))
+
+
+def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: int | None = None,
             bandwidth: float | None = None) -> DataFrame:
     """Gaussian kernel density per group on equally spaced points over the range of all groups.
 
-    Each value is shared between its two neighbours on a fine grid of cells; the kernel is then
-    summed over at most ``cells`` weights per group, whatever the number of respondents. Keys and
-    values are written down, so that the source is read once.
+    Each value is shared between its two neighbours on a fine grid of cells, ``FINE`` to a bandwidth of its
+    group, and the kernel is summed over the occupied cells, in rows: a sum leaves out no point at which
+    the kernel is not zero in double precision. With ``cells`` given, all groups share so many cells over the
+    joint range instead, which are too wide for a group whose bandwidth they exceed. Keys and values are
+    written down, so that the source is read once.
     """
     if not by:
         return density(df.withColumn("_all", F.lit(0)), ["_all"], col, points, cells, bandwidth).drop("_all")
@@ -110,8 +158,10 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
     values = materialize(df.where(x.isNotNull()).select(*by, x.alias("_x")), "values")
     span = F.col("hi") - F.col("lo")
     layout = values.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).select(F.struct(
-        "lo", F.when(span > 0, span / cells).otherwise(1.0).alias("step"), (span / (points - 1)).alias("pace"))).scalar()
+        "lo", F.when(span > 0, span / (cells or 1)).otherwise(1.0).alias("step"), (span / (points - 1)).alias("pace"))).scalar()
     low, step = layout["lo"], layout["step"]
+    if cells is None:
+        return _density_by_bandwidth(values, by, layout, points, bandwidth)
 
     place = (F.col("_x") - low) / step
     cell = F.least(F.floor(place), F.lit(cells - 1)).cast("int")
@@ -121,18 +171,7 @@ def density(df: DataFrame, by: list[str], col: str, points: int = 512, cells: in
         F.sort_array(F.collect_list(F.struct("_cell", "_n", "_up"))).alias("_cells"))
 
     names = [f"_{k}" for k in by]
-    stats = values.groupBy(*[F.col(k).alias(a) for k, a in zip(by, names, strict=True)]).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("_sd"))
-    if bandwidth is None:
-        spread = exact_quantiles(weighted_values(values, by, "_x"), by, [0.25, 0.75]).select(
-            *[F.col(k).alias(f"_{a}") for k, a in zip(by, names, strict=True)],
-            (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("_iqr"))
-        same = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in names]
-        stats = stats.join(spread, same)
-        width = _bandwidth(F.col("_sd"), F.col("_iqr"), F.col("n"))
-    else:
-        width = F.lit(float(bandwidth))
-    stats = stats.withColumns({"bw": width, "_low": low, "_step": step, "_pace": layout["pace"]})
+    stats = _bandwidths(values, by, bandwidth).withColumns({"_low": low, "_step": step, "_pace": layout["pace"]})
 
     same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(by, names, strict=True)]
     at = F.col("_low") + F.col("point") * F.col("_pace")

@@ -84,6 +84,24 @@ def test_density_agrees_with_direct_sum(spark):
     np.testing.assert_allclose(got.density, direct, atol=2e-5)
 
 
+def test_density_of_a_narrow_group_beside_an_outlier(spark):
+    rng = np.random.default_rng(4)
+    groups = {"small": rng.normal(5, 1, 300), "wide": np.append(rng.normal(500, 80, 300), 1e6), None: rng.normal(40, 3, 50)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double")
+    lo, hi = min(x.min() for x in groups.values()), max(x.max() for x in groups.values())
+    for points in (40, 4000):
+        got = nm.density(df, ["g"], "x", points=points).toPandas()
+        assert len(got) == 3 * points
+        grid = np.linspace(lo, hi, points)
+        for g, x in groups.items():
+            bw = 0.9 * min(x.std(ddof=1), (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 1.34) * len(x) ** -0.2
+            direct = np.exp(-0.5 * ((grid[:, None] - x) / bw) ** 2).sum(1) / (len(x) * bw * np.sqrt(2 * np.pi))
+            mine = got[got.g.isna() if g is None else got.g == g].sort_values("point")
+            np.testing.assert_allclose(mine.density, direct, rtol=2e-3, atol=1e-5 / bw)
+    one = nm.density(spark.createDataFrame([("a", 3.0)] * 4, "g string, x double"), ["g"], "x", points=3).collect()
+    assert len(one) == 3 and all(r.x == 3 and r.density > 0 for r in one)
+
+
 def test_row_numbers_with_a_hot_group(spark):
     pdf = pd.DataFrame({"g": ["hot"] * 5000 + ["a", "b", None, None] * 100})
     pdf["k"] = np.random.default_rng(1).permutation(len(pdf))
