@@ -190,5 +190,7 @@ def classify(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents that the network does not reject, with their columns."""
+    """The documents that the network does not reject, with their columns; all, if it was not fitted on both labels."""
+    if not net.weights.any():
+        return docs
     return scored(docs, net, name="_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")

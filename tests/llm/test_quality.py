@@ -70,3 +70,10 @@ def test_edges(spark):
 def test_chunks_cover_all_segments(sizes):
     index, count, first = quality.chunks_of(np.array(sizes))
     assert set(index.ravel()) == set(range(sum(sizes))) and count.sum() == len(index) and list(first) == list(np.cumsum([0, *count[:-1]]))
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0), (2, 0, 0)], [(1, 1, 0)]])
+def test_without_both_labels_the_stage_keeps_all(spark, labels):
+    docs = spark.createDataFrame([(i, f"clean text {i}") for i in range(8)] + [(None, None)], "doc_id long, text string")
+    net = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert quality.accepted(docs, net).count() == 9
