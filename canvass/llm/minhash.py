@@ -1,7 +1,9 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
-Documents with equal sets of word shingles are one class. A class has ``SAMPLES`` MinHash values. Bands
-of ``ROWS`` of them bring classes together; within a bucket the odd sketches decide which pairs are
+Documents with equal sets of word shingles are one class. Bands of the MinHash values of a class bring
+classes together; their number and width follow from the wanted similarity, so that a pair of just this
+similarity shares none with a probability of ``MISS`` at most. The first ``SAMPLES`` values make the
+sketch. Within a bucket the odd sketches decide which pairs are
 candidates. An odd sketch folds the MinHash values into a bitmap of parities: equal values cancel in
 the exclusive or of two sketches, so its population count estimates how many values differ, which for
 similar sets is precise. Links found so far hold a bucket together, so a bucket passes on fewer links
@@ -16,6 +18,7 @@ of blocks, in which every two rows meet once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +31,29 @@ from canvass.llm.common import col
 from canvass.llm.components import block_pairs, blocks, components
 from canvass.session import materialize
 
-ROWS, BANDS = 6, 21
-SAMPLES = ROWS * BANDS
+#: Probability with which bands may miss a pair of the wanted similarity; most values in a band; values that narrower bands save.
+MISS, ROWS, VALUES = 5e-7, 6, 185
+SAMPLES = 126
 SKETCH = 512  # bits
-#: Standard deviations of the estimate by which a candidate may fall short of the wanted similarity.
-SLACK = 4.5
+#: Standard deviations of the estimate by which a candidate may fall short of the wanted similarity: 3e-7 of a normal law are beyond.
+SLACK = 5.0
 REMEMBERED = 400_000
 BUCKET, CLUSTER = 1024, 256
 
-_random = np.random.default_rng(20240917)
-FACTORS = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-OFFSETS = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
+def layout(similarity: float) -> tuple[int, int]:
+    """Values in a band and bands: the widest bands of ROWS values or less that need no more than VALUES, single values otherwise."""
+    for rows in range(ROWS, 0, -1):
+        same = similarity**rows
+        bands = 1 if same >= 1 else math.ceil(math.log(MISS) / math.log1p(-same))
+        if rows * bands <= VALUES:
+            break
+    return rows, bands
+
+
+def functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of so many hash functions; fewer are the first of more."""
+    draws = np.random.default_rng(20240917).integers(0, 1 << 32, (count, 2), dtype=np.uint64).astype(np.uint32)
+    return draws[:, 0] | np.uint32(1), draws[:, 1].copy()
 
 
 class Shingler:
@@ -67,13 +82,13 @@ class Shingler:
         return np.unique(s)
 
 
-def samples(sets: list[np.ndarray]) -> np.ndarray:
+def samples(sets: list[np.ndarray], count: int = SAMPLES) -> np.ndarray:
     """MinHash values of sets that are not empty, one row each."""
     begin = np.cumsum([0, *(len(s) for s in sets)])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), SAMPLES), np.uint32)
-    for k in range(SAMPLES):
-        out[:, k] = np.minimum.reduceat(x * FACTORS[k] + OFFSETS[k], begin[:-1])
+    out = np.empty((len(sets), count), np.uint32)
+    for k, (factor, offset) in enumerate(zip(*functions(count), strict=True)):
+        out[:, k] = np.minimum.reduceat(x * factor + offset, begin[:-1])
     return out
 
 
@@ -102,17 +117,20 @@ def least_estimate(similarity: float) -> float:
     return similarity - SLACK * error
 
 
-def band_keys(values: np.ndarray) -> list[list[int]]:
-    keys = np.zeros((len(values), BANDS), np.uint64)
-    for k in range(ROWS):
-        keys = (keys ^ values[:, k::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(values: np.ndarray, rows: int, bands: int) -> list[list[int]]:
+    keys = np.zeros((len(values), bands), np.uint64)
+    for k in range(rows):
+        keys = (keys ^ values[:, k: rows * bands: rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    keys += np.arange(BANDS, dtype=np.uint64)
+    keys += np.arange(bands, dtype=np.uint64)
     return keys.view(np.int64).tolist()
 
 
-def describe(docs: DataFrame, width: int) -> DataFrame:
+def describe(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Per row: doc_id, n_shingles, digest of the set, sketch and band keys; empty sets have none of these."""
+    shape = layout(similarity)
+    count = max(SAMPLES, shape[0] * shape[1])
+
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for batch in batches:
@@ -122,9 +140,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sketch, keys = [None] * len(sets), [None] * len(sets)
                 if full:
-                    values = samples(full)
+                    values = samples(full, count)
                     where = [i for i, s in enumerate(sets) if len(s)]
-                    for i, s, k in zip(where, odd_sketches(values), band_keys(values), strict=True):
+                    for i, s, k in zip(where, odd_sketches(values[:, :SAMPLES]), band_keys(values, *shape), strict=True):
                         sketch[i], keys[i] = s.tobytes(), k
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
@@ -259,7 +277,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     is kept.
     """
     plain = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    rows = materialize(describe(plain, width), "prints")
+    rows = materialize(describe(plain, width, similarity), "prints")
     classes = materialize(
         rows.where("digest IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))

@@ -88,3 +88,18 @@ def test_edges(spark):
     kept = minhash.deduplicate(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3, 4}
     assert minhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_bands_hardly_miss_pairs_of_the_wanted_similarity():
+    for similarity in (0.5, 0.8, 0.85, 0.9, 1.0):
+        rows, bands = minhash.layout(similarity)
+        assert (1 - similarity**rows) ** bands <= 5e-7
+    rng = np.random.default_rng(5)
+    a, b = [], []
+    for _ in range(8000):
+        both, own = rng.integers(0, 1 << 63, 80, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+        a.append(np.concatenate([both, own[:10]]))
+        b.append(np.concatenate([both, own[10:]]))
+    rows, bands = minhash.layout(0.8)
+    keys = [minhash.band_keys(minhash.samples(x, rows * bands), rows, bands) for x in (a, b)]
+    assert sum(not set(p) & set(q) for p, q in zip(*keys, strict=True)) == 0
