@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, quality, sharding, toxicity
+from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, quality, repair, sharding, toxicity
 from canvass.llm.common import table
 
 
@@ -78,6 +78,12 @@ def op10_merge_dropout(spark: SparkSession, d: str) -> DataFrame:
     return pieces.digests(table(spark, d, "documents"), seed=1)
 
 
+def op11_structure_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations with planted faults: what is found and the cheapest repair."""
+    talks = table(spark, d, "conversations")
+    return repair.report(talks, repair.damaged(talks))
+
+
 LLM_QUERIES = {
     "op1_collision_counting": op1_collision_counting,
     "op2_byte_network": op2_byte_network,
@@ -89,6 +95,7 @@ LLM_QUERIES = {
     "op8_block_naming": op8_block_naming,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_structure_repair": op11_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8}
