@@ -17,15 +17,17 @@ from canvass.session import materialize
 PLACE_BITS = 33
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row") -> DataFrame:
+def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row", keep: list[str] | None = None) -> DataFrame:
     """Number rows from 1 within ``by`` in the given order.
 
     ``by + order`` should identify a row, otherwise ties are numbered arbitrarily. Partition and
-    place are written down once, so a lost executor cannot renumber rows halfway.
+    place are written down once, so a lost executor cannot renumber rows halfway. With ``keep`` only
+    ``by`` and these columns are written and returned, so wide columns can order rows and stay out.
     """
     place = F.monotonically_increasing_id()
+    columns = df.columns if keep is None else [*by, *keep]
     placed = materialize(
-        df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_place", place), "numbered"
+        df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).select(*columns, place.alias("_place")), "numbered"
     ).withColumn("_part", F.shiftright("_place", PLACE_BITS))
     sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,7 +36,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row
         *[F.col(k).alias(f"_of{i}") for i, k in enumerate([*by, "_part"])],
         (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "offsets")
     same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate([*by, "_part"])]
-    return placed.join(offsets, same, "left").select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
+    return placed.join(offsets, same, "left").select(*columns, (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def group_ids(df: DataFrame, col: str, name: str = "group_id") -> DataFrame:
