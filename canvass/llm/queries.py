@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, quality, repair, sharding, toxicity
+from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, prefix_trie, quality, repair, sharding, top_k, toxicity
 from canvass.llm.common import table
 
 
@@ -84,6 +85,22 @@ def op11_structure_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair.report(talks, repair.damaged(talks))
 
 
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.report(table(spark, d, "conversations"))
+
+
+def op13_columnar_search(spark: SparkSession, d: str) -> DataFrame:
+    return top_k.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP13 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(range(1, 1 + len(q.e)), lambda i: q.e[i] * c.e[i])) AS BIGINT) score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 LLM_QUERIES = {
     "op1_collision_counting": op1_collision_counting,
     "op2_byte_network": op2_byte_network,
@@ -96,8 +113,10 @@ LLM_QUERIES = {
     "op9_cross_entropy": op9_cross_entropy,
     "op10_merge_dropout": op10_merge_dropout,
     "op11_structure_repair": op11_structure_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_columnar_search": op13_columnar_search,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8}
+LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8, "op13_columnar_search": OP13}
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
