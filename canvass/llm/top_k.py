@@ -127,6 +127,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_id"
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             return search_cell(q, x, k)
+        left = left.select([F.col(c).alias(c) for c in left.columns])  # columns of its own, as both sides come from one table
         return left.groupBy(*cell).cogroup(right.withColumn("asked", each(n_asked)).groupBy(*cell)).applyInPandas(search, types)
 
     none = F.lit(None).cast("double")
