@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions.ranking import number_rows
 from canvass.functions.scalars import any_answered
+from canvass.session import materialize
 
 
 def keep_in(df: DataFrame, col: str, values: Iterable) -> DataFrame:
@@ -101,22 +103,43 @@ def split_tag(df: DataFrame, col: str, tags: Mapping, name: str = "source", keep
 
 
 def band_join(df: DataFrame, col: str, bands: DataFrame, lo: str, hi: str, width: float | None = None) -> DataFrame:
-    """Attach the band whose [lo, hi] holds the value; null ends are open.
+    """Attach every band whose [lo, hi] holds the value, or nulls if none does; null ends are open.
 
-    The sorted ends of the bands cut the axis into cells: values of one cell are in the same bands. So the
-    range condition is an equality on the number of the cell, and a band is repeated for the cells between
-    its ends only, however wide it is. Finding a value's cell compares it with every end, as suits a list
-    of bands. ``width`` is not needed any more.
+    A sweep over the sorted values and ends gives each its place on one line; values count once, however
+    often they occur. A band is cut into the few aligned runs of places (of 1, 2, 4, ... of them) that it
+    consists of, and a value looks for its run of each length that occurs. So the range condition is an
+    equality, no band is repeated for what lies within it, and neither bands nor ends are gathered:
+    any number of overlapping bands of any width may be given. ``width`` is not needed any more.
     """
-    ends = bands.agg(F.struct(F.collect_set(lo).alias("lows"), F.collect_set(hi).alias("highs")).alias("ends")).scalar()
-    lows, highs = F.col("_ends")["lows"], F.col("_ends")["highs"]
-
-    def cell(x: Column) -> Column:
-        return F.size(F.filter(lows, lambda e: e <= x)) + F.size(F.filter(highs, lambda e: e < x))
-
-    begin = F.when(F.col(lo).isNull(), F.lit(0)).otherwise(cell(F.col(lo)))
-    end = F.when(F.col(hi).isNull(), F.size(lows) + F.size(highs)).otherwise(cell(F.col(hi)))
-    keyed = bands.where(F.coalesce(F.col(lo) <= F.col(hi), F.lit(True))).withColumn("_ends", ends).withColumn(
-        "_cell", F.explode(F.sequence(begin, end))).drop("_ends")
-    values = df.withColumn("_ends", ends).withColumn("_own", F.when(F.col(col).isNotNull(), cell(F.col(col)))).drop("_ends")
-    return values.join(keyed, F.col("_own") == F.col("_cell"), "left").drop("_own", "_cell")
+    sound = bands.where(F.coalesce(F.col(lo) <= F.col(hi), F.lit(True)))
+    # A lower end comes before equal values, an upper one behind them.
+    line = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_x"), F.lit(1).alias("_side")).distinct().unionAll(
+        sound.where(F.col(lo).isNotNull()).select(F.col(lo).alias("_x"), F.lit(0).alias("_side")).distinct()).unionAll(
+        sound.where(F.col(hi).isNotNull()).select(F.col(hi).alias("_x"), F.lit(2).alias("_side")).distinct())
+    places = materialize(number_rows(line, [], ["_x", "_side"], "_place"), "places")
+    end = lambda side, name: places.where(F.col("_side") == side).select(F.col("_x").alias(f"_{name}"), F.col("_place").alias(name))
+    last = places.agg(F.coalesce(F.max("_place"), F.lit(0)).alias("last")).first()[0]
+    cut = sound.join(end(0, "_from"), F.col(lo) == F.col("__from"), "left").join(end(2, "_to"), F.col(hi) == F.col("__to"), "left")
+    cut = cut.withColumns({"_from": F.coalesce("_from", F.lit(0)), "_to": F.coalesce("_to", F.lit(last + 1))})
+    run = lambda s, name, level: F.struct(level.alias("_length"), s[name].alias("_run"))
+
+    def shorter(s: Column, level: Column) -> Column:
+        """Take the runs of this length that stick out at either end; go on with pairs of runs."""
+        left, right = (s["a"] <= s["b"]) & (s["a"] % 2 == 1), (s["a"] <= s["b"]) & (s["b"] % 2 == 0)
+        found = F.concat(s["out"], F.filter(F.array(F.when(left, run(s, "a", level)), F.when(right, run(s, "b", level))), lambda x: x.isNotNull()))
+        a, b = s["a"] + F.when(left, 1).otherwise(0), s["b"] - F.when(right, 1).otherwise(0)
+        half = lambda x, done: F.when(a <= b, F.shiftright(x, 1)).otherwise(F.lit(done).cast("long"))
+        return F.struct(half(a, 1).alias("a"), half(b, 0).alias("b"), found.alias("out"))
+
+    none = F.array().cast("array<struct<_length:int,_run:bigint>>")
+    start = F.struct(F.col("_from").cast("long").alias("a"), F.col("_to").cast("long").alias("b"), none.alias("out"))
+    runs = F.aggregate(F.sequence(F.lit(0), F.lit(max(last + 1, 1).bit_length())), start, shorter, lambda s: s["out"])
+    keyed = materialize(cut.select(*bands.columns, F.inline(runs)), "runs")
+    # At most as many lengths as a place has bits.
+    lengths = sorted(r[0] for r in keyed.select("_length").distinct().collect())
+    at = F.array(*[F.struct(F.lit(k).alias("_length"), F.shiftright("_place", k).alias("_run")) for k in lengths]) if lengths else none
+    matched = places.where("_side = 1").select("_x", F.inline(at)).join(keyed, ["_length", "_run"]).drop("_length", "_run").withColumn("_spread", F.lit(0))
+    # Unknown values have no partner and are spread by their rows.
+    spread = F.when(F.col(col).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0))
+    values = df.withColumn("_spread", spread)
+    return values.join(materialize(matched, "matched").withColumnRenamed("_spread", "_none"), (F.col(col) == F.col("_x")) & (F.col("_spread") == F.col("_none")), "left").drop("_x", "_spread", "_none")

@@ -7,9 +7,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: a comma that is not inside parentheses.
-COMMA_OUTSIDE_PARENTHESES = r",(?![^()]*\))"
-
 
 def to_long(df: DataFrame, key: list[str], names: Iterable[str], name: str = "question", value: str = "value") -> DataFrame:
     """Wide → long. Nulls stay; columns of different types become text."""
@@ -48,10 +45,41 @@ def transpose(df: DataFrame, index: str, rows: list[str], name: str = "name") ->
     return to_wide(to_long(df, [index], others, name, "_value"), [name], index, "_value", rows, F.first)
 
 
+def _depths(tokens: Column, opening: str, closing: str) -> Column:
+    """How many parentheses are open at each token, counted from the front; one that closes nothing is text."""
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.when(t == opening, s["depth"] + 1).when(t == closing, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.concat(s["all"], F.array(depth)).alias("all"))
+
+    return F.aggregate(tokens, start, step, lambda s: s["all"])
+
+
+def split_outside(text: Column, sep: str = ",") -> Column:
+    """The parts of a text between separators that lie in no pair of parentheses, however deep they are nested.
+
+    A separator lies in a pair if a parenthesis is open before it and one is closed behind it, so
+    parentheses without partner are text. Null stays null, an empty text is one empty part.
+    """
+    quoted = f"\\Q{sep}\\E"
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){quoted}|[()]|(?:(?!{quoted})[^()])+"), F.lit(0))
+    back = F.reverse(_depths(F.reverse(tokens), ")", "("))
+    marked = F.arrays_zip(tokens.alias("t"), _depths(tokens, "(", ")").alias("l"), back.alias("r"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(s: Column, m: Column) -> Column:
+        cut = (m["t"] == sep) & (F.least(m["l"], m["r"]) == 0)
+        return F.struct(F.when(cut, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+                        F.when(cut, "").otherwise(F.concat(s["open"], m["t"])).alias("open"))
+
+    return F.aggregate(marked, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+
+
 def explode_options(df: DataFrame, col: str, sep: str = ",", paren_aware: bool = False, name: str | None = None) -> DataFrame:
     """One row per option of a delimited answer; a null answer stays as one null row."""
-    pattern = COMMA_OUTSIDE_PARENTHESES if paren_aware else f"\\Q{sep}\\E"
-    return df.withColumn(name or col, F.explode_outer(F.split(F.col(col), pattern)))
+    parts = split_outside(F.col(col), sep) if paren_aware else F.split(F.col(col), f"\\Q{sep}\\E")
+    return df.withColumn(name or col, F.explode_outer(parts))
 
 
 def explode_all(df: DataFrame, by: str, token: str, mark: str = "_all") -> DataFrame:

@@ -258,3 +258,15 @@ def band_join_wide(spark, d):
     key = F.col("o_orderkey")
     values = v.table(spark, d, "orders").select("o_orderkey", F.when(key % 10 > 0, key * 7919 % 3000001 - 500000).alias("x"))
     return f.band_join(values, "x", bands, "lo", "hi").select("o_orderkey", "band")
+
+
+@query("J6_interval_join", """WITH b AS (SELECT o_orderkey * 7 % 100003 lo, o_orderkey * 7 % 100003 + o_orderkey % 50 hi, o_orderkey id FROM orders),
+  x AS (SELECT l_linenumber line, (l_orderkey * 13 + l_linenumber) % 100003 x FROM lineitem)
+  SELECT line, count(*) n, count(id) matches, CAST(sum(id) AS BIGINT) total FROM x LEFT JOIN b ON x.x BETWEEN lo AND hi GROUP BY 1""")
+def interval_join(spark, d):
+    """A band per order, overlapping, and a value per order line."""
+    key = F.col("o_orderkey")
+    bands = v.table(spark, d, "orders").select((key * 7 % 100003).alias("lo"), (key * 7 % 100003 + key % 50).alias("hi"), key.alias("id"))
+    values = v.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("line"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 100003).alias("x"))
+    return f.band_join(values, "x", bands, "lo", "hi").groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"), F.count("id").alias("matches"), F.sum("id").alias("total"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from canvass.functions.scalars import age, age_band
+from canvass.operators import likelihood as lk
 from canvass.operators import ordinal as om
 from canvass.plans import views as v
 from canvass.plans.catalog import registry as r
@@ -159,19 +160,96 @@ def stacked_cells(spark, d):
     return om.stack_cumulative(om.ordinal_cells(rated(spark, d), "rating", ["gender", "age_group"]), "rating", 5)
 
 
-@query("M9_fit_ordinal")
+CITIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+SLOPES = [(f"gender={g}", f"gender = {g}", 2.0) for g in (2, 3)] + [
+    (f"age_group={a}", f"age_group = '{a}'", 2.0) for a in ("30-49", "50-64", "<18", ">64")]
+
+
+def mode_sql(slopes, own_thresholds=(), effects=0, rounds=800, momentum=0.9):
+    """The posterior mode in SQL, by scaled gradient steps with momentum over the counted cells until nothing moves.
+
+    ``slopes`` has name, condition and prior sd of each slope; the last ``effects`` of them are shrunken effects,
+    which move together with the thresholds without changing the likelihood: that shift is taken exactly.
+    """
+    heads = [(f"cut{j}" + (f":{g}" if g else ""), om.THRESHOLD_PRIOR[j - 1], 1.0) for g in (own_thresholds or [""]) for j in range(1, 5)]
+    terms = heads + [(name, 0.0, sd) for name, _, sd in slopes]
+    first = "4 * (list_position([" + ", ".join(f"'{g}'" for g in own_thresholds) + "], city) - 1)" if own_thresholds else "0"
+    marks = ", ".join(f"CASE WHEN {c} THEN {len(heads) + k} END" for k, (_, c, _) in enumerate(slopes, 1))
+    joint = [k for k in range(len(terms)) if k < len(heads) or k >= len(terms) - effects] if effects else []
+    off = " + ".join(f"(b[{k + 1}] - ({terms[k][1]}e0)) / {terms[k][2] ** 2}e0" for k in joint)
+    shift = f" - ({off}) / {sum(1 / terms[k][2] ** 2 for k in joint)}e0" if joint else ""
+    entries = []
+    for k, (_, mean, sd) in enumerate(terms):
+        if k < len(heads):
+            at = f"CASE WHEN u = {k + 1} THEN n * {{0}} WHEN l = {k + 1} THEN n * {{1}} ELSE 0 END"
+            score, curve = at.format("gu", "gl"), at.format("uu", "ll")
+        else:
+            at = f"CASE WHEN list_contains(s, {k + 1}) THEN n * ({{}}) ELSE 0 END"
+            score, curve = at.format("-gu - gl"), at.format("uu + ll + 2 * ul")
+        entries.append(f"b[{k + 1}] + {momentum}e0 * (b[{k + 1}] - o[{k + 1}]) + (sum({score}) - (b[{k + 1}] - ({mean}e0)) / {sd**2}e0) / (4 * (sum({curve}) + {1 / sd**2}e0))"
+                       + (shift if k in joint else ""))
+    start = "[" + ", ".join(f"{mean}e0" for _, mean, _ in terms) + "]"
+    return f"""WITH RECURSIVE {r.RESPONDENTS}, answers AS (SELECT gender_code gender, {BROAD} age_group, city, rating y FROM respondents
+  WHERE gender_code IS NOT NULL AND birth_year IS NOT NULL AND rating IS NOT NULL),
+  cells AS MATERIALIZED (SELECT y, CAST(count(*) AS DOUBLE) n, CASE WHEN y < 5 THEN {first} + y END u, CASE WHEN y > 1 THEN {first} + y - 1 END l, [{marks}] s FROM answers GROUP BY ALL),
+  fit AS (SELECT 0 i, {start} b, {start} o UNION ALL
+    SELECT i + 1, [{", ".join(entries)}], b FROM (
+      SELECT *, gu * (gu - 1 + 2 * fu) uu, gl * (gl - 1 + 2 * fl) ll, gu * gl ul FROM (
+      SELECT *, fu * (1 - fu) / (fu - fl) gu, -fl * (1 - fl) / (fu - fl) gl FROM (
+      SELECT *, CASE WHEN u IS NULL THEN 1e0 ELSE 1 / (1 + exp(eta - b[u])) END fu, CASE WHEN l IS NULL THEN 0e0 ELSE 1 / (1 + exp(eta - b[l])) END fl FROM (
+      SELECT *, coalesce(list_sum(list_transform(s, lambda k: CASE WHEN k IS NULL THEN 0e0 ELSE b[k] END)), 0) eta FROM fit, cells WHERE i < {rounds}) t) t) t) t GROUP BY i, b, o)
+  SELECT term, round(estimate, 6) + 0e0 estimate FROM (SELECT unnest([{", ".join(f"'{name}'" for name, _, _ in terms)}]) term, unnest(b) estimate FROM fit WHERE i = {rounds}) t"""
+
+
+def estimates(fit):
+    return rounded(fit.estimates().select("term", "estimate"), 6, "estimate").withColumn("estimate", F.col("estimate") + F.lit(0.0))
+
+
+@query("M9_fit_ordinal", mode_sql(SLOPES))
 def fit_ordinal(spark, d):
-    return om.fit_ordinal(rated(spark, d), "rating", ["gender", "age_group"])
+    return estimates(lk.fit_cumulative(rated(spark, d), "rating", ["gender", "age_group"]))
 
 
-@query("M10_group_intercepts")
+@query("M10_group_intercepts", mode_sql(SLOPES + [(f"city={c}", f"city = '{c}'", 1.0) for c in CITIES], effects=5))
 def group_intercepts(spark, d):
-    return om.fit_ordinal(rated(spark, d), "rating", ["gender", "age_group"], group="city")
+    return estimates(lk.fit_cumulative(rated(spark, d), "rating", ["gender", "age_group"], group="city"))
 
 
-@query("M10_group_thresholds")
+@query("M10_group_thresholds", mode_sql(SLOPES, CITIES))
 def group_thresholds(spark, d):
-    return om.fit_ordinal(rated(spark, d), "rating", ["gender", "age_group"], group="city", thresholds="by_group")
+    return estimates(lk.fit_cumulative(rated(spark, d), "rating", ["gender", "age_group"], group="city", thresholds="by_group"))
+
+
+@query("M10_estimated_spread")
+def estimated_spread(spark, d):
+    """Effects of the cities with the spread between them estimated from the answers."""
+    fit = lk.fit_cumulative(rated(spark, d), "rating", ["gender", "age_group"], group="city", group_sd=None)
+    return fit.estimates().withColumn("group_sd", F.lit(fit.group_sd))
+
+
+def shares_of_fit(spark, d, xs, draws=400):
+    """Probabilities of every rating under draws from the posterior of a fit on the covariates."""
+    people = rated(spark, d)
+    fit = lk.fit_cumulative(people, "rating", xs)
+    return people, lk.expected_shares(fit, people.na.drop(subset=xs), lk.posterior_draws(fit, draws))
+
+
+@query("M3_fit_intervals")
+def fit_intervals(spark, d):
+    _, shares = shares_of_fit(spark, d, ["gender", "age_group"])
+    return om.summarise_draws(shares, ["gender", "age_group", "category"], "p")
+
+
+@query("M4_fit_mean_category")
+def fit_mean_category(spark, d):
+    _, shares = shares_of_fit(spark, d, ["gender"])
+    return om.summarise_draws(om.mean_category(shares, ["draw", "gender"], "category", "p"), ["gender"], "mean_cat")
+
+
+@query("M7_fit_predictive_check")
+def fit_predictive_check(spark, d):
+    people, shares = shares_of_fit(spark, d, ["gender"])
+    return om.predictive_check(people.withColumnRenamed("rating", "category"), shares, ["gender"], "category")
 
 
 @query("M11_stacked_adjacent", f"""WITH {CELLS} SELECT gender, age_group, CAST(j AS INT) cut, CAST(sum(n) AS BIGINT) w,

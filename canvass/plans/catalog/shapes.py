@@ -101,6 +101,17 @@ def explode_paren_aware(spark, d):
     return rs.explode_options(v.options_text(spark, d), "opts", paren_aware=True, name="opt").select("id", "opt")
 
 
+@query("R7_nested_options", f"""WITH RECURSIVE {r.OPTIONS_TEXT}, deep AS (SELECT id, replace(opts, '(new, used)', '(new, (as new, (boxed, sealed)), used (a, b))') o FROM options_text),
+  walk AS (SELECT id, o, 0 i, 0 depth, 1 part, '' piece FROM deep UNION ALL
+    SELECT id, o, i + 1, depth + CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, CASE WHEN c = ',' AND depth = 0 THEN part + 1 ELSE part END,
+      CASE WHEN c = ',' AND depth = 0 THEN '' ELSE piece || c END FROM (SELECT *, substr(o, i + 1, 1) c FROM walk WHERE i < length(o)) t),
+  ends AS (SELECT id, part, max(i) i FROM walk GROUP BY 1, 2)
+  SELECT w.id, w.piece opt FROM walk w JOIN ends USING (id, part, i)""")
+def nested_options(spark, d):
+    nested = v.options_text(spark, d).withColumn("opts", F.replace("opts", F.lit("(new, used)"), F.lit("(new, (as new, (boxed, sealed)), used (a, b))")))
+    return rs.explode_options(nested, "opts", paren_aware=True, name="opt").select("id", "opt")
+
+
 @query("R8_with_totals", f"""WITH {COUNTS} SELECT CASE WHEN grouping(city) = 1 THEN 'Total' ELSE city END city, priority, CAST(sum(n) AS BIGINT) n
   FROM counts GROUP BY GROUPING SETS ((city, priority), (priority))""")
 def with_totals(spark, d):

@@ -1,4 +1,7 @@
+import random
+
 from conftest import rows
+from pyspark.sql import functions as F
 
 from canvass.operators import codebook as cb
 from canvass.operators import filters as f
@@ -87,6 +90,38 @@ def test_option_strings(spark):
     assert rows(aware.where("id < 5")) == [(1, None), (2, ""), (3, "a"), (4, "a"), (4, "b")]
 
 
+def test_nested_parentheses(spark):
+    def split(text):
+        """Separators that lie in no pair of matched parentheses, by a stack."""
+        pairs, stack = [], []
+        for i, c in enumerate(text):
+            if c == "(":
+                stack.append(i)
+            elif c == ")" and stack:
+                pairs.append((stack.pop(), i))
+        cuts = [i for i, c in enumerate(text) if c == "," and not any(a < i < b for a, b in pairs)]
+        return [text[a + 1: b] for a, b in zip([-1, *cuts], [*cuts, len(text)], strict=True)]
+
+    rng = random.Random(4)
+    texts = ["A (b, (c) d), e", "a (b, c", "a, b) c, d", "((,),),", ",", "()", "(a),(b,c),,d)", "x" * 5000 + ",(y," + "z" * 5000 + ")"]
+    texts += ["".join(rng.choice("ab(),,()é\n") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, o string")
+    got = {r.id: r.p for r in df.select("id", reshape.split_outside(F.col("o")).alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == [split(t) for t in texts]
+    assert spark.range(1).select(reshape.split_outside(F.lit("a||(b||c)||d"), "||").alias("p")).first().p == ["a", "(b||c)", "d"]
+
+
+def test_many_overlapping_bands(spark):
+    rng = random.Random(9)
+    bands = [(a, a + rng.choice([0, 1, 5, 300, 4000]), f"b{i}") for i, a in enumerate(rng.choices(range(-500, 5000), k=400))] + [(None, 3, "low"), (4990, None, "high")]
+    values = [rng.choice([None, *range(-600, 5300, 7), 3, 3, 3]) for _ in range(500)]
+    b = spark.createDataFrame(bands, "lo int, hi int, band string")
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "id int, x long")
+    got = sorted((r.id, r.band or "") for r in f.band_join(v, "x", b, "lo", "hi").collect())
+    fits = lambda x, lo, hi: x is not None and (lo is None or lo <= x) and (hi is None or x <= hi)
+    assert got == sorted((i, n) for i, x in enumerate(values) for n in ([n for lo, hi, n in bands if fits(x, lo, hi)] or [""]))
+
+
 def test_long_code_list_is_joined(spark):
     df = spark.createDataFrame([(7, "a"), (900, "b"), (5000, "c"), (None, "d")], "code int, x string")
     out = cb.decode(df, {"code": {i: f"label {i}" for i in range(1000)}})
