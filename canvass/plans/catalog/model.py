@@ -246,6 +246,19 @@ def fit_mean_category(spark, d):
     return om.summarise_draws(om.mean_category(shares, ["draw", "gender"], "category", "p"), ["gender"], "mean_cat")
 
 
+@query("M8_leave_one_out")
+def leave_one_out(spark, d):
+    """Two models of the rating ranked by the scores of answers they have not seen."""
+    people = rated(spark, d).na.drop(subset=["rating", "gender", "age_group"])
+    scores = []
+    for name, xs in (("gender", ["gender"]), ("age_group", ["age_group"])):
+        fit = lk.fit_cumulative(people, "rating", xs)
+        scores.append(lk.leave_one_out(fit, people, "rating", lk.posterior_draws(fit, 400)).select(*xs, "rating", F.col("elpd").alias(f"by_{name}")))
+    cells = om.ordinal_cells(people, "rating", ["gender", "age_group"])
+    pointwise = cells.join(scores[0], ["gender", "rating"]).join(scores[1], ["age_group", "rating"])
+    return om.compare_scores(pointwise, ["by_gender", "by_age_group"], "n")
+
+
 @query("M7_fit_predictive_check")
 def fit_predictive_check(spark, d):
     people, shares = shares_of_fit(spark, d, ["gender"])

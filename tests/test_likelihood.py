@@ -132,3 +132,35 @@ def test_nulls_empty_and_clashing_columns(spark):
     none = lk.fit_cumulative(df.limit(0), "n", ["g"])
     np.testing.assert_allclose(none.mode, PRIOR)
     assert lk.fit_cumulative(df, "n", [], group="g").effects.count() == 2
+
+
+def test_pareto_tail():
+    rng = np.random.default_rng(0)
+    for shape in (0.2, 0.6):
+        excess = np.sort((rng.uniform(size=20_000) ** -shape - 1) / shape * 2.0)
+        k, scale = lk.tail_shape(excess)
+        assert k == pytest.approx(shape, abs=0.04) and scale == pytest.approx(2.0, rel=0.06)
+
+
+def test_leave_one_out(spark):
+    """Scores agree with those of fits without each answer, integrated over their own draws."""
+    pdf, _ = planted(n=60, seed=8)
+    df = spark.createDataFrame(pdf)
+    fit = lk.fit_cumulative(df, "y", ["g"])
+    out = lk.leave_one_out(fit, df, "y", lk.posterior_draws(fit, 4000))
+    got = {(r.g, r.y): r for r in out.collect()}
+    assert sum(r.n for r in got.values()) == 60
+    assert max(r.tail for r in got.values()) < 0.7
+    mean, sd = np.append(PRIOR, [0, 0]), np.array([1, 1, 1, 1, 2.0, 2.0])
+    rng, x = np.random.default_rng(3), dense(pdf, [("g", "g1"), ("g", "g2")])
+    total = 0.0
+    for (g, y), part in pdf.groupby(["g", "y"]):
+        rest = np.delete(np.arange(60), part.index[0])
+        mode, h = mode_of(x[rest], pdf.y.to_numpy()[rest], np.ones(59), mean, sd)
+        b = rng.multivariate_normal(mode, np.linalg.inv(h), 4000)
+        eta = b[:, 4:] @ x[part.index[0]]
+        edges = np.column_stack([np.zeros(4000), sigmoid(b[:, :4] + eta[:, None]), np.ones(4000)])
+        want = np.log((edges[:, y] - edges[:, y - 1]).clip(1e-300).mean())
+        assert got[g, y].elpd == pytest.approx(want, abs=0.25)
+        total += len(part) * (got[g, y].elpd - want)
+    assert abs(total) < 1.0
