@@ -18,6 +18,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or with underscores behind it one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, modulus: int, wanted: int) -> Column:
     """Is crc32(id as text) mod ``modulus`` the wanted one? A null id never is."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == wanted, F.lit(False))

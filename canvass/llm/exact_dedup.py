@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import SPACE, col
+from canvass.llm.common import SPACE, col, free
 from canvass.session import materialize
 
 Digest = Callable[[Column, int], list[Column]]
@@ -107,15 +107,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns; ids are taken to identify documents.
 
-    If several rows that stay have the same id and text, one of them is kept.
+    If several rows that stay have the same id and text, one of them is kept. An empty table gives an
+    empty one; all columns come through, whatever their names.
     """
+    name, times = free(docs, "_kept_id"), free(docs, "_kept_rows")
     kept = materialize(
-        exact_groups(docs, id_col, text_col, **how).where("kept").groupBy(F.col("doc_id").alias("_kept_id"))
-        .agg(F.count(F.lit(1)).alias("_kept_rows")), "kept")
-    stay = docs.join(kept, col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = kept.where("_kept_rows > 1")
+        exact_groups(docs, id_col, text_col, **how).where("kept").groupBy(F.col("doc_id").alias(name))
+        .agg(F.count(F.lit(1)).alias(times)), "kept")
+    stay = docs.join(kept, col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    repeated = kept.where(F.col(times) > 1)
     if repeated.isEmpty():
         return stay
-    again = col(id_col).eqNullSafe(F.col("_kept_id"))
+    again = col(id_col).eqNullSafe(F.col(name))
     return stay.join(repeated, again, "left_anti").unionByName(
         stay.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col]))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import col
+from canvass.llm.common import col, free
 from canvass.llm.components import block_pairs, blocks, components
 from canvass.session import materialize
 
@@ -297,8 +297,10 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
 def deduplicate(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns.
 
-    Ids are taken to identify documents; rows with a null id all stay.
+    Ids are taken to identify documents; rows with a null id all stay. See ``near_groups`` for the rest;
+    all columns come through, whatever their names.
     """
+    name = free(docs, "_gone")
     gone = materialize(near_groups(docs, similarity, width, id_col, text_col).where("NOT kept").select(
-        F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, col(id_col) == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, col(id_col) == F.col(name), "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.ranking import number_rows
-from canvass.llm.common import col
+from canvass.llm.common import col, free
 from canvass.session import materialize
 
 # Largest mean of one Poisson number, and the bits of a uniform value.
@@ -81,33 +81,39 @@ def copies(id_column: Column, seed: int) -> Column:
 
 
 def replicate(docs: DataFrame, targets: DataFrame | None = None, seed: int = 0, id_col: str = "doc_id",
-              source_col: str = "source", text_col: str = "text", budget: float = 1.0, keep: list[str] | None = None) -> DataFrame:
-    """The documents, each as often as drawn, with ``_mix_copy`` counted from 1 and the key of the order.
+              source_col: str = "source", text_col: str = "text", budget: float = 1.0, keep: list[str] | None = None,
+              copy_name: str = "_mix_copy", key_name: str = "_mix_key") -> DataFrame:
+    """The documents, each as often as drawn, with ``copy_name`` counted from 1 and the key of the order, ``key_name``.
 
     Rows with the same id are drawn alike, a null id like any other one. Documents with a null or
-    empty text are drawn with the rate of their source. Columns of these names are replaced.
+    empty text are drawn with the rate of their source. Columns of the two names are replaced, others
+    may have any names. An empty table gives an empty one.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("_mix_copy", "_mix_key")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (copy_name.lower(), key_name.lower())]
     by_source = rates(docs, targets, source_col, text_col, budget)
-    drawn = docs.select(*map(col, kept)).join(
-        by_source.select(F.col("mix_source").alias("_mix_of"), "parts", "sums"),
-        col(source_col).eqNullSafe(F.col("_mix_of")))
-    times = drawn.withColumn("_mix_times", copies(col(id_col), seed)).where("_mix_times > 0")
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(col(id_col).cast("string"), F.lit("\\N")), "_mix_copy"))
-    return times.select(*map(col, kept), F.explode(F.sequence(F.lit(1), "_mix_times")).alias("_mix_copy")).withColumn("_mix_key", key)
+    # The row travels as one column, so its names cannot meet those of the rates.
+    packed = docs.select(F.struct(*map(col, kept)).alias("row"), col(id_col).alias("id"), col(source_col).alias("source"))
+    drawn = packed.join(by_source.select("mix_source", "parts", "sums"), F.col("source").eqNullSafe(F.col("mix_source")))
+    times = drawn.withColumn("times", copies(F.col("id"), seed)).where("times > 0")
+    copied = times.select("row", "id", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("id").cast("string"), F.lit("\\N")), "copy"))
+    return copied.select("row.*", F.col("copy").alias(copy_name), key.alias(key_name))
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, **how) -> DataFrame:
     """The mixture in a global random order, with the columns of the documents.
 
     The order is that of a hash of seed, id and copy, cut into ranges: one shuffle, in which no copy
-    of a document is nearer to its sister than chance has it.
+    of a document is nearer to its sister than chance has it. For nulls, repeated rows and empty
+    tables see ``replicate``; all columns come through, whatever their names.
     """
-    return replicate(docs, targets, **how).repartitionByRange("_mix_key").sortWithinPartitions("_mix_key").drop("_mix_copy", "_mix_key")
+    copy, key = free(docs, "_mix_copy"), free(docs, "_mix_key")
+    drawn = replicate(docs, targets, copy_name=copy, key_name=key, **how)
+    return drawn.repartitionByRange(col(key)).sortWithinPartitions(col(key)).drop(copy, key)
 
 
 def mixture(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
-    """The mixture without its texts: id, source, copy and the place in the global order, from 1."""
+    """The mixture without its texts: id, source, copy and the place in the global order, from 1; see ``replicate`` for edge cases."""
     drawn = replicate(docs, targets, id_col=id_col, source_col=source_col, keep=[id_col, source_col], **how)
     narrow = drawn.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), F.col("_mix_copy").alias("copy"), "_mix_key")
     return number_rows(narrow, [], ["_mix_key", "doc_id", "copy"], "position").drop("_mix_key")

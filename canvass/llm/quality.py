@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import labelled
-from canvass.llm.common import col, remainder
+from canvass.llm.common import col, free, remainder
 
 WIDTH, FILTERS = 6, 16
 SEGMENT = 64        # bytes pooled first
@@ -183,14 +183,19 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text", name: str = "s
 
 
 def classify(docs: DataFrame, net: Network) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per input row, repeated ones and null ids too: doc_id, held_out, score, predicted. An empty table gives an empty one."""
     narrow = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
     return scored(narrow, net).select(
         "doc_id", remainder(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents that the network does not reject, with their columns; all, if it was not fitted on both labels."""
+    """The documents that the network does not reject, with their columns; all, if it was not fitted on both labels.
+
+    Null texts are scored as empty ones; repeated rows and null ids are rows like others. An empty table
+    gives an empty one.
+    """
     if not net.weights.any():
         return docs
-    return scored(docs, net, name="_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
+    name = free(docs, "_quality")
+    return scored(docs, net, name=name).where(F.col(name) >= ACCEPT).drop(name)

@@ -9,19 +9,15 @@ and a filter on any of them skips most files.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.functions.quantiles import exact_quantiles, weighted_values
 from canvass.functions.ranking import number_rows
 from canvass.llm.common import col
 from canvass.session import materialize
 
-# Bytes of a string that follow the common prefix and are compared; 6 bytes fit a double exactly.
-HEAD = 6
-
 
 def hilbert_place(cell: tuple[int, ...], bits: int) -> int:
     """Place of a grid cell on the Hilbert curve (Gray-code walk through nested, rotated orthants)."""
@@ -56,17 +52,12 @@ def curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
 
 
 def ordinals(docs: DataFrame, dims: list[str]) -> dict[str, Column]:
-    """An order-preserving number per column: numbers and dates as they are, strings by the bytes after the common prefix."""
+    """An order-preserving value per column: numbers and dates as doubles, strings as they are."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    strings = [d for d in dims if isinstance(kinds[d], T.StringType)]
-    ends = docs.agg(*itertools.chain.from_iterable((F.min(col(d)), F.max(col(d))) for d in strings)).first() if strings else ()
     out = {}
     for d in dims:
-        if d in strings:
-            low, high = (v.encode() if v else b"" for v in ends[2 * strings.index(d): 2 * strings.index(d) + 2])
-            common = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-            head = F.rpad(F.hex(F.substring(F.encode(col(d), "UTF-8"), common + 1, HEAD)), 2 * HEAD, "0")
-            out[d] = F.conv(head, 16, 10).cast("double")
+        if isinstance(kinds[d], T.StringType):
+            out[d] = col(d)
         elif isinstance(kinds[d], (T.DateType, T.TimestampType, T.TimestampNTZType)):
             out[d] = F.unix_micros(col(d).cast("timestamp")).cast("double")
         else:
@@ -74,13 +65,26 @@ def ordinals(docs: DataFrame, dims: list[str]) -> dict[str, Column]:
     return out
 
 
+def string_cuts(values: DataFrame, column: str, parts: int) -> list[str]:
+    """The strings that cut the column's rows into equal parts, by the ranks of its distinct values; at most parts - 1.
+
+    Distinct values are counted where they lie and ranked over all partitions; quantiles of the ranks,
+    each as often as its value, are exact however skewed the values are.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = materialize(number_rows(counted, [], ["value"], "rank"), "ranks")
+    found = exact_quantiles(weighted_values(ranked, [], "rank", "n"), [], [k / parts for k in range(1, parts)]).first()
+    wanted = sorted({int(q) for q in found["quantiles"]}) if found else []
+    return [r["value"] for r in ranked.where(F.col("rank").isin(wanted)).orderBy("rank").collect()] if wanted else []
+
+
 def assign(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, the dimensions' place ``hilbert``, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: counts of two shards differ by one at most; slots of a shard are numbered
     from 0 without gaps in curve order. Ties within a cell are ordered by checksum and id, so equal
-    texts of a cell lie side by side; repeated rows take neighbouring places. A null in a dimension is
+    texts of a cell lie side by side; those that differ in a dimension may be in different shards. Repeated rows take neighbouring places. A null in a dimension is
     on the lowest level. A null text has size 16 and the checksum of the empty text. With fewer rows
     than shards some shards are empty; an empty table gives an empty table.
     """
@@ -90,7 +94,10 @@ def assign(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("lang", "
         col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"), *[value[d].alias(f"d{i}") for i, d in enumerate(dims)]), "metadata")
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = narrow.agg(*[F.percentile_approx(f"d{i}", steps, 10_000) for i in range(len(dims))]).first()
+    texts = [i for i in range(len(dims)) if isinstance(narrow.schema[f"d{i}"].dataType, T.StringType)]
+    numbers = [i for i in range(len(dims)) if i not in texts]
+    cuts = dict(zip(numbers, narrow.agg(F.lit(0), *[F.percentile_approx(f"d{i}", steps, 10_000) for i in numbers]).first()[1:], strict=True))
+    cuts |= {i: string_cuts(narrow, f"d{i}", 2**bits) for i in texts}
     cell = F.lit(0).cast("bigint")
     for i in range(len(dims)):
         level = sum((F.when(F.col(f"d{i}") > c, 1).otherwise(0) for c in sorted(set(cuts[i] or []))), F.lit(0))

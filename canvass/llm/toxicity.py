@@ -144,7 +144,11 @@ def mark(words: list[list[str]], toxic: list[int], z: float = 5.0, purity: float
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    """The tokens of the text, each in lower case."""
+    text = text or ""
+    lower = text.lower()
+    # Of equal length: every character has one for itself, so the tokens lie in the same places.
+    return TOKEN.findall(lower) if len(lower) == len(text) else [w.lower() for w in TOKEN.findall(text)]
 
 
 def aggregate(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -220,7 +224,7 @@ class Scorer:
     def spans(text: str | None, p: np.ndarray) -> list[tuple[int, int, float]]:
         """Runs of tokens with P(toxic) > 0.5: first and last + 1 code point, highest probability."""
         out, before = [], -2
-        at = [m.span() for m in TOKEN.finditer((text or "").lower())]
+        at = [m.span() for m in TOKEN.finditer(text or "")]
         for i in np.flatnonzero(p > 0.5):
             if i == before + 1:
                 out[-1] = (out[-1][0], at[i][1], max(out[-1][2], float(p[i])))
@@ -239,8 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes:
 def tagged(docs: DataFrame, field: Field, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """The documents with a struct ``name`` of score and spans, over whole texts.
 
-    Offsets count code points of the lower-cased text, which for nearly all scripts are those of the
-    text. Null texts are scored as empty ones and have no spans. A column of that name is replaced.
+    Offsets count code points of the text. Null texts are scored as empty ones and have no spans; repeated
+    rows are scored alike. A column of that name is replaced; an empty table gives an empty one.
     """
     @F.pandas_udf(SPANS)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -254,7 +258,7 @@ def tagged(docs: DataFrame, field: Field, text_col: str = "text", name: str = "t
 
 
 def classify(docs: DataFrame, field: Field) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, spans."""
+    """One row per input row, repeated ones and null ids too: doc_id, held_out, score, predicted, spans; see ``tagged``."""
     narrow = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
     return tagged(narrow, field).select(
         "doc_id", remainder(F.col("doc_id"), 3, 1).alias("held_out"), F.col("toxicity.score").alias("score"),

@@ -5,6 +5,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 
 from canvass.llm import pieces, quality  # noqa: E402
@@ -58,3 +60,26 @@ def test_nothing_else_imports_the_subpackage():
     for path in (root / "canvass").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"canvass\.llm|corpus_pipeline", path.read_text())
+
+
+CLASHING = ["parts", "sums", "_mix_of", "_mix_copy", "_mix_key", "_gone", "_kept_id", "_kept_rows", "_quality", "_copy", "keys", "row", "times", "id", "score"]
+
+
+def test_clashing_columns_come_through(spark, tmp_path):
+    docs = table(spark, D, "documents")
+    for k, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.col("doc_id") * 100 + k)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, D).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == docs.columns + (["pieces"] if name == "pieces" else [])
+        assert out.count() and out.where(" OR ".join(f"{c} IS DISTINCT FROM doc_id * 100 + {k}" for k, c in enumerate(CLASHING))).isEmpty()
+        docs = out
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = table(spark, D, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, D).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0

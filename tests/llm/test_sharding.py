@@ -47,3 +47,12 @@ def test_files_prune_on_every_column(spark, tmp_path):
     assert sum(r["min(n_chars)"] <= 500 <= r["max(n_chars)"] for r in spans) <= 12
     per_shard = back.groupBy("shard").agg({"lang": "approx_count_distinct"}).collect()
     assert sum(r[1] for r in per_shard) / 16 <= 10
+
+
+def test_one_odd_string_keeps_all_levels(spark):
+    docs = [(i, "t", "en", "a" if i == 77 else f"https://host{i:05d}", 1) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sharding.assign(df, dims=("source",), bits=4)
+    sizes = [r["count"] for r in got.groupBy("hilbert").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 251
+    assert [r.doc_id for r in got.orderBy("hilbert").where("hilbert = 0").collect()].count(77) == 1

@@ -62,3 +62,12 @@ def test_edges(spark):
     rows = toxicity.classify(docs, field).collect()
     assert len(rows) == 5 and {r.score for r in rows} == {0.5} and all(r.spans == [] for r in rows)
     assert toxicity.classify(docs.limit(0), field).count() == 0
+
+
+def test_offsets_count_the_text_itself():
+    """Lower-casing the capital I with a dot makes two characters of it."""
+    text = "\u0130\u0130\u0130 worthless worthless end"
+    at = [m.span() for m in toxicity.TOKEN.finditer(text)]
+    assert toxicity.tokens(text)[1:] == ["worthless", "worthless", "end"] and len(at) == len(toxicity.tokens(text))
+    (a, b, _), = toxicity.Scorer.spans(text, np.array([0.0, 0.9, 0.8, 0.1]))
+    assert text[a:b] == "worthless worthless"
