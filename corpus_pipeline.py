@@ -1,7 +1,11 @@
 """The corpus pipeline: quality, exact copies, near copies, mixture, pieces.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and
-reads back as the next stage's documents. All stages but the last return the columns of ``documents``.
+reads back as the next stage's documents. All stages but the last return the columns of their documents,
+further ones included, whatever their names; the last adds ``pieces`` (a column of that name is
+replaced). A null text counts as an empty one; rows with a null id are judged like others and never
+near copies of each other; of repeated rows exact deduplication keeps one; an empty table goes through
+all stages and stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.llm import exact_dedup, minhash, mixing, pieces, quality
-from canvass.llm.common import table
+from canvass.llm.common import free, table
 from canvass.session import materialize
 
 
@@ -37,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the numbers of their pieces, under seeded merge dropout that differs between copies."""
     # Equal rows: it makes no difference which of them has which number.
-    numbered = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1))))
-    return pieces.encoded(numbered, seed=1, copy_col="_copy").drop("_copy")
+    name = free(docs, "_copy")
+    numbered = docs.withColumn(name, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1))))
+    return pieces.encoded(numbered, seed=1, copy_col=name).drop(name)
 
 
 STAGES = [
