@@ -260,7 +260,7 @@ def fit_cumulative(
                 trail = []
         else:
             settled = not estimated
-        if longest < tolerance and settled:
+        if longest < (max(tolerance, 1e-5) if estimated else tolerance) and settled:
             break
         part = 1.0
         while True:
