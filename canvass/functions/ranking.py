@@ -40,6 +40,17 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "row
 
 
 def group_ids(df: DataFrame, col: str, name: str = "group_id") -> DataFrame:
-    """Give rows with the same text the same number, counted in text order from 1."""
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return df.join(number_rows(distinct, [], [col], name), col, "left")
+    """Give rows with the same text the same number, counted in text order from 1; a null stays without.
+
+    Distinct texts are sorted; rows meet their number by a digest of the text, so no text is written and
+    only digests are joined. That no two texts share a digest is checked. Rows without a text have keys
+    of their own and are not drawn together.
+    """
+    digest = F.unhex(F.sha2(F.col(col).cast("string"), 256))
+    texts = df.where(F.col(col).isNotNull()).groupBy(digest.alias("_digest")).agg(F.min(col).alias("_text"), (F.min(col) == F.max(col)).alias("_one"))
+    numbers = materialize(number_rows(texts, [], ["_text"], name, keep=["_digest", "_one"]), "numbers")
+    if not numbers.where("NOT _one").isEmpty():
+        raise ValueError(f"two texts of {col!r} share a digest")
+    own = F.to_binary(F.concat(F.lit("-"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")), F.lit("utf-8"))
+    return df.withColumn("_key", F.coalesce(digest, own)).join(
+        numbers.select(F.col("_digest").alias("_key"), name), "_key", "left").drop("_key")

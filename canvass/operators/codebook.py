@@ -13,11 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Rows of a codebook sheet that may be read to the driver, and pairs that may become a literal map (a
-# map literal is searched from front to back for every row; longer code lists are joined).
-ROW_LIMIT = 20_000
+from canvass.session import materialize
 
 SHEETS = {
     "crosswalk": "raw string, clean string",
@@ -29,8 +26,8 @@ SHEETS = {
 }
 
 
-def small_rows(df: DataFrame, limit: int = ROW_LIMIT) -> list:
-    """Rows of a dictionary on the driver; refuses a table beyond the limit."""
+def small_rows(df: DataFrame, limit: int) -> list:
+    """Rows of a table on the driver; refuses a table beyond the limit."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} dictionary rows; join the table instead")
@@ -68,18 +65,23 @@ class Codebook:
     def __getitem__(self, sheet: str) -> DataFrame:
         return self.tables[sheet]
 
-    def crosswalk(self) -> dict[str, str]:
-        return {r.raw: r.clean for r in small_rows(self["crosswalk"])}
+    def _rows(self, sheet: str, key: str, names: Iterable[str] | None) -> list:
+        """Rows of a sheet whose key is among the names, usually a table's columns; all rows without names."""
+        table = self[sheet]
+        return (table if names is None else table.where(F.col(key).isin(list(names)))).collect()
 
-    def changes(self, sheet: str) -> dict[str, list[tuple[str, str, int]]]:
-        """``{variable: [(from, to, value)]}`` of the recode or level sheet."""
+    def crosswalk(self, names: Iterable[str] | None = None) -> dict[str, str]:
+        return {r.raw: r.clean for r in self._rows("crosswalk", "raw", names)}
+
+    def changes(self, sheet: str, names: Iterable[str] | None = None) -> dict[str, list[tuple[str, str, int]]]:
+        """``{variable: [(from, to, value)]}`` of the recode or level sheet, for short scales; :func:`harmonize_sheet` joins long ones."""
         found: dict[str, list] = {}
-        for r in small_rows(self[sheet]):
+        for r in self._rows(sheet, "variable", names):
             found.setdefault(r["variable"], []).append((r["from"], r["to"], r["value"]))
         return found
 
-    def questions(self) -> dict[str, str]:
-        return {r.variable: r.label for r in small_rows(self["questions"])}
+    def questions(self, names: Iterable[str] | None = None) -> dict[str, str]:
+        return {r.variable: r.label for r in self._rows("questions", "variable", names)}
 
 
 def lookup(value: Column, pairs: Mapping) -> Column:
@@ -92,7 +94,7 @@ def lookup(value: Column, pairs: Mapping) -> Column:
 
 def rename_crosswalk(df: DataFrame, codebook: Codebook) -> DataFrame:
     """Rename raw column names to the shared ones."""
-    return df.withColumnsRenamed({k: v for k, v in codebook.crosswalk().items() if k in df.columns})
+    return df.withColumnsRenamed({k: v for k, v in codebook.crosswalk(df.columns).items()})
 
 
 def harmonize_values(
@@ -154,29 +156,60 @@ def decode(df: DataFrame, labels: Mapping[str, Mapping], names: Iterable[str] |
     })
 
 
+def attach_entries(df: DataFrame, entries: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``_m0``, ``_m1``, … with the entry ``mapped`` of (``variable``, ``original``) for the columns ``names``.
+
+    The dictionary is joined once, however many columns there are, to their distinct combinations, whose
+    entries are packed side by side; the rows are joined to their combination, nulls included. No literal
+    grows with the dictionary, and an entry that is listed twice takes its smallest form and repeats no row.
+    """
+    keys = [f"_k{i}" for i in range(len(names))]
+    clean = entries.where(F.col("variable").isin(names)).groupBy("variable", F.col("original").cast("string").alias("original")).agg(F.min("mapped").alias("mapped"))
+    text = [F.col(f"`{n}`").cast("string") for n in names]
+    combos = materialize(df.select(*[t.alias(k) for t, k in zip(text, keys, strict=True)]).distinct().withColumn("_combo", F.monotonically_increasing_id()), "combinations")
+    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(k).alias("original")) for n, k in zip(names, keys, strict=True)])
+    long = combos.select("_combo", F.explode(pairs).alias("t")).select("_combo", "t.*").where("original IS NOT NULL")
+    packed = long.join(clean, ["variable", "original"]).groupBy("_combo").agg(*[F.max(F.when(F.col("variable") == n, F.col("mapped"))).alias(f"_m{i}") for i, n in enumerate(names)])
+    table = materialize(combos.join(packed, "_combo").drop("_combo"), "entries")
+    same = [t.eqNullSafe(F.col(k)) for t, k in zip(text, keys, strict=True)]
+    return df.join(table, same, "left").drop(*keys)
+
+
+def _replaced(df: DataFrame, entries: DataFrame, names: Iterable[str], as_text: bool) -> DataFrame:
+    names = list(names)
+    found = attach_entries(df, entries, names)
+    own = lambda n: F.col(f"`{n}`").cast("string") if as_text else F.col(f"`{n}`")
+    return found.withColumns({n: F.coalesce(f"_m{i}", own(n)) for i, n in enumerate(names)}).drop(*[f"_m{i}" for i in range(len(names))])
+
+
 def label_codes(df: DataFrame, codes: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Codes → labels in several columns from one code list ``(variable, code, label)``, by join."""
-    for n in names:
-        # One row per code: a code listed twice takes its first label in text order and repeats no respondent.
-        part = codes.where(F.col("variable") == n).groupBy(F.col("code").cast("string").alias("_code")).agg(F.min("label").alias("_label"))
-        text = F.col(n).cast("string")
-        df = (
-            df.join(part, text == F.col("_code"), "left")
-            .withColumn(n, F.coalesce(F.col("_label"), text)).drop("_code", "_label")
-        )
-    return df
+    """Codes → labels in several columns from one code list ``(variable, code, label)``; codes without a label stay as text.
+
+    A code that is listed twice takes its first label in text order.
+    """
+    entries = codes.select("variable", F.col("code").alias("original"), F.col("label").alias("mapped"))
+    return _replaced(df, entries, names, True)
 
 
 def remap(df: DataFrame, mapping: DataFrame, dataset: str, names: Iterable[str]) -> DataFrame:
-    """Replace values through the mapping sheet; values without an entry stay as they are."""
-    for n in names:
-        part = mapping.where((F.col("dataset") == dataset) & (F.col("variable") == n)).select(
-            F.col("original").alias("_original"), F.col("mapped").alias("_mapped"))
-        df = (
-            df.join(part, F.col(n) == F.col("_original"), "left")
-            .withColumn(n, F.coalesce(F.col("_mapped"), F.col(n))).drop("_original", "_mapped")
-        )
-    return df
+    """Replace values through the mapping sheet; values without an entry stay as they are, one with several takes the first in text order."""
+    return _replaced(df, mapping.where(F.col("dataset") == dataset).select("variable", "original", "mapped"), names, False)
+
+
+def harmonize_sheet(df: DataFrame, sheet: DataFrame, source_col: str | None = None, sources: Iterable[str] | None = None) -> DataFrame:
+    """:func:`harmonize_all` from a change sheet of any length, by join."""
+    wanted = {r["variable"] for r in sheet.where(F.col("variable").isin(df.columns)).select("variable").distinct().collect()}
+    names = [c for c in df.columns if c in wanted]
+    if not names:
+        return df
+    found = attach_entries(df, sheet.select("variable", F.col("from").alias("original"), F.struct("to", "value").alias("mapped")), names)
+    applies = F.col(source_col).isin(list(sources)) if sources is not None else F.lit(True)
+    new = {}
+    for i, n in enumerate(names):
+        old, code, kept = F.col(f"`{n}`").cast("string"), F.when(applies, F.col(f"_m{i}.value")), f"{n}_code"
+        new[n] = F.when(applies, F.coalesce(F.col(f"_m{i}.to"), old)).otherwise(old)
+        new[kept] = F.coalesce(code, F.col(kept)) if kept in df.columns else code
+    return found.withColumns(new).drop(*[f"_m{i}" for i in range(len(names))])
 
 
 def recode_items(df: DataFrame, col: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -203,10 +236,6 @@ def ordered(df: DataFrame, levels: Mapping[str, list[str]], *names: str) -> Data
 
 
 def with_caption(df: DataFrame, captions: DataFrame, question: str = "question") -> DataFrame:
-    """Attach the caption of each row's question."""
-    texts = {r["question"]: r["caption"] for r in small_rows(captions)}
-    return df.withColumn("caption", lookup(F.col(question), texts))
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    """Attach the caption of each row's question, by join; a question that is listed twice takes its first caption in text order."""
+    texts = captions.groupBy(F.col("question").alias("_question")).agg(F.min("caption").alias("caption"))
+    return df.join(texts, F.col(question) == F.col("_question"), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != "caption"], "caption")

@@ -73,12 +73,13 @@ def pct_overall(counts: DataFrame, value: str = "n", name: str = "pct") -> DataF
 
 
 def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_token: str | None = None,
-          items: bool = False) -> DataFrame:
+          items: bool = False, mark: str | None = None) -> DataFrame:
     """Count many questions in one pass over the respondents.
 
     ``questions`` maps a question to its column(s). Returns the keys, ``question``, ``value``, ``n``,
     the respondents who ``answered`` the question and its ``responses`` (ticks); with ``items``
-    also the column as ``item``.
+    also the column as ``item``. With ``all_token`` and ``mark`` a column of that name is true in the
+    totals, which tells them from a group that bears the token.
 
     A question with several columns contributes one more entry per respondent who answered any of
     them, so numerator and denominator come out of the same aggregate.
@@ -113,7 +114,8 @@ def tally(df: DataFrame, by: list[str], questions: Mapping[str, list[str]], all_
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "question"]]
     out = counts.where(F.col("n").isNotNull()).join(totals, same)
     item = [F.col("_item").alias("item")] if items else []
-    return out.select(*names, "question", *item, "value", "n", "answered", "responses")
+    marked = [F.col("_all").alias(mark)] if mark and all_token is not None else []
+    return out.select(*names, *marked, "question", *item, "value", "n", "answered", "responses")
 
 
 def multi_freq(df: DataFrame, by: list[str], names: list[str], base: str | None = None,

@@ -87,7 +87,22 @@ def weighted_histogram(spark, d):
     return nm.histogram(counted, ["city"], "x", bins=5, weight="n")
 
 
-@query("G17_density", f"""WITH {PRICES}, lim AS (SELECT min(x) lo, max(x) hi FROM src), g AS (SELECT lo, hi, (hi - lo) / 256 step FROM lim),
+@query("G17_density", f"""WITH {PRICES.replace('src AS', 'plain AS')}, src AS (SELECT city, CASE WHEN city = 'ASIA' THEN x * 1000 ELSE x END x FROM plain),
+  lim AS (SELECT min(x) lo, (max(x) - min(x)) / 63 pace FROM src),
+  stat AS (SELECT city, count(*) n, stddev_samp(x) sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) iqr FROM src GROUP BY 1),
+  bw AS (SELECT city, n, 0.9e0 * least(sd, iqr / 1.34e0) * pow(CAST(n AS DOUBLE), -0.2e0) bw FROM stat),
+  placed AS (SELECT city, n, bw, (x - lo) / (bw / 64) place FROM src JOIN bw USING (city), lim),
+  c AS (SELECT city, n, bw, floor(place) cell, count(*) k, sum(place - floor(place)) up FROM placed GROUP BY 1, 2, 3, 4),
+  w AS (SELECT city, n, bw, cell, k - up weight FROM c UNION ALL SELECT city, n, bw, cell + 1, up FROM c)
+  SELECT city, CAST(point AS INT) point, round(lo + point * pace, 4) x, round(sum(weight * exp(-0.5e0 * pow((point * pace - cell * bw / 64) / bw, 2))) / (n * bw * sqrt(2 * pi())), 14) density
+  FROM w, lim, range(64) p(point) GROUP BY city, point, lo, pace, n, bw""")
+def density(spark, d):
+    """One group's values are a thousand times those of the others: each group has cells of its own width."""
+    values = prices(spark, d).withColumn("x", F.when(F.col("city") == "ASIA", F.col("x") * 1000).otherwise(F.col("x")))
+    return rounded(rounded(nm.density(values, ["city"], "x", points=64), 14, "density"), 4, "x")
+
+
+@query("G17_density_cells", f"""WITH {PRICES}, lim AS (SELECT min(x) lo, max(x) hi FROM src), g AS (SELECT lo, hi, (hi - lo) / 256 step FROM lim),
   stat AS (SELECT city, count(*) n, stddev_samp(x) sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) iqr FROM src GROUP BY 1),
   bw AS (SELECT city, n, 0.9e0 * least(sd, iqr / 1.34e0) * pow(CAST(n AS DOUBLE), -0.2e0) bw FROM stat),
   placed AS (SELECT city, (x - lo) / step place, least(floor((x - lo) / step), 255) cell FROM src, g),
@@ -96,7 +111,7 @@ def weighted_histogram(spark, d):
   p AS (SELECT i point, lo + i * ((hi - lo) / 63) x FROM g, range(64) t(i))
   SELECT w.city, CAST(point AS INT) point, x, round(sum(weight * exp(-0.5e0 * pow((x - (lo + cell * step)) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 14) density
   FROM w JOIN bw ON w.city = bw.city, g, p GROUP BY 1, 2, 3""")
-def density(spark, d):
+def density_cells(spark, d):
     return rounded(nm.density(prices(spark, d), ["city"], "x", points=64, cells=256), 14, "density")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from canvass.functions.scalars import age, age_band
@@ -12,6 +14,7 @@ from canvass.operators.filters import SurveyParams, complete_cases
 from canvass.operators.numeric import spend_summary
 from canvass.operators.reshape import grid_cell
 from canvass.operators.tabulate import battery, crosstab, pct_within
+from canvass.plans import instruments as ins
 from canvass.plans import reports as rp
 from canvass.plans import views as v
 from canvass.plans.catalog import registry as r
@@ -21,6 +24,7 @@ from canvass.plans.catalog.measures import rounded
 from canvass.plans.catalog.registry import query
 from canvass.plans.catalog.storage import QUESTIONS, value_levels
 from canvass.plans.instruments import Instrument, answered_bases, dashboard, spending_table
+from canvass.session import scratch_path
 
 ANSWERS = {"gender": ["gender_code"], "rating": ["rating"], "Q12": v.MULTI}
 
@@ -95,6 +99,61 @@ def report(spark, d):
     return rp.report(v.resp(spark, d), ["AFRICA", "MIDDLE EAST"], {"rating": ["rating"]}, v.SPEND)["sample"]
 
 
+@query("U5_report_tables", f"""WITH {r.RESP}, k AS (SELECT * FROM resp WHERE city IN ('AFRICA', 'MIDDLE EAST'))
+  SELECT 'sample' part, city grp, 'n' item, CAST(count(*) AS DOUBLE) "value" FROM k GROUP BY 2
+  UNION ALL SELECT 'answers', city, CAST(rating AS VARCHAR), CAST(count(*) AS DOUBLE) FROM k WHERE rating IS NOT NULL GROUP BY 2, 3
+  UNION ALL SELECT 'mean_spend', city, unnest(['Q6_1', 'Q6_2', 'Q6_3', 'Q6_4', 'Q6_5']), unnest([""" + ", ".join(f"round(avg(Q6_{k}), 6)" for k in range(1, 6)) + f"""]) FROM k GROUP BY 2
+  UNION ALL SELECT 'mean_positive_spend', city, unnest(['Q6_1', 'Q6_2', 'Q6_3', 'Q6_4', 'Q6_5']), unnest([""" + ", ".join(
+    f"round(avg(CASE WHEN Q6_{k} > 0 THEN Q6_{k} END), 6)" for k in range(1, 6)) + """]) FROM k GROUP BY 2""")
+def report_tables(spark, d):
+    """All four tables of the report for two cities, in long form."""
+    cities = ["AFRICA", "MIDDLE EAST"]
+    tables = rp.report(v.resp(spark, d), cities, {"rating": ["rating"]}, v.SPEND)
+    value = F.col("value").cast("double")
+    parts = [tables["sample"].select(F.lit("sample").alias("part"), F.col("city").alias("grp"), F.lit("n").alias("item"), F.col("n").cast("double").alias("value")),
+             tables["answers"].drop("question").unpivot("value", cities, "grp", "n").select(F.lit("answers").alias("part"), "grp", F.col("value").alias("item"), F.col("n").cast("double").alias("value"))]
+    parts += [rounded(tables[t], 6, *v.SPEND).unpivot("city", v.SPEND, "item", "value").select(F.lit(t).alias("part"), F.col("city").alias("grp"), "item", value.alias("value"))
+              for t in ("mean_spend", "mean_positive_spend")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _venue(spark, d, group, names, columns):
+    """The census in the form of a venue survey; one city is called Total, and some answers are tests."""
+    renamed = [F.col(old).alias(new) for new, old in columns.items()]
+    city = F.when(F.col("city") == "AFRICA", "Total").otherwise(F.col("city"))
+    name = F.when(F.col("id") % 19 == 0, "my test").when(F.col("id") % 23 == 0, "d").when(F.col("id") % 29 == 0, "moi").otherwise(F.concat(F.lit("Club "), F.col("id")))
+    status = F.when(F.col("id") % 31 == 0, "Survey Preview").otherwise("IP Address")
+    return v.census(spark, d).select(city.alias(group), status.alias("Status"), name.alias(names), *renamed)
+
+
+PRE = {"Q6": "rating", "Q7": "birth_year", **{f"Q8_{k}": f"Q12_{k}" for k in range(1, 7)}, **{f"Q9_{k}": f"Q17_{k}" for k in range(1, 8)}, "Q10": "segment", "Q11": "gender_code",
+       **{f"Q12_{k}": f"Q17_{k}" for k in range(1, 4)}, "Q13": "country", "Q14_1": "Q12_1", "Q14_2": "Q12_2", "Q14_15_TEXT": "segment", **{f"Q15_{k}": f"Q17_{k}" for k in range(1, 4)}, "Q18": "rating"}
+POST = {"Q1": "rating", "Q2": "segment", "Q4": "gender_code", "Q6": "country", **{f"Q8_{k}": f"Q12_{k}" for k in range(1, 4)}, **{f"Q9_{k}": f"Q17_{k}" for k in range(1, 5)},
+        "Q10": "segment", **{f"Q12_{k}": f"Q12_{k}" for k in range(4, 7)}, "Q13": "gender_code", **{f"Q14_{k}": f"Q17_{k}" for k in range(5, 8)}, "Q31": "country"}
+
+
+def _venue_sql(columns, singles, tests):
+    parts = []
+    for new, old in columns.items():
+        if new in ("Q14_15_TEXT", "Q31"):
+            continue
+        value = f"concat(CAST({old} // 10 * 10 AS VARCHAR), '-', CAST({old} // 10 * 10 + 9 AS VARCHAR))" if new == "Q7" else f"CAST({old} AS VARCHAR)"
+        parts.append(f"SELECT town, '{new if new in singles else new.split('_')[0]}' question, {value} \"value\" FROM live WHERE {old} IS NOT NULL")
+    cells = ", ".join(f"CAST(count(CASE WHEN town = '{c}' THEN 1 END) AS BIGINT) \"{c}\"" for c in ("Total", "EUROPE"))
+    return f"""WITH {r.CENSUS}, live AS (SELECT *, CASE city WHEN 'AFRICA' THEN 'Total' ELSE city END town FROM census WHERE id % 31 > 0 AND id % 19 > 0 AND {tests}
+    AND city IN ('AFRICA', 'EUROPE')) SELECT question, "value", {cells} FROM ({" UNION ALL ".join(parts)}) t GROUP BY 1, 2"""
+
+
+@query("B3_pre_tables", _venue_sql(PRE, ("Q15_1", "Q15_2", "Q15_3"), "(id % 29 > 0 OR id % 23 = 0)"))
+def pre_tables(spark, d):
+    return rp.venue_report(_venue(spark, d, "City", "Q21_1", PRE), ins.PRE_SNAPSHOT, ["Total", "EUROPE"])
+
+
+@query("B3_post_tables", _venue_sql(POST, (), "id % 23 > 0"))
+def post_tables(spark, d):
+    return rp.venue_report(_venue(spark, d, "Q34", "Q30_1", POST), ins.POST_SNAPSHOT, ["Total", "EUROPE"])
+
+
 @query("B4_venue_tables", f"""WITH {r.CENSUS}, {_long('census')}, dec AS (SELECT city, 'decade' question, concat(CAST(year(end_date) // 10 * 10 AS VARCHAR), '-',
   CAST(year(end_date) // 10 * 10 + 9 AS VARCHAR)) "value" FROM census), k AS (SELECT city, question, "value", count(*) n FROM (SELECT * FROM l UNION ALL SELECT * FROM dec) t GROUP BY 1, 2, 3)
   SELECT question, "value", {_wide(v.CITIES)} FROM k GROUP BY 1, 2""")
@@ -257,6 +316,18 @@ def enrich_text(spark, d):
     return tx.enrich_text(v.open_text(spark, d), "id", "answer", mark, batch=5)
 
 
+@query("U4_enrich_resumable", f"""WITH {r.OPEN_TEXT} SELECT id, answer, CASE WHEN answer <> '' THEN replace(answer, 'n', 'N') END result,
+  CASE WHEN answer = '' THEN 'blank answer' END error FROM open_text WHERE answer IS NOT NULL""")
+def enrich_resumable(spark, d):
+    def mark(texts):
+        """Stand-in for a translation service: rejects blank answers."""
+        if any(not t for t in texts):
+            raise ValueError("blank answer")
+        return [t.replace("n", "N") for t in texts]
+
+    return tx.enrich_resumable(v.open_text(spark, d), "id", "answer", mark, scratch_path(spark, "ledger"), parts=4)
+
+
 @query("B8_age_shares", f"""WITH {r.RESPONDENTS}, k AS (SELECT city, CASE WHEN 2024 - birth_year < 18 THEN '<18' WHEN 2024 - birth_year < 30 THEN '18-29' WHEN 2024 - birth_year < 50 THEN '30-49'
   WHEN 2024 - birth_year < 65 THEN '50-64' WHEN 2024 - birth_year > 64 THEN '>64' END age_group, count(*) n FROM respondents WHERE birth_year IS NOT NULL GROUP BY 1, 2)
   SELECT city, age_group, n / CAST(sum(n) OVER (PARTITION BY city) AS DOUBLE) share FROM k""")

@@ -13,7 +13,7 @@ from canvass.operators.dictionary import (
 from canvass.operators.filters import SurveyParams, answered_text
 from canvass.plans import views as v
 from canvass.plans.catalog import registry as r
-from canvass.plans.catalog.registry import query
+from canvass.plans.catalog.registry import SQL, query
 from canvass.session import scratch_path
 from canvass.sources import readers, writers
 
@@ -163,3 +163,27 @@ def questionnaire_text(spark, d):
     spec = questionnaire(rows, QUESTIONS, value_levels(spark))
     writers.write_questionnaire(spec, scratch_path(spark, "questionnaire"))
     return questionnaire_blocks(spec)
+
+
+@query("S10_codebook_statistics", f"""WITH {r.RESPONDENTS} """ + " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, CAST(count({c}) AS DOUBLE) vald, CAST(count(*) - count({c}) AS DOUBLE) invd, CAST(min({c}) AS DOUBLE) "min", CAST(max({c}) AS DOUBLE) "max",
+  round(avg({c}), 6) mean, round(stddev_samp({c}), 6) stdev FROM respondents""" for c in ("gender_code", "rating", "birth_year")) + """
+  UNION ALL SELECT 'city', CAST(count(city) AS DOUBLE), CAST(count(*) - count(city) AS DOUBLE), NULL, NULL, NULL, NULL FROM respondents""")
+def codebook_statistics(spark, d):
+    """All six statistics of every variable, read back from the written document."""
+    rows = v.respondents(spark, d).select("gender_code", "rating", "city", "birth_year")
+    path = scratch_path(spark, "xml")
+    writers.write_codebook_xml(writers.codebook_elements(profile(rows), profile_categories(rows, value_levels(spark), ["gender_code", "rating"]), QUESTIONS), path)
+    back = spark.read.format("xml").option("rowTag", "var").schema("_name string, sumStat array<struct<_type string, _VALUE double>>").load(path)
+    of = lambda kind: F.get(F.filter("sumStat", lambda s: s["_type"] == kind), F.lit(0))["_VALUE"]
+    return back.select(F.col("_name").alias("name"), *[F.round(of(k), 6).alias(k) if k in ("mean", "stdev") else of(k).alias(k) for k in ("vald", "invd", "min", "max", "mean", "stdev")])
+
+
+@query("S11_questionnaire_file", SQL["S11_questionnaire"].replace("SELECT position", "SELECT line, count(*) n FROM (SELECT unnest(string_split(block, chr(10))) line FROM (SELECT position", 1)
+       + " UNION ALL SELECT -1, '', concat('# Questionnaire', chr(10))) b) l GROUP BY 1")
+def questionnaire_file(spark, d):
+    """The lines of the written questionnaire, read back."""
+    rows = v.respondents(spark, d).select("gender_code", "rating", "city", "birth_year")
+    path = scratch_path(spark, "questionnaire")
+    writers.write_questionnaire(questionnaire(rows, QUESTIONS, value_levels(spark)), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))

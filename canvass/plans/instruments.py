@@ -36,6 +36,13 @@ class Instrument:
     strict_totals: bool = False
     # Totals in which a respondent without any amount counts as 0 instead of dropping out.
     empty_as_zero: tuple[str, ...] = ()
+    # Years that are shown as decades, raw names of columns, and what tells test answers: the column and value of
+    # the status of live ones, the column of the venue's name, and the pattern and list of names of tests.
+    years: tuple[str, ...] = ()
+    renames: Mapping[str, str] = field(default_factory=dict)
+    live: tuple[str, str] = ("Status", "IP Address")
+    names: str | None = None
+    tests: tuple[str, tuple[str, ...]] = ("test", ())
 
     def params(self, groups: tuple[str, ...], genders: tuple[str, ...] = ("total",)) -> SurveyParams:
         ignore = () if self.gender else ("gender",)
@@ -53,16 +60,11 @@ class Instrument:
         return {q: [q] for q in self.singles if q in df.columns}
 
 
-# Cities, countries, genders and question lists of the four questionnaires.
-CITIES = ("Helsinki", "Lviv", "Heidelberg", "Mannheim", "Vilnius")
-COUNTRIES = ("Germany", "Spain", "France", "Italy", "Poland")
+# The day, option orders, test names, genders and question lists of the four questionnaires.
 SNAPSHOT_DAY = "2024-10-11"
-REFERENCE_YEAR = 2024
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "Everyday")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December", "All year round")
-LIVE_STATUS = "IP Address"
-TEST_PATTERN = "test"
 TEST_NAMES_PRE = ("c", "x", "f", "asdads", "moi", "Testclub", "-", "bn")
 TEST_NAMES_POST = ("a", "Testplace", "asdsadas", "cdcd", "Chalmuns Cantina", "d", "sasda", "rm", "Тест")
 
@@ -77,10 +79,12 @@ CENSUS = Instrument(
 PRE_SNAPSHOT = Instrument(
     group="City", all_token="All Cities",
     singles=("Q4", "Q6", "Q10", "Q11", "Q13", "Q15_1", "Q15_2", "Q15_3", "Q18"),
-    groups=("Q8", "Q9", "Q12", "Q14"), free_text=("Q14_15_TEXT", "Q16", "Q17"))
+    groups=("Q8", "Q9", "Q12", "Q14"), free_text=("Q14_15_TEXT", "Q16", "Q17"),
+    years=("Q7",), names="Q21_1", tests=("test", TEST_NAMES_PRE))
 POST_SNAPSHOT = Instrument(
     group="City", all_token="All Cities", singles=("Q1", "Q2", "Q4", "Q6", "Q7", "Q10", "Q13"),
-    groups=("Q8", "Q9", "Q12", "Q14"), free_text=("Q31", "Q32"))
+    groups=("Q8", "Q9", "Q12", "Q14"), free_text=("Q31", "Q32"),
+    renames={"Q34": "City"}, names="Q30_1", tests=("test", TEST_NAMES_POST))
 PARTICIPATION = Instrument(
     group="S0", all_token="All Countries", gender="S3",
     genders=("Male", "Female", "Another gender identity", "Don't want to say"),
@@ -104,10 +108,6 @@ def grid_names(stem: str = "M34", media: int = 8, places: int = 3) -> dict[str,
     return {f"{stem}_{i + 1}t": f"{stem}_{i // places + 1}_{i % places + 1}" for i in range(media * places)}
 
 
-def rename_grid(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({k: v for k, v in grid_names().items() if k in df.columns})
-
-
 def dashboard(df: DataFrame, instrument: Instrument, groups: tuple[str, ...], genders: tuple[str, ...] = ("total",),
               item_texts: Mapping[str, str] | None = None) -> DataFrame:
     """Every answer table of an instrument in one pass: singles, multi-response groups and batteries.
@@ -120,12 +120,12 @@ def dashboard(df: DataFrame, instrument: Instrument, groups: tuple[str, ...], ge
     single = instrument.single_questions(df)
     batteries = instrument.questions(df, instrument.batteries)
     questions = {**single, **instrument.questions(df, instrument.groups), **batteries}
-    counts = tally(df, [instrument.group], questions, instrument.all_token, items=True)
+    counts = tally(df, [instrument.group], questions, instrument.all_token, items=True, mark="_all")
     is_item = F.col("question").isin(list(batteries))
     item = F.coalesce(lookup(F.col("item"), dict(item_texts or {})), F.col("item"))
     # Options of a multi-response group are told apart by their label, items of a battery by their column.
     rows = counts.withColumn("item", F.when(is_item, item)).groupBy(
-        instrument.group, "question", "item", "value", "answered", "responses").agg(F.sum("n").alias("n"))
+        instrument.group, "_all", "question", "item", "value", "answered", "responses").agg(F.sum("n").alias("n"))
     return keep_in(rows, instrument.group, groups).select(
         instrument.group, "question", "item", "value", "n",
         (F.col("n") * F.lit(100.0) / F.col("answered")).alias("pct_cases"),

@@ -18,6 +18,7 @@ from canvass.operators.filters import (
 from canvass.operators.numeric import density, histogram, mean_by, mean_positive_by, spend_summary
 from canvass.operators.tabulate import crosstab, pct_overall, sample_size, tally
 from canvass.operators.text import attach_by_id
+from canvass.plans.instruments import Instrument
 
 
 def wrangle(
@@ -37,11 +38,14 @@ def crosstab_tables(df: DataFrame, by: str, questions: Mapping[str, list[str]],
                     total: str | None = "Total") -> DataFrame:
     """All cross-tabs of a report in one table: a row per question and answer, a column per group.
 
-    With ``total`` a last column adds the groups up. Absent cells are 0.
+    With ``total`` a last column adds the groups up, followed by " (all)" if a group has its name. Absent
+    cells are 0.
     """
     counts = tally(keep_in(df, by, levels), [by], questions)
     columns = list(levels)
     if total is not None:
+        while total in columns:
+            total += " (all)"
         counts = reshape.with_totals(counts, by, ["question", "value"], label=total)
         columns.append(total)
     return reshape.fill_absent(reshape.to_wide(counts, ["question", "value"], by, "n", columns), names=columns)
@@ -64,6 +68,28 @@ def venue_tables(df: DataFrame, by: str, questions: Mapping[str, list[str]], yea
     return crosstab_tables(with_decade, by, {**questions, "decade": ["decade"]}, levels, total=None)
 
 
+def venue_report(df: DataFrame, instrument: Instrument, cities: list[str], clean: bool = True) -> DataFrame:
+    """The city tables of a venue survey: a row per question and answer, a column per chosen city.
+
+    Test answers go first, unless ``clean`` is off; questions that the table lacks are skipped; founding
+    years are grouped into decades.
+    """
+    df = df.withColumnsRenamed({k: v for k, v in instrument.renames.items() if k in df.columns})
+    if clean:
+        df = drop_test_answers(df, *instrument.live, instrument.names, *instrument.tests)
+    years = [q for q in instrument.years if q in df.columns]
+    df = df.withColumns({q: decade(q) for q in years})
+    questions = {**instrument.single_questions(df), **{q: [q] for q in years}, **instrument.questions(df, instrument.groups)}
+    return crosstab_tables(df, instrument.group, questions, cities, total=None)
+
+
+def venue_options(df: DataFrame, instrument: Instrument, col: str, levels: tuple[str, ...]) -> DataFrame:
+    """Options of a delimited answer of a venue survey per city, in the order of ``levels`` by ``option_ord``."""
+    df = df.withColumnsRenamed({k: v for k, v in instrument.renames.items() if k in df.columns})
+    options = raw_option_data(df, instrument.group, col, instrument.live, instrument.names, *instrument.tests)
+    return cb.with_order(options, "option", list(levels))
+
+
 def venue_plot_data(df: DataFrame, by: str, questions: Mapping[str, list[str]]) -> DataFrame:
     """Counts per group with percent of the question's total over all groups."""
     counts = tally(df, [by], questions)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canvass.operators.codebook import Codebook, decode, label_variables, small_rows
+from canvass.operators.codebook import Codebook, label_codes, label_variables
 
 
 @dataclass
@@ -19,11 +19,22 @@ class LabelledSurvey:
 
     data: DataFrame
     questions: dict[str, str]
-    levels: dict[str, dict[str, str]]
+    codes: DataFrame | None = None
+
+    @property
+    def levels(self) -> dict[str, dict[str, str]]:
+        """Labels by variable and code, for looking at; decoding joins the code list."""
+        found: dict[str, dict[str, str]] = {}
+        for r in self.codes.where(F.col("variable").isin(self.data.columns)).collect() if self.codes is not None else []:
+            found.setdefault(r["variable"], {})[str(r["code"])] = r["label"]
+        return found
 
     def decoded(self) -> DataFrame:
         """Codes replaced by labels."""
-        return decode(self.data, self.levels)
+        if self.codes is None:
+            return self.data
+        listed = self.codes.where(F.col("variable").isin(self.data.columns)).select("variable").distinct().collect()
+        return label_codes(self.data, self.codes, [r["variable"] for r in listed])
 
 
 def read_survey(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None,
@@ -40,11 +51,8 @@ def read_survey(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.
     if schema is not None:
         reader = reader.schema(schema)
     data = reader.load(path)
-    questions = codebook.questions() if codebook else {}
-    found: dict[str, dict[str, str]] = {}
-    for r in small_rows(levels) if levels is not None else []:
-        found.setdefault(r["variable"], {})[str(r["code"])] = r["label"]
-    return LabelledSurvey(label_variables(data, questions), questions, found)
+    questions = codebook.questions(data.columns) if codebook else {}
+    return LabelledSurvey(label_variables(data, questions), questions, levels)
 
 
 def read_surveys(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, pattern: str = "*",

@@ -143,3 +143,28 @@ def test_band_join_repeats_a_band_per_cell_of_ends(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
     empty = f.band_join(df, "x", bands.limit(0), "lo", "hi")
     assert empty.count() == 9 and empty.where("band IS NOT NULL").count() == 0
+
+
+def test_long_dictionaries_are_joined_once(spark):
+    n = 100_000
+    codes = spark.range(n).selectExpr("'a' variable", "id code", "concat('A', id) label").unionByName(
+        spark.range(n).selectExpr("'b' variable", "id code", "concat('B', id) label")).unionByName(
+        spark.createDataFrame([("a", 7, "A0 twice"), ("other", 7, "x")], "variable string, code long, label string"))
+    df = spark.createDataFrame([(7, 99_999, "k"), (7, None, None), (None, 3, "k"), (-1, 7, "k"), (7, 99_999, "k")], "a long, b int, original string")
+    out = cb.label_codes(df, codes, ["a", "b"])
+    assert out.columns == ["a", "b", "original"]
+    assert rows(out) == sorted([("A0 twice", "B99999", "k"), ("A0 twice", None, None), (None, "B3", "k"), ("-1", "B7", "k"), ("A0 twice", "B99999", "k")],
+                               key=lambda t: [(v is None, str(v)) for v in t])
+    mapping = spark.createDataFrame([("s", "original", "k", "K2"), ("s", "original", "k", "K1"), ("t", "original", "k", "T")], "dataset string, variable string, original string, mapped string")
+    assert [r[0] for r in rows(cb.remap(df, mapping, "s", ["original"]).select("original"))] == ["K1"] * 4 + [None]
+    captions = spark.range(n).selectExpr("concat('Q', id) question", "concat('About ', id) caption")
+    assert rows(cb.with_caption(spark.createDataFrame([("Q5",), ("none",)], "question string"), captions)) == [("Q5", "About 5"), ("none", None)]
+
+
+def test_harmonize_sheet_agrees_with_literals(spark):
+    df = spark.createDataFrame([("a", "Kyllä", "x", None), ("b", "Ei", None, 5), ("a", None, "y", 6), ("a", "Ei", "zz", 7)], "source string, Q4 string, Q5 string, Q5_code int")
+    sheet = spark.createDataFrame([("Q4", "Kyllä", "Yes", 1), ("Q4", "Ei", "No", 2), ("Q5", "x", "X", 9), ("Q9", "a", "b", 1)], "variable string, `from` string, `to` string, value int")
+    changes = cb.Codebook({"recodes": sheet}).changes("recodes")
+    for source in ((None, None), ("source", ["a"])):
+        want = cb.harmonize_all(df, changes, *source)
+        assert rows(cb.harmonize_sheet(df, sheet, *source).select(want.columns)) == rows(want)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators import reshape as rs
 from canvass.operators import tabulate as t
+from canvass.plans import instruments, reports
 
 SCHEMA = "id int, city string, Q12_1 string, Q12_2 string, Q5 string"
 
@@ -95,3 +96,20 @@ def test_grid(spark):
     assert rows(rs.grid_cell(long, 2, 1)) == [(1, 2, 1, 7.0)]
     assert rs.grid(spark, {"a": [1, 2], "b": ["x", "y", "z"]}).count() == 6
     assert [r.x for r in rs.expand_seq(spark.range(1), 0, 1, 3).orderBy("x").collect()] == [0.0, 0.5, 1.0]
+
+
+def test_a_group_called_like_the_total(spark):
+    df = spark.createDataFrame([("Total", "x"), ("A", "x"), ("A", "y")], "city string, q string")
+    out = reports.crosstab_tables(df, "city", {"q": ["q"]}, ["Total", "A"])
+    assert out.columns == ["question", "value", "Total", "A", "Total (all)"]
+    assert rows(out) == [("q", "x", 1, 1, 2), ("q", "y", 0, 1, 1)]
+    census = instruments.Instrument(group="city", all_token="Total", singles=("q",))
+    got = rows(instruments.dashboard(df, census, ("Total",)).select("value", "n", "pct_cases"))
+    assert got == [("x", 1, 100.0), ("x", 2, 200 / 3), ("y", 1, 100 / 3)]
+
+
+def test_venue_options_in_order(spark):
+    df = spark.createDataFrame([("A", "Monday,Everyday", "Club", "IP Address"), ("A", "Friday", "test", "IP Address"), ("A", "Friday", "x", "IP Address"), ("A", "Friday", "Bar", "Preview")],
+                               "City string, days string, Q21_1 string, Status string")
+    out = reports.venue_options(df, instruments.PRE_SNAPSHOT, "days", instruments.WEEKDAYS)
+    assert rows(out.select("City", "option", "n", "option_ord")) == [("A", "Everyday", 1, 8), ("A", "Monday", 1, 1)]

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from canvass.functions import ranking
 from canvass.operators import dictionary as dc
 from canvass.operators import text as tx
 from canvass.operators.filters import SurveyParams
@@ -122,3 +123,54 @@ def test_labels_may_hold_the_separator(spark):
     spec = dc.questionnaire(df, {}, levels)
     assert spec.first()["options"] == "A | B [1] | C [2]"
     assert "**Options:**\n- A | B [1]\n- C [2]\n" in dc.questionnaire_blocks(spec).first()["block"]
+
+
+def test_enrichment_goes_on_after_a_stop(spark, tmp_path):
+    """Texts that have a result are not sent again; failing ones are, up to the bound; calls keep their pace."""
+    calls, stop, ledger = tmp_path / "calls", tmp_path / "stop", str(tmp_path / "ledger")
+    calls.mkdir()
+    stop.touch()
+
+    def send(texts):
+        import os
+        import uuid
+        (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+        if stop.exists() and "t33" in texts:
+            os._exit(1)  # as if the machine went away
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t + "!" for t in texts]
+
+    rows = [(i, f"t{i % 50}") for i in range(120)] + [(200, "bad"), (201, None), (202, "bad")]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(2)
+    with pytest.raises(Exception):  # noqa: B017
+        tx.enrich_resumable(df, "id", "t", send, ledger, batch=3, parts=8)
+    sent = lambda: [t for f in calls.iterdir() for t in f.read_text().split("\n")]
+    done = {r.text for r in spark.read.parquet(ledger).join(df.selectExpr("sha2(t, 256) digest", "t text").distinct(), "digest").where("error IS NULL").collect()}
+    assert 0 < len(done) < 50
+    for f in list(calls.iterdir()):
+        f.unlink()
+    stop.unlink()
+    out = tx.enrich_resumable(df, "id", "t", send, ledger, batch=3, parts=8, rate=200.0, burst=2)
+    assert sorted((r.id, r.result, r.error) for r in out.collect()) == sorted([(i, f"t{i % 50}!", None) for i in range(120)] + [(200, None, "no"), (202, None, "no")])
+    again = sent()
+    assert not done & set(again) and {f"t{k}" for k in range(50)} - done <= set(again)
+    for f in list(calls.iterdir()):
+        f.unlink()
+    tx.enrich_resumable(df, "id", "t", send, ledger, batch=3, parts=8).count()
+    assert not list(calls.iterdir())
+
+
+def test_pace():
+    import time
+    pace, start = tx.Pace(50.0, 2), time.monotonic()
+    for _ in range(12):
+        pace.take()
+    assert 0.18 < time.monotonic() - start < 0.6
+
+
+def test_group_ids_write_no_text(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4), ("", 5), (None, 6)], "t string, id int")
+    out = ranking.group_ids(df, "t")
+    assert out.columns == ["t", "id", "group_id"]
+    assert sorted((r.id, r.group_id) for r in out.collect()) == [(1, 3), (2, 2), (3, None), (4, 3), (5, 1), (6, None)]
