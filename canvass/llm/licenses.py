@@ -1,12 +1,17 @@
 """Licence texts found in documents: runs of words pick candidates, banded alignment confirms them.
 
-A match that lacks few enough words of a template for the wanted coverage still has a run of its words;
-how long that run must be follows from coverage and length, and the template is indexed by its runs of
-that length, ``GRAM`` words at most. If it is GRAM + WINDOW - 1 words, of each ``WINDOW`` neighbouring
-hashes only the smallest is indexed and looked up. The index travels to the tasks. A run that text and
-template share fixes a diagonal; an alignment in a band about it finds how many words of the template
-occur in order, and from where to where. Words of punctuation only, such as the marks of comment
-lines, are left out of both. Many words put into a match can still break all its runs.
+Templates and texts are winnowed: of each ``WINDOW`` neighbouring runs of ``GRAM`` words only those with
+the smallest hash are fingerprints, so whatever shares GRAM + WINDOW - 1 = 4 words in a row shares a
+fingerprint. The templates' fingerprints are an inverted index, which travels to the tasks. A match that
+lacks few enough words of a template for a coverage of 0.8 still has 4 of them in a row if the template
+has 16 words or more, and at some lengths below. Where no such run is certain, and at lower coverages,
+a template is indexed by every run of the length that a match must have.
+
+A fingerprint that text and template share fixes a diagonal. Neighbouring diagonals are chained, as far as
+words put into a match can lead from one to the next, and an alignment in a band about the chain finds how
+many words of the template occur in order, and from where to where. Words of punctuation only, such
+as the marks of comment lines, are left out of both. Words put in after every second one leave no
+run of 4: a match then depends on single runs of two whose hashes are smallest in both.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm.common import col
 
-GRAM, WINDOW, COVERAGE = 3, 3, 0.8
+GRAM, WINDOW, COVERAGE = 2, 3, 0.8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = b"\"'`.,;:!?()[]{}<>*#/|-"
 REMEMBERED = 400_000
@@ -191,43 +196,54 @@ class Index:
             self.must[name] = list({(tuple(sorted(w.tolist())), c): (w, c) for w, c in needs if len(w)}.values())
         for name, h in self.words.items():
             run = run_of(len(h), coverage)
-            size = min(run, GRAM)
-            g = grams(h, size)
             thin = run >= GRAM + WINDOW - 1
+            size = GRAM if thin else min(run, GRAM + 1)
+            g = grams(h, size)
             if thin:
                 self.thinned.add(name)
-            places = self.places.setdefault(size, defaultdict(list))
+            places = self.places.setdefault((size, thin), defaultdict(list))
             for k in fingerprints(g).tolist() if thin else range(len(g)):
                 places[int(g[k])].append((name, k))
-        for size, places in self.places.items():
-            self.low[size] = np.zeros(1 << 16, bool)
-            self.low[size][[p & 0xFFFF for p in places]] = True
+        for key, places in self.places.items():
+            self.low[key] = np.zeros(1 << 16, bool)
+            self.low[key][[p & 0xFFFF for p in places]] = True
 
-    def candidates(self, h: np.ndarray) -> dict[str, list[int]]:
-        """Per template the places in the text where it may begin, so many that each hit is in the inner half of a band."""
+    def candidates(self, h: np.ndarray) -> dict[str, list[tuple[int, int]]]:
+        """Per template the places in the text where it may begin, and how far its diagonal may drift from there."""
         found = defaultdict(set)
-        for size, places in self.places.items():
+        for (size, thin), places in self.places.items():
             g = grams(h, size)
-            for k in np.flatnonzero(self.low[size][(g & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+            hit = self.low[size, thin][(g & np.uint64(0xFFFF)).astype(np.int64)]
+            if thin and hit.any():
+                chosen = np.zeros(len(g), bool)
+                chosen[fingerprints(g)] = True
+                hit &= chosen
+            for k in np.flatnonzero(hit).tolist():
                 for name, place in places.get(int(g[k]), ()):
-                    if name in self.thinned:
-                        from_ = max(k - WINDOW + 1, 0)
-                        if k - from_ not in fingerprints(g[from_: k + WINDOW]):
-                            continue
                     found[name].add(k - place)
-        out = {}
-        for name, begins in found.items():
-            kept = []
-            for s in sorted(begins):
-                if not kept or s - kept[-1] > band_of(self.words[name]) // 2:
-                    kept.append(s)
-            out[name] = kept
-        return out
+        return {name: chains(sorted(begins), len(self.words[name])) for name, begins in found.items()}
 
 
-def band_of(template: np.ndarray) -> int:
+def band_of(words: int) -> int:
     """Words by which an alignment may leave its diagonal: a quarter of the template's, 2 at least."""
-    return max(2, len(template) // 4)
+    return max(2, words // 4)
+
+
+def chains(begins: list[int], words: int) -> list[tuple[int, int]]:
+    """Sorted diagonals as chains: middle and half width. Neighbours in a chain are half a band apart at most.
+
+    A chain drifts by as many words as the template has at most; a longer one becomes several that overlap by half.
+    """
+    out, step, at = [], band_of(words) // 2, 0
+    for k in range(1, len(begins) + 1):
+        if k == len(begins) or begins[k] - begins[k - 1] > step:
+            low, high = begins[at], begins[k - 1]
+            while high - low > words:
+                out.append((low + words // 2, words // 2 + 1))
+                low += words // 2 + 1
+            out.append(((low + high) // 2, (high - low + 1) // 2))
+            at = k
+    return out
 
 
 def shared(template: np.ndarray, text: np.ndarray) -> int:
@@ -292,8 +308,9 @@ class Scanner:
         found = []
         for name, begins in self.index.candidates(h).items():
             template = self.index.words[name]
-            band, need = band_of(template), self.coverage * len(template)
-            for begin in begins:
+            need = self.coverage * len(template)
+            for begin, drift in begins:
+                band = band_of(len(template)) + drift
                 if shared(template, h[max(begin - band, 0): max(begin + len(template) + band + 1, 0)]) < need:
                     continue
                 matched, first, last = align(template, h, begin, band)

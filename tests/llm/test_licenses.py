@@ -121,3 +121,42 @@ def test_texts_of_the_distribution():
     for file, name in {"BSD": "BSD-3-Clause-text", "GPL-2": "GPL-2.0-header", "GPL-3": "GPL-3.0-title", "LGPL-2.1": "LGPL-2.1-header",
                        "LGPL-3": "LGPL-3.0-title", "Apache-2.0": "Apache-2.0-title", "MPL-2.0": "MPL-2.0-title", "CC0-1.0": "CC0-1.0-title"}.items():
         assert name in [g[0] for g in scan((folder / file).read_text())], file
+
+
+def test_templates_are_winnowed():
+    """All of 16 words or more, and winnowing leaves runs out of the index."""
+    long = {n for n, h in INDEX.words.items() if len(h) >= 16}
+    assert long and long <= INDEX.thinned == {n for n, h in INDEX.words.items() if li.run_of(len(h), li.COVERAGE) >= li.GRAM + li.WINDOW - 1}
+    kept = sum(len(v) for (_, thin), places in INDEX.places.items() if thin for v in places.values())
+    assert kept < 0.75 * sum(len(INDEX.words[n]) - li.GRAM + 1 for n in INDEX.thinned)
+
+
+def test_recall_of_edited_and_interleaved_texts():
+    """Words replaced up to the coverage are always found; of texts with a foreign word after every second or third, 0.9."""
+    rng, scan = random.Random(6), li.Scanner(INDEX, li.COVERAGE)
+    found = {"replaced": [], 2: [], 3: []}
+    for name in sorted(INDEX.thinned):
+        words = li.TEMPLATES[name].split()
+        bare = [k for k, w in enumerate(words) if li.word_hash(w.lower().encode()) >= 0]
+        must = {int(x) for w, _ in INDEX.must[name] for x in w}
+        free = [k for k in bare if li.word_hash(words[k].lower().encode()) not in must]
+        for _ in range(5):
+            other = set(rng.sample(free, min(int(0.2 * len(bare)), len(free))))
+            text = " ".join(f"other{k}" if k in other else w for k, w in enumerate(words))
+            found["replaced"].append(name in [g[0] for g in scan("some words ahead " + text + " and after")])
+            for every in (2, 3):
+                mixed = " ".join(w + (f" x{rng.random()}" if k % every == every - 1 else "") for k, w in enumerate(words))
+                found[every].append(name in [g[0] for g in scan("ahead " + mixed + " after")])
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    assert recall["replaced"] == 1.0 and recall[2] >= 0.9 and recall[3] >= 0.9, recall
+
+
+def test_the_same_finds_without_winnowing(spark, monkeypatch):
+    """Every single word of a template as a candidate: the finds of all documents are the same."""
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    winnowed = li.Scanner(INDEX, li.COVERAGE)
+    monkeypatch.setattr(li, "GRAM", 1)
+    monkeypatch.setattr(li, "WINDOW", 1)
+    monkeypatch.setattr(li, "run_of", lambda words, coverage: 1)
+    whole = li.Scanner(li.Index(li.TEMPLATES), li.COVERAGE)
+    assert [winnowed(t) for t in texts] == [whole(t) for t in texts]
