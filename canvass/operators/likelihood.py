@@ -88,27 +88,37 @@ def logistic(v: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-v))
 
 
-def pair_sums(cells: DataFrame, mode: np.ndarray, levels: int, own: str | None) -> DataFrame:
-    """Sums of gradient and negative Hessian over the cells: (g,) i, j, v; ``own`` is None, "effect" or "thresholds".
+def with_ends(cells: DataFrame, mode: np.ndarray, levels: int, own: str | None = None) -> DataFrame:
+    """The cells with the upper and lower end of their answer, ``u`` and ``l``, the probability between, ``p``, and its derivatives.
 
-    Terms of a group have negative numbers, -1 first; ``e`` of a cell has their values.
+    ``gu`` and ``gl`` are the first derivatives of log p in the ends, ``uu``, ``ll`` and ``ul`` minus the second.
+    Both ends are multiplied by the cell's scale ``s``, if it has one. Outermost ends are 0, with derivatives of 0.
     """
     b = F.array(*[F.lit(float(x)) for x in mode]) if len(mode) else F.array().cast("array<double>")
-    y, n = F.col("y"), F.col("n")
+    y, scale = F.col("y"), F.col("s") if "s" in cells.columns else F.lit(1.0)
     cut = (lambda j: F.get("e", j - 1)) if own == "thresholds" else (lambda j: F.get(b, j - 1))
-    number = (lambda j: -j) if own == "thresholds" else (lambda j: j - 1)
     eta = F.aggregate("idx", F.lit(0.0), lambda s, i: s + F.get(b, i))
     if own == "effect":
         eta = eta + F.get("e", F.lit(0))
     sides = cells.withColumn("eta", eta).withColumns({
-        "fu": F.when(y < levels, logistic(cut(y) - F.col("eta"))).otherwise(1.0), "fl": F.when(y > 1, logistic(cut(y - 1) - F.col("eta"))).otherwise(0.0)})
+        "u": F.when(y < levels, scale * (cut(y) - F.col("eta"))).otherwise(0.0), "l": F.when(y > 1, scale * (cut(y - 1) - F.col("eta"))).otherwise(0.0)})
+    sides = sides.withColumns({"fu": F.when(y < levels, logistic(F.col("u"))).otherwise(1.0), "fl": F.when(y > 1, logistic(F.col("l"))).otherwise(0.0)})
     du, dl = (F.col(c) * (1 - F.col(c)) for c in ("fu", "fl"))
     p = F.greatest(F.col("fu") - F.col("fl"), F.lit(LEAST))
     sides = sides.withColumns({"p": p, "gu": du / p, "gl": -dl / p})
-    sides = sides.withColumns({
-        # Minus the second derivatives of log p in the upper and lower end.
+    return sides.withColumns({
         "uu": F.col("gu") * (F.col("gu") - (1 - 2 * F.col("fu"))), "ll": F.col("gl") * (F.col("gl") - (1 - 2 * F.col("fl"))), "ul": F.col("gu") * F.col("gl")})
-    term = lambda i, u, l: F.struct(i.cast("int").alias("i"), F.lit(u).alias("u"), F.lit(l).alias("l"))  # noqa: E731,E741
+
+
+def pair_sums(cells: DataFrame, mode: np.ndarray, levels: int, own: str | None) -> DataFrame:
+    """Sums of gradient and negative Hessian over the cells: (g,) i, j, v; ``own`` is None, "effect" or "thresholds".
+
+    Terms of a group have negative numbers, -1 first; ``e`` of a cell has their values.
+    """
+    y, n, scale = F.col("y"), F.col("n"), F.col("s") if "s" in cells.columns else F.lit(1.0)
+    number = (lambda j: -j) if own == "thresholds" else (lambda j: j - 1)
+    sides = with_ends(cells, mode, levels, own)
+    term = lambda i, u, l: F.struct(i.cast("int").alias("i"), (scale * u).alias("u"), (scale * l).alias("l"))  # noqa: E731,E741
     nothing = F.array().cast("array<struct<i:int,u:double,l:double>>")
     active = [F.when(y < levels, F.array(term(number(y), 1.0, 0.0))).otherwise(nothing), F.when(y > 1, F.array(term(number(y - 1), 0.0, 1.0))).otherwise(nothing),
               F.transform("idx", lambda i: term(i, -1.0, -1.0))]
@@ -374,3 +384,72 @@ def leave_one_out(fit: Fit, df: DataFrame, y: str, draws: DataFrame) -> DataFram
         return pd.DataFrame(out, columns=["elpd", "tail"])
 
     return scored.withColumn("s", score("logs")).select(*fit.xs, F.col("_y").alias(y), F.col("_n").alias("n"), "s.elpd", "s.tail")
+
+
+def fit_dispersion(
+    df: DataFrame, y: str, xs: list[str], group: str, levels: int = 5, prior_means: tuple[float, ...] = THRESHOLD_PRIOR,
+    threshold_sd: float = 1.0, prior_sd: float = 2.0, dispersion_sd: float = 0.5, tolerance: float = 1e-5, most: int = 60,
+) -> tuple[Fit, DataFrame]:
+    """Fit with a dispersion per group: P(answer <= j) = F((threshold_j - slopes) * exp(disc of the group)).
+
+    The predictor is not linear in all terms, so steps alternate: a Newton step of thresholds and slopes with
+    all scales as they are, one of every group's dispersion with those as they are, halved until the posterior
+    rises, and the best common factor of all scales, which only the priors decide. Dispersions have a normal prior about 0. Returns the fit of the common terms, given the
+    dispersions, and a table of group, disc and sd. Groups are a table: any number may occur. Rows
+    with a null answer, covariate or group are left out.
+    """
+    columns = {x: f"x{i}" for i, x in enumerate(xs)}
+    answers = df.select(F.col(y).alias("y"), *[F.col(x).cast("string").alias(c) for x, c in columns.items()], F.col(group).cast("string").alias("g"))
+    cells = materialize(answers.na.drop().groupBy(*answers.columns).agg(F.count(F.lit(1)).alias("n")), "cells")
+    index = index_levels(cells, columns, levels - 1)
+    told = [(row["x"], row["level"]) for row in index.orderBy("number").collect()]
+    names = [f"cut{j}" for j in range(1, levels)] + [f"{x}={v}" for x, v in told]
+    mean = np.array([*prior_means[:levels - 1], *[0.0] * len(told)])
+    sd = np.array([threshold_sd] * (levels - 1) + [prior_sd] * len(told))
+    cells = materialize(with_terms(cells, columns, index, ["y", "n", "g"]), "cells")
+    groups = materialize(cells.select("g").distinct().withColumn("disc", F.lit(0.0)), "dispersion")
+    mode, history, h = mean.copy(), [], np.diag(1 / sd**2)
+
+    def scaled(groups: DataFrame) -> DataFrame:
+        return cells.join(groups.select("g", F.exp("disc").alias("s")), "g")
+
+    def height(mode: np.ndarray, groups: DataFrame) -> float:
+        likely = with_ends(scaled(groups), mode, levels).agg(F.coalesce(F.sum(F.col("n") * F.log("p")), F.lit(0.0))).first()[0]
+        prior = groups.agg(F.coalesce(F.sum(F.col("disc") * F.col("disc")), F.lit(0.0))).first()[0] / dispersion_sd**2
+        return likely - 0.5 * (prior + float((((mode - mean) / sd) ** 2).sum()))
+
+    value = height(mode, groups)
+    for _ in range(most):
+        h, s, _ = placed([tuple(x) for x in pair_sums(scaled(groups), mode, levels, None).select("i", "j", "v").collect()], len(mode))
+        h, s = h + np.diag(1 / sd**2), s - (mode - mean) / sd**2
+        step, part = np.linalg.solve(h, s), 1.0
+        while (there := height(mode + part * step, groups)) < value - 1e-9 * abs(value) and part > 1e-4:
+            part /= 2
+        mode, value, longest = mode + part * step, there, float(np.abs(part * step).max(initial=0))
+        # In a dispersion an end moves by its own value.
+        ends = with_ends(scaled(groups), mode, levels)
+        slope = F.col("gu") * F.col("u") + F.col("gl") * F.col("l")
+        bend = F.col("uu") * F.col("u") ** 2 + F.col("ll") * F.col("l") ** 2 + 2 * F.col("ul") * F.col("u") * F.col("l")
+        sums = ends.groupBy("g").agg(F.sum(F.col("n") * slope).alias("a"), F.sum(F.col("n") * bend).alias("b"))
+        a, b = F.col("a") - F.col("disc") / dispersion_sd**2, F.greatest(F.col("b") - F.col("a"), F.col("b") / 4) + 1 / dispersion_sd**2
+        moves = materialize(groups.select("g", "disc").join(sums, "g").select("g", "disc", F.greatest(F.least(a / b, F.lit(0.7)), F.lit(-0.7)).alias("move"), (1 / F.sqrt(b)).alias("sd")), "moves")
+        part = 1.0
+        moved_by = lambda k: moves.select("g", (F.col("disc") + k * F.col("move")).alias("disc"), "sd")
+        while (there := height(mode, moved_by(part))) < value - 1e-9 * abs(value) and part > 1e-4:
+            part /= 2
+        groups, value = moved_by(part), there
+        told = moves.agg(F.coalesce(F.max(F.abs("move")), F.lit(0.0)).alias("most"), F.coalesce(F.sum(F.col("disc") + part * F.col("move")), F.lit(0.0)).alias("sum"), F.count(F.lit(1)).alias("n")).first()
+        # All terms smaller and all dispersions larger by the same factor is the same likelihood: only the priors say by how much.
+        common = 0.0
+        for _ in range(30):
+            x = mode * math.exp(-common)
+            first = float((-(x - mean) * x / sd**2).sum()) + (told["sum"] + told["n"] * common) / dispersion_sd**2
+            common -= first / max(float(((2 * x - mean) * x / sd**2).sum()) + told["n"] / dispersion_sd**2, 1e-3)
+        if (there := height(mode * math.exp(-common), groups.withColumn("disc", F.col("disc") + common))) >= value - 1e-9 * abs(value):
+            mode, groups, value = mode * math.exp(-common), groups.withColumn("disc", F.col("disc") + common), there
+        longest = max(longest, part * told["most"], abs(common))
+        history.append((value, longest))
+        if longest < tolerance:
+            break
+    fit = Fit(df.sparkSession, names, mode, h, levels, list(xs), index, history=history)
+    return fit, groups.select(F.col("g").alias("group"), "disc", *([F.col("sd")] if "sd" in groups.columns else [F.lit(dispersion_sd).alias("sd")]))

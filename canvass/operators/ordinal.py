@@ -6,7 +6,7 @@ after that works on those cells, whose number depends on the questionnaire and n
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -188,12 +188,12 @@ def covariate_levels(cells: DataFrame, xs: list[str], limit: int = 1000) -> dict
 
 def ordinal_terms(
     levels: Mapping[str, list[str]], cuts: int, prior_means: tuple[float, ...] = THRESHOLD_PRIOR,
-    threshold_sd: float = 1.0, slope_sd: float = 2.0, specific: bool = False,
+    threshold_sd: float = 1.0, slope_sd: float = 2.0, specific: bool | Iterable[str] = False,
     group: str | None = None, group_levels: list[str] = (), group_sd: float = 1.0, thresholds: str = "common",
 ) -> list[Term]:
     """Terms of logit P(answer ≤ j) = threshold_j − slopes.
 
-    ``specific`` gives each cut its own slopes. ``group`` adds a shrunken intercept per group, and
+    ``specific`` gives each cut its own slopes, of all covariates or of those it lists. ``group`` adds a shrunken intercept per group, and
     ``thresholds="by_group"`` separate thresholds per group.
     """
     one = lambda condition: condition.cast("double")
@@ -208,7 +208,7 @@ def ordinal_terms(
     for x, names in levels.items():
         for v in names[1:]:
             hit = F.col(x).cast("string") == v
-            if specific:
+            if specific is True or (specific and x in specific):
                 terms += [Term(f"{x}={v}@{j}", -one(hit & (F.col("cut") == j)), 0.0, slope_sd)
                           for j in range(1, cuts + 1)]
             else:
@@ -265,12 +265,13 @@ def category_scores(cells: DataFrame, y: str, levels: int, terms: list[Term], es
 
 def check_proportional_odds(
     df: DataFrame, y: str, xs: list[str], key: str, levels: int = 5, folds: int = 3,
-    prior_means: tuple[float, ...] = THRESHOLD_PRIOR, prior_sd: float = 2.0,
+    prior_means: tuple[float, ...] = THRESHOLD_PRIOR, prior_sd: float = 2.0, chosen: Iterable[Iterable[str]] = (),
 ) -> DataFrame:
     """Compare common with cut-specific slopes by out-of-sample log score.
 
     Models: cumulative with common slopes, adjacent-category with common slopes, adjacent-category
-    with cut-specific slopes. Folds are cut from the respondent number; respondents are read once.
+    with cut-specific slopes; and for every list in ``chosen`` one whose slopes are cut-specific for the
+    covariates listed only. All models are fitted on the same counted cells. Folds are cut from the respondent number; respondents are read once.
     """
     with_fold = df.withColumn("fold", F.pmod(F.col(key), F.lit(folds)))
     cells = materialize(ordinal_cells(with_fold, y, ["fold", *xs]), "cells")
@@ -282,6 +283,9 @@ def check_proportional_odds(
         "adjacent": (stack_adjacent, common, "adjacent"),
         "adjacent_specific": (stack_adjacent, specific, "adjacent"),
     }
+    for names in map(list, chosen):
+        some = ordinal_terms(found, levels - 1, prior_means, slope_sd=prior_sd, specific=names)
+        models["adjacent_" + "_".join(names)] = (stack_adjacent, some, "adjacent")
     scored = []
     for fold in range(folds):
         train = cells.where(F.col("fold") != fold).groupBy(*xs, y).agg(F.sum("n").alias("n"))

@@ -274,3 +274,17 @@ def stacked_adjacent(spark, d):
 @query("M11_proportional_odds")
 def proportional_odds(spark, d):
     return om.check_proportional_odds(rated(spark, d), "rating", ["gender"], "id", folds=2)
+
+
+@query("M10_dispersion")
+def dispersion(spark, d):
+    """Thresholds, slopes and the dispersion of every city."""
+    fit, groups = lk.fit_dispersion(rated(spark, d), "rating", ["gender"], "city")
+    disc = groups.select(F.concat(F.lit("disc:"), "group").alias("term"), F.col("disc").alias("estimate"), F.col("sd").alias("se"))
+    return fit.estimates().unionByName(disc)
+
+
+@query("M11_chosen_slopes")
+def chosen_slopes(spark, d):
+    """Five models ranked: common slopes in two forms, all specific, and specific for gender or age only."""
+    return om.check_proportional_odds(rated(spark, d), "rating", ["gender", "age_group"], "id", folds=2, chosen=[["gender"], ["age_group"]])

@@ -164,3 +164,31 @@ def test_leave_one_out(spark):
         assert got[g, y].elpd == pytest.approx(want, abs=0.25)
         total += len(part) * (got[g, y].elpd - want)
     assert abs(total) < 1.0
+
+
+def test_dispersion_is_recovered(spark):
+    """Planted scales of three groups, and a score of 0 in every dispersion and common term."""
+    rng = np.random.default_rng(4)
+    n, disc = 12_000, np.array([0.5, 0.0, -0.5])
+    g, city = rng.integers(0, 2, n), rng.integers(0, 3, n)
+    latent = rng.logistic(size=n) / np.exp(disc)[city] + 0.7 * g
+    y = 1 + (latent[:, None] > np.array([-1.2, -0.4, 0.5, 1.3])).sum(1)
+    pdf = pd.DataFrame({"g": [f"g{i}" for i in g], "city": [f"c{i}" for i in city], "y": y.astype("int32")})
+    fit, groups = lk.fit_dispersion(spark.createDataFrame(pdf), "y", ["g"], "city", dispersion_sd=1.0)
+    got = {r.group: r for r in groups.collect()}
+    d = np.array([got[f"c{k}"].disc for k in range(3)])
+    np.testing.assert_allclose(d - d[1], disc, atol=0.08)
+    assert all(0.005 < r.sd < 0.2 for r in got.values())
+    assert fit.mode[4] * np.exp(d[1]) == pytest.approx(0.7, abs=0.1)
+
+    def value(theta):
+        eta, s = theta[4] * g, np.exp(theta[5:])[city]
+        upper, lower = np.append(theta[:4], np.inf), np.append(-np.inf, theta[:4])
+        p = sigmoid(s * (upper[y - 1] - eta)) - sigmoid(s * (lower[y - 1] - eta))
+        return np.log(p).sum() - 0.5 * (((theta[:4] - PRIOR) ** 2).sum() + (theta[4] / 2) ** 2 + (theta[5:] ** 2).sum())
+
+    theta = np.append(fit.mode, d)
+    score = [(value(theta + 1e-4 * e) - value(theta - 1e-4 * e)) / 2e-4 for e in np.eye(8)]
+    np.testing.assert_allclose(score, 0, atol=0.05)
+    curve = om.logistic_curve(groups.withColumn("mu", F.lit(0.0)), "mu", "disc", -5, 5, 11)
+    assert curve.count() == 33

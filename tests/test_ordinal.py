@@ -82,6 +82,16 @@ def test_scores_agree_with_direct_probabilities(answers):
     assert all(r.se_diff >= 0 for r in out.values())
 
 
+def test_slopes_of_chosen_covariates(answers):
+    """A model whose every covariate is chosen is the one with all slopes specific, one without is the common one."""
+    df, _ = answers
+    out = {r.model: r.elpd for r in om.check_proportional_odds(df, "y", ["g", "city"], "id", folds=2, chosen=[["g"], ["g", "city"], []]).collect()}
+    assert set(out) == {"cumulative", "adjacent", "adjacent_specific", "adjacent_g", "adjacent_g_city", "adjacent_"}
+    assert out["adjacent_g_city"] == pytest.approx(out["adjacent_specific"], abs=1e-3)
+    assert out["adjacent_"] == pytest.approx(out["adjacent"], abs=1e-3)
+    assert out["adjacent_g"] != pytest.approx(out["adjacent"], abs=1e-3)
+
+
 def test_compare_scores_with_weights(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(-1, 0.2, 50), rng.normal(-1.2, 0.2, 50)
