@@ -13,6 +13,8 @@ all values instead.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +29,18 @@ WEIGHT = "decimal(28,9)"
 def weighted_values(df: DataFrame, by: list[str], col: str, weight: str | None = None) -> DataFrame:
     """Keys, value ``_v`` and how often it counts, ``_n``; null values and weights that are null or not positive drop out.
 
-    Whole weights stay whole. Others are taken to nine decimals, whose sums are exact in any order.
+    Whole weights stay whole. Others are taken to nine decimals, whose sums are exact in any order; where the
+    largest is very small or very large, all are first multiplied by a power of ten, which ``_n`` keeps as metadata.
     """
     whole = weight is None or isinstance(df.schema[weight].dataType, T.IntegralType)
-    n = (F.col(weight) if weight else F.lit(1)).cast("bigint" if whole else WEIGHT)
-    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"), n.alias("_n"))
+    n, power = (F.col(weight) if weight else F.lit(1)), 0
+    if not whole:
+        peak = df.agg(F.max(F.col(weight).cast("double"))).first()[0] or 0.0
+        if 0 < peak < 1e-3 or 1e12 < peak < float("inf"):
+            power = -math.floor(math.log10(peak))
+            n = n.cast("double") * F.lit(10.0 ** power)
+    n = n.cast("bigint" if whole else WEIGHT)
+    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"), n.alias("_n", metadata={"power": power}))
     return values.where(F.col("_n") > 0) if weight else values
 
 
@@ -86,8 +95,10 @@ def exact_quantiles(values: DataFrame, by: list[str], probs: list[float]) -> Dat
         # Between equal or infinite neighbours there is nothing to interpolate.
         inner = (part > 0) & (below != above) & ((below != float("-inf")) | (above == float("inf")))
         quantiles.append(F.when(inner, below + part * (above - below)).otherwise(below))
+    power = values.schema["_n"].metadata.get("power", 0)
+    total = F.col("n").cast("double") / F.lit(10.0 ** power) if power else F.col("n")
     return found.select(
-        *[F.col(a).alias(k) for k, a in zip(by, keys, strict=True)], "n",
+        *[F.col(a).alias(k) for k, a in zip(by, keys, strict=True)], total.alias("n"),
         F.array(*quantiles).alias("quantiles"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,14 @@ def build_session(app: str = "canvass", master: str | None = None, **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; without the setting, one below the warehouse.
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode without the setting, one below the warehouse.
 
-    Both are places that the driver and all executors see. A machine-local folder is never used: it
-    would vanish with its machine.
+    On a cluster the setting must name a folder that the driver and all executors see. A machine-local
+    folder is never used there: it would vanish with its machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/") if path else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 

@@ -179,3 +179,11 @@ def test_the_source_of_amounts_is_read_once(spark):
     assert read.value == 100
     nm.density(df, ["g"], "x", points=8).collect()
     assert read.value == 200
+
+
+def test_tiny_and_huge_weights_count(spark):
+    for scale in (1e-10, 1.0, 1e14):
+        df = spark.createDataFrame([(1.0, 1.0 * scale), (2.0, 1.5 * scale), (3.0, 1.0 * scale), (9.0, 0.0)], "x double, w double")
+        out = exact_quantiles(weighted_values(df, [], "x", "w"), [], [0.0, 0.5, 0.99]).first()
+        assert list(out.quantiles) == [1.0, 2.0, 3.0]
+        assert float(out.n) == pytest.approx(3.5 * scale)

@@ -174,3 +174,16 @@ def test_group_ids_write_no_text(spark):
     out = ranking.group_ids(df, "t")
     assert out.columns == ["t", "id", "group_id"]
     assert sorted((r.id, r.group_id) for r in out.collect()) == [(1, 3), (2, 2), (3, None), (4, 3), (5, 1), (6, None)]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from canvass.session import shared_dir
+    fake = lambda master, path: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: {"spark.checkpoint.dir": path, "spark.sql.warehouse.dir": "file:/w"}.get(key) or default),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_dir(fake("local[8]", None)) == "file:/w/_scratch" and shared_dir(fake("yarn", "s3://x/")) == "s3://x"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://m:7077"):
+        with pytest.raises(RuntimeError):
+            shared_dir(fake(master, None))
