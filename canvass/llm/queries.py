@@ -85,10 +85,58 @@ def op11_structure_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair.report(talks, repair.damaged(talks))
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: bit by bit over its bytes, with the reflected polynomial."""
+    byte = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda a: CAST(ord(a) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+
+
+OP11 = rf"""WITH RECURSIVE spaced AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 draw FROM conversations),
+  damaged AS (SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM spaced, range(2) again(k) WHERE draw > 0 AND (k = 0 OR draw = 3)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) i FROM damaged),
+  told AS (SELECT *, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END initial,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') short, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) before FROM placed),
+  fault AS (SELECT *, again AND NOT blank dup, short AND NOT blank AND NOT again cut FROM told),
+  ins(a, b, c, letters, lines) AS (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', '|user:'), (0, 3, 4, 'II', '|user:|assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', '|user:'),
+    (1, 3, 4, 'II', '|user:|assistant:'), (2, 2, 0, '', ''), (2, 3, 2, 'I', '|assistant:'), (2, 2, 4, 'II', '|assistant:|user:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', '|user:'),
+    (3, 3, 4, 'II', '|user:|assistant:')),
+  best AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) i, 0 state, struct_pack(cost := CAST(0 AS BIGINT), audit := '', lines := '') v FROM damaged UNION ALL
+    SELECT conv_id, i, state, min(v) FROM (SELECT f.conv_id, f.i, CASE e WHEN 'D' THEN b WHEN 'K' THEN initial WHEN 'R' THEN CASE b WHEN 2 THEN 3 ELSE 2 END END state,
+      struct_pack(cost := CAST(v.cost + c + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN cut AND e <> 'D' THEN 1 ELSE 0 END AS BIGINT), audit := v.audit || letters || e,
+        lines := v.lines || replace(ins.lines, '|', chr(10)) || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+          ELSE chr(10) || CASE b WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || text END) v
+      FROM best JOIN ins ON a = state JOIN fault f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1, (VALUES ('D'), ('K'), ('R')) act(e)
+      WHERE e = 'D' OR (NOT blank AND NOT again AND (e = 'R' OR (b = 0 AND initial IN (1, 2)) OR initial = CASE b WHEN 2 THEN 3 WHEN 0 THEN -1 ELSE 2 END))) t GROUP BY 1, 2, 3),
+  n AS (SELECT conv_id, count(*) rows, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) gaps, count(*) FILTER (blank) blank, count(*) FILTER (dup) duplicate,
+    count(*) FILTER (cut) truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) illegal FROM fault GROUP BY 1),
+  final AS (SELECT n.conv_id, min(struct_pack(cost := v.cost + c, audit := v.audit || letters, lines := v.lines || replace(ins.lines, '|', chr(10)))) v
+    FROM n JOIN best ON best.conv_id IS NOT DISTINCT FROM n.conv_id AND best.i = n.rows JOIN ins ON a = state AND ((a = 0 AND b = 0) OR (a > 0 AND b = 3)) GROUP BY 1)
+  SELECT o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+    coalesce(v.cost, 0) AS cost, coalesce(v.audit, '') audit, sha256(coalesce(substr(v.lines, 2), '')) repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final ON final.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     return prefix_trie.report(table(spark, d, "conversations"))
 
 
+OP12 = f"""WITH own AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) l
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  h AS (SELECT *, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 h FROM own),
+  seq AS (SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) l FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+  m AS (SELECT conv_id, len(l) = d AS whole, l[1:d] p, d FROM (SELECT *, unnest(range(len(l) + 1)) d FROM seq) t),
+  node AS (SELECT p, d, min(conv_id) conv_id, count(*) n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole), '')) ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(p[d].x)) END own_saved FROM m GROUP BY p, d),
+  kids AS (SELECT p[1:d - 1] p, d - 1 d, count(*) n FROM node WHERE d > 0 GROUP BY 1, 2),
+  told AS (SELECT node.*, coalesce(n, 0) n_children FROM node LEFT JOIN kids USING (p, d)),
+  sums AS (SELECT p[1:e] p, e d, count(*) FILTER (n_children = 0) n_leaves, sum(own_saved) saved FROM (SELECT *, unnest(range(d + 1)) e FROM told) t GROUP BY 1, 2)
+  SELECT t.conv_id, CAST(t.d AS BIGINT) AS "depth", up.conv_id parent_conv_id, t.n_convs, t.n_children, n_leaves, CAST(saved AS BIGINT) saved_tokens, t.ends_sha256
+  FROM told t JOIN sums s ON s.d = t.d AND s.p = t.p LEFT JOIN node up ON t.d > 0 AND up.d = t.d - 1 AND up.p = t.p[1:t.d - 1]"""
+
+
 def op13_columnar_search(spark: SparkSession, d: str) -> DataFrame:
     return top_k.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -117,6 +165,6 @@ LLM_QUERIES = {
     "op13_columnar_search": op13_columnar_search,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8, "op13_columnar_search": OP13}
+LLM_SQL = {"op4_poisson_mixing": OP4, "op8_block_naming": OP8, "op11_structure_repair": OP11, "op12_prefix_trie": OP12, "op13_columnar_search": OP13}
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
