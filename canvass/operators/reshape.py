@@ -73,7 +73,10 @@ def split_outside(text: Column, sep: str = ",") -> Column:
         return F.struct(F.when(cut, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
                         F.when(cut, "").otherwise(F.concat(s["open"], m["t"])).alias("open"))
 
-    return F.aggregate(marked, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    folded = F.aggregate(marked, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    # Pairs that are complete and not nested, as in most answers, need no counting: a pattern finds the same separators.
+    flat = text.rlike(r"^[^()]*+(?:\([^()]*+\)[^()]*+)*+\z")
+    return F.when(flat, F.split(text, quoted + r"(?![^()]*\))")).otherwise(folded)
 
 
 def explode_options(df: DataFrame, col: str, sep: str = ",", paren_aware: bool = False, name: str | None = None) -> DataFrame:
