@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canvass.llm import embeddings, exact_dedup, language_model, licenses, minhash, mixing, pieces, prefix_trie, quality, repair, sharding, top_k, toxicity
+from canvass.llm import cross_entropy, embeddings, exact_dedup, licenses, minhash, mixing, pieces, prefix_trie, quality, repair, sharding, top_k, toxicity
 from canvass.llm.common import table
 
 
@@ -71,8 +71,7 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc
 
 def op9_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
     """How much more each document is like the benchmark's texts than like the corpus."""
-    docs = table(spark, d, "documents")
-    return language_model.scored(docs, language_model.train(docs, table(spark, d, "benchmark")))
+    return cross_entropy.compared(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 def op10_merge_dropout(spark: SparkSession, d: str) -> DataFrame:
