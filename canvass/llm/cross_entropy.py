@@ -4,7 +4,7 @@ The models are those of ``language_model`` without shares: the background is cou
 scored, every word and bigram of them counts, and words that only the target has are one unknown word.
 
 1. Words are counted with their text and get 64-bit numbers, hashes under a seed for which no two words of the corpus
-   agree (checked; other seeds are tried). The words and bigrams that make up at least ``OFTEN`` of the corpus, no more
+   agree (checked; other seeds are tried), frequent ones their rank. The words and bigrams that make up at least ``OFTEN`` of the corpus, no more
    than 1 / ``OFTEN`` each, travel to the tasks. A bigram that is not among these makes up less than 2 ``OFTEN``.
 2. Every other bigram goes with its row and its times to the bucket of its word before if that is seldom, else to that
    of its word now if that is seldom, else to one of the bigram. So a bucket sees all occurrences of its bigrams, all
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm import language_model
@@ -49,25 +49,33 @@ PIECE = 1 << 23
 
 
 class Numbers(dict):
-    """Numbers of words: the hash that Spark's ``xxhash64(seed, word)`` gives."""
+    """Codes of words: the rank of a frequent word, -1 - h for others, where h is its key by ``number``."""
 
-    def __init__(self, seed: int):
-        self.seed = xxhash.xxh64_intdigest(struct.pack("<q", seed), 42)
+    def __init__(self, seed: int, ranks: dict[int, int] | None = None):
+        self.seed, self.ranks = xxhash.xxh64_intdigest(struct.pack("<q", seed), 42), ranks or {}
+
+    def key(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word, self.seed) >> 1
 
     def __missing__(self, word: bytes) -> int:
-        n = xxhash.xxh64_intdigest(word, self.seed)
+        h = self.key(word)
+        n = self.ranks.get(h, -1 - h)
         if len(self) >= HELD:
             self.clear()
         self[word] = n
         return n
 
     def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws)).view(np.int64)
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
 
     def fixed(self) -> tuple[int, int]:
-        """Numbers of the empty word before a text and of the unknown word."""
-        begin, unknown = self.of([b"", language_model.UNKNOWN.encode()]).tolist()
-        return begin, unknown
+        """Keys of the empty word before a text and of the unknown word."""
+        return self.key(b""), self.key(language_model.UNKNOWN.encode())
+
+
+def number(seed: int) -> Column:
+    """The key of ``word``: 63 bits of its hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), "word"), 1)
 
 
 def mixed(before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -101,31 +109,24 @@ def place(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def entries(texts: list, rows: np.ndarray, numbers: Numbers) -> tuple[np.ndarray, ...]:
-    """Bigrams of numbers with their row and times, and the words of each text."""
-    begin = np.array([numbers.fixed()[0]])
-    befores, nows, sizes = [], [], np.zeros(len(texts), np.int64)
+def entries(texts: list, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the two words of every bigram, text by text, and the words of each text."""
+    begin = numbers.of([b""])
+    befores, nows, sizes = [begin[:0]], [begin[:0]], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         ids = numbers.of(words(text))
         sizes[i] = len(ids)
         if len(ids):
             befores += [begin, ids[:-1]]
             nows.append(ids)
-    none = [np.zeros(0, np.int64)]
-    before, now, row = np.concatenate(befores or none), np.concatenate(nows or none), np.repeat(rows, sizes)
-    at = np.repeat(np.arange(len(texts)), sizes)
-    # Rows have consecutive runs: bigrams are added up by a hash, and by themselves where hashes agree.
-    order = np.lexsort((mixed(before, now), at))
-    before, now, row, at = before[order], now[order], row[order], at[order]
-    start = runs(before, now, at)
-    return before[start], now[start], row[start], np.diff(np.append(start, len(before))), sizes
+    return np.concatenate(befores), np.concatenate(nows), sizes
 
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Whole-number arrays, each with its bytes ordered by significance, compressed together."""
     head = struct.pack("<H", len(arrays)) + b"".join(struct.pack("<Bq", a.itemsize, len(a)) for a in arrays)
     body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
-    return head + zstandard.ZstdCompressor(level=1).compress(body)
+    return head + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -147,29 +148,24 @@ def bits(n, follows, kept, occurs, total: int, size: int) -> np.ndarray:
     return np.rint(-np.log2(own + left * ((occurs + 0.5) / (total + 0.5 * size))) * UNIT).astype(np.int64)
 
 
-def frequent_pairs(docs: DataFrame, seed: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams of which single pieces of the corpus report at least ``OFTEN`` of all occurrences, sorted by hash."""
-    often, piece = OFTEN, PIECE
+def frequent_pairs(docs: DataFrame, seed: int, total: int, ranks: dict[int, int]) -> np.ndarray:
+    """Bigrams of which single pieces of the corpus report at least ``OFTEN`` of all occurrences, as sorted
+    rank before x number of ranks + rank now. Both words of such a bigram are frequent."""
+    often, piece, width = OFTEN, PIECE, len(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(seed)
+        numbers = Numbers(seed, ranks)
         for batch in batches:
             for texts in pieces(batch.column(0).to_pylist(), piece):
-                before, now, _, times, _ = entries(texts, np.zeros(len(texts), np.int64), numbers)
-                order = np.lexsort((now, before))
-                before, now, times = before[order], now[order], times[order]
-                start = runs(before, now)
-                n = added(times, start)
-                keep = n >= often * times.sum()
-                yield pa.record_batch([before[start][keep], now[start][keep], n[keep]], names=["before", "now", "n"])
-
-    told = docs.select(col("text").alias("text")).where("text IS NOT NULL").mapInArrow(count, "before long, now long, n long")
-    found = told.groupBy("before", "now").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(total * often, 1))).toPandas()
-    before, now = found["before"].to_numpy(np.int64), found["now"].to_numpy(np.int64)
-    order = np.lexsort((now, before, mixed(before, now)))
-    before, now = before[order], now[order]
-    start = runs(mixed(before, now))  # of two with one hash only one is kept apart
-    return before[start], now[start]
+                before, now, _ = entries(texts, numbers)
+                both = (before >= 0) & (now >= 0)
+                pair, n = np.unique(before[both] * width + now[both], return_counts=True)
+                keep = n >= often * len(before)
+                yield pa.record_batch([pair[keep], n[keep]], names=["pair", "n"])
+
+    told = docs.select(col("text").alias("text")).where("text IS NOT NULL").mapInArrow(count, "pair long, n long")
+    found = told.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(total * often, 1))).toPandas()
+    return np.sort(found["pair"].to_numpy(np.int64))
 
 
 def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -182,7 +178,7 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
     counted = materialize(tally(docs, words, "word", "text").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     for seed in range(SEEDS):
-        key = F.xxhash64(F.lit(seed).cast("long"), "word").alias("key")
+        key = number(seed).alias("key")
         fixed = Numbers(seed).fixed()
         keys = counted.select(key)
         if not keys.where(key.isin(*fixed)).head(1) and keys.distinct().count() == size:
@@ -209,10 +205,12 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
     for n in (begin, unknown):
         if n not in set(top["key"]):
             top.loc[len(top)] = {"key": n, "target": 0, "background": 0}
-    top = top.sort_values("key")
-    often, occurs = top["key"].to_numpy(np.int64), top[list(MODELS)].to_numpy(np.int64)
-    hot_before, hot_now = frequent_pairs(docs, seed, total)
-    hot = mixed(hot_before, hot_now)
+    top = top.sort_values(["background", "key"], ascending=[False, True])
+    occurs = top[list(MODELS)].to_numpy(np.int64)
+    ranks = {int(k): i for i, k in enumerate(top["key"])}
+    width = len(ranks)
+    hot = frequent_pairs(docs, seed, total, ranks)
+    hot_before, hot_now = np.divmod(hot, width)
 
     buckets, piece = max(total // ENTRIES, 1) + 1, PIECE
     kind_of = docs.select(col("doc_id").alias("doc_id")).schema["doc_id"].dataType
@@ -223,14 +221,13 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     def dealt(before, now, row, times) -> Iterator[tuple[int, int, bytes]]:
         """Packed entries by kind and bucket."""
-        h = mixed(before, now)
-        at = place(hot, h)
-        is_hot = (at >= 0) & (hot_before[at] == before) & (hot_now[at] == now) if len(hot) else np.zeros(len(h), bool)
+        at = np.where((before >= 0) & (now >= 0), place(hot, before * width + now), -1)
+        is_hot = at >= 0
         if is_hot.any():
             yield HOT, -1 - int(spread_of(row[is_hot][:1])[0]), packed(row[is_hot], at[is_hot].astype(np.int32), times[is_hot])
-        before, now, row, times, h = (x[~is_hot] for x in (before, now, row, times, h))
-        seldom, seldom_now = place(often, before) < 0, place(often, now) < 0
-        spread = np.where(seldom, before, np.where(seldom_now, now, h.view(np.int64)))
+        before, now, row, times = (x[~is_hot] for x in (before, now, row, times))
+        seldom, seldom_now = before < 0, now < 0
+        spread = np.where(seldom, before, np.where(seldom_now, now, mixed(before, now).view(np.int64)))
         # Notes, added up by word.
         both = np.flatnonzero(seldom & seldom_now)
         noted = np.where(row[both] == TARGET, NOTE_TARGET, NOTE)
@@ -242,7 +239,9 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
             before, now, row, times, spread = (np.concatenate(p) for p in (
                 (before, words_), (now, words_), (row, noted), (times, sums), (spread, words_)))
         to = spread_of(spread)
-        order = np.lexsort((now, before, to))
+        order = np.argsort(before)
+        # Few buckets are sorted by their digits.
+        order = order[np.argsort(to[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
         before, now, row, times, to = (x[order] for x in (before, now, row, times, to))
         start = runs(to)
         for i, j in itertools.pairwise(np.append(start, len(to))):
@@ -255,16 +254,16 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
                                names=["bucket", "kind", "data", "row", "doc_id", "key", "v"])
 
     def read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(seed)
+        numbers = Numbers(seed, ranks)
         for batch in batches:
             rows, at = batch.column(0).to_numpy(), 0
             for texts in pieces(batch.column(2).to_pylist(), piece):
                 part = slice(at, at + len(texts))
-                before, now, row, times, sizes = entries(texts, rows[part], numbers)
+                before, now, sizes = entries(texts, numbers)
                 ids = batch.column(1).slice(at, len(texts))
                 at += len(texts)
-                sent = list(dealt(before, now, row, times))
                 n = len(sizes)
+                sent = list(dealt(before, now, np.repeat(rows[part], sizes), np.ones(len(now), np.int64)))
                 yield batch_of(ids, [DOC] * n, -1 - spread_of(rows[part]), [None] * n, rows[part]).set_column(
                     6, "v", pa.array([[s] for s in sizes.tolist()], pa.list_(pa.int64())))
                 kinds, to, data = zip(*sent, strict=True) if sent else ((), (), ())
@@ -275,6 +274,7 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
     def read_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before, now, n = (c.to_numpy() for c in batch.columns)
+            before, now = (np.fromiter((ranks.get(k, -1 - k) for k in keys.tolist()), np.int64, len(keys)) for keys in (before, now))
             sent = list(dealt(before, now, np.full(len(n), TARGET), n))
             kinds, to, data = zip(*sent, strict=True) if sent else ((), (), ())
             yield batch_of(pa.nulls(len(sent), id_type), kinds, to, data, [None] * len(sent))
@@ -296,17 +296,17 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
         before, now = before[start], now[start]
         first = runs(before)
         follows, kept = added(n, first), added(4 * n - np.where(n > 0, int(4 * DISCOUNT), 0), first)
-        rare = place(often, before[first]) < 0
+        rare = before[first] < 0
         sums = np.concatenate([follows, kept], axis=1)  # target, background; target, background in quarters
         per = np.diff(np.append(first, len(before)))
-        both = np.repeat(rare, per) & (place(often, now) < 0)
+        both = (before < 0) & (now < 0)
         mine = np.repeat(both, held) & (row != TARGET)
         pair = np.repeat(np.arange(len(before)), held)[mine]
         asked = np.concatenate([n[pair], np.repeat(sums, per, axis=0)[pair], times[mine][:, None]], axis=1)
         names, row_at = np.unique(row, return_inverse=True)
         known = ~both
         # Occurrences of the seldom words now, for bigrams that lie with them.
-        here = known & (place(often, now) < 0)
+        here = known & (now < 0)
         rare_now, rare_at = np.unique(now[here], return_inverse=True)
         occurring = np.zeros((len(rare_now), 2), np.int64)
         np.add.at(occurring, rare_at, n[here])
@@ -320,7 +320,7 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
         made = [pa.Table.from_pylist(out, schema=fields)]
         listed = lambda a: pa.ListArray.from_arrays(
             pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).ravel()))
-        for kind, rows_, keys_, v in ((BEFORE, None, before[first][~rare], sums[~rare]), (BOTH, row[mine], now[pair], asked)):
+        for kind, rows_, keys_, v in ((BEFORE, None, before[first][~rare], sums[~rare]), (BOTH, row[mine], -1 - now[pair], asked)):
             m = len(keys_)
             made.append(pa.table([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()) if rows_ is None else pa.array(rows_),
                                   pa.nulls(m, fields.field("doc_id").type), pa.array(keys_), listed(v)], names=fields.names).cast(fields))
@@ -345,15 +345,15 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
     hots = held.where(F.col("kind") == HOT).select("data")
     for r in hots.mapInArrow(hot_counts, "at long, target long, background long").groupBy("at").agg(*[F.sum(m).alias(m) for m in MODELS]).collect():
         hot_n[r["at"]] = r["target"], r["background"]
-    sums = np.zeros((len(often), 4), np.int64)
+    sums = np.zeros((width, 4), np.int64)
     told = held.where(F.col("kind") == BEFORE).groupBy("key").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(4)]).toPandas()
-    sums[place(often, told["key"].to_numpy(np.int64))] = told[[f"v{i}" for i in range(4)]].to_numpy(np.int64).reshape(-1, 4)
-    np.add.at(sums, place(often, hot_before), np.concatenate([hot_n, 4 * hot_n - np.where(hot_n > 0, int(4 * DISCOUNT), 0)], axis=1))
+    sums[told["key"].to_numpy(np.int64)] = told[[f"v{i}" for i in range(4)]].to_numpy(np.int64).reshape(-1, 4)
+    np.add.at(sums, hot_before, np.concatenate([hot_n, 4 * hot_n - np.where(hot_n > 0, int(4 * DISCOUNT), 0)], axis=1))
 
     def both_bits(n, follows_kept, occurring) -> list[np.ndarray]:
         return [bits(n[:, m], follows_kept[:, m], follows_kept[:, 2 + m], occurring[:, m], totals[m], size) for m in (0, 1)]
 
-    hot_bits = np.stack(both_bits(hot_n, sums[place(often, hot_before)], occurs[place(often, hot_now)]), axis=1)
+    hot_bits = np.stack(both_bits(hot_n, sums[hot_before], occurs[hot_now]), axis=1)
 
     def summed(row: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(row, kind="stable")
@@ -376,8 +376,7 @@ def compared(docs: DataFrame, target: DataFrame) -> DataFrame:
                 # What a bucket knows of its seldom words goes behind what all know of the frequent ones.
                 n, rare_sums = np.stack([target_n, background_n], axis=1), np.stack(rare_sums, axis=1)
                 own_occurs = np.stack([target_occurs, background_occurs], axis=1)
-                b, w = place(often, before), place(often, now)
-                b, w = np.where(b < 0, len(often) + place(rare, before), b), np.where(w < 0, len(often) + place(rare_now, now), w)
+                b, w = np.where(before < 0, width + place(rare, before), before), np.where(now < 0, width + place(rare_now, now), now)
                 cost = np.stack(both_bits(n, np.concatenate([sums, rare_sums])[b], np.concatenate([occurs, own_occurs])[w]), axis=1)
                 row, own = names[row_at], names[row_at] != TARGET
                 yield summed(row[own], (np.repeat(cost, times_of, axis=0) * times[:, None])[own])

@@ -52,6 +52,7 @@ def test_packed_arrays_and_numbers(spark):
     words = [b"", b"a", "ä".encode(), b"x" * 100, b"\n"]
     frame = spark.createDataFrame([(w.decode(),) for w in words], "w string")
     for seed in (0, 5):
-        got = [r[0] for r in frame.selectExpr(f"xxhash64({seed}L, cast(w AS binary))").collect()]
+        got = [r[0] for r in frame.selectExpr(f"-1 - shiftrightunsigned(xxhash64({seed}L, cast(w AS binary)), 1)").collect()]
         assert got == ce.Numbers(seed).of(words).tolist()
+        assert ce.Numbers(seed, {-1 - got[1]: 7}).of(words).tolist() == [got[0], 7, *got[2:]]
     assert ce.runs(np.array([1, 1, 2])).tolist() == [0, 2]
