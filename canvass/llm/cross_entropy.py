@@ -3,7 +3,7 @@
 The models are those of ``language_model`` without shares: the background is counted on the documents that are
 scored, every word and bigram of them counts, and words that only the target has are one unknown word.
 
-1. Words are counted with their text and get 64-bit numbers, hashes under a seed for which no two words of the corpus
+1. Words are counted with their text and get 63-bit keys, hashes under a seed for which no two words of the corpus
    agree (checked; other seeds are tried), frequent ones their rank. The words and bigrams that make up at least ``OFTEN`` of the corpus, no more
    than 1 / ``OFTEN`` each, travel to the tasks. A bigram that is not among these makes up less than 2 ``OFTEN``.
 2. Every other bigram goes with its row and its times to the bucket of its word before if that is seldom, else to that
