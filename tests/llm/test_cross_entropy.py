@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from canvass.llm import cross_entropy as ce
 from canvass.llm import language_model as lm
@@ -56,3 +57,30 @@ def test_packed_arrays_and_numbers(spark):
         assert got == ce.Numbers(seed).of(words).tolist()
         assert ce.Numbers(seed, {-1 - got[1]: 7}).of(words).tolist() == [got[0], 7, *got[2:]]
     assert ce.runs(np.array([1, 1, 2])).tolist() == [0, 2]
+
+
+def test_sums_of_documents_travel_packed(spark, monkeypatch):
+    """Not a row for every document and bucket, of which there are ever more as the corpus grows."""
+    rng, kind, seen = np.random.default_rng(5), type(spark.range(1)), []
+    docs = spark.createDataFrame([(i, " ".join(f"the w{a} w{b}" for a, b in rng.integers(0, 3000, (20, 2)))) for i in range(400)], "doc_id long, text string")
+    old = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, *a, **k: seen.append((f.__name__, old(df, f, *a, **k))) or seen[-1][1])
+    monkeypatch.setattr(ce, "OFTEN", 0.1)
+    monkeypatch.setattr(ce, "ENTRIES", 1000)
+    assert ce.compared(docs, docs.limit(1)).count() == 400
+    made = [df.count() for name, df in seen if name == "scored"]
+    assert len(made) == 1 and 0 < made[0] <= 400
+
+
+def test_words_of_parts_of_arrays():
+    texts = ["", "a B", None, "  x y", "Z z\n", "x", "", "y", "\x1c\x85a B \t", " ", "Ä é", "q" * 50, ""]
+    for array in (pa.array(texts), pa.array(["k", *texts], pa.large_string())[1:], pa.array([*texts, "k"])[:-1]):
+        for piece in (1, 7, 1 << 20):
+            at = 0
+            for part in ce.parts(array, piece):
+                found, sizes = ce.split(part)
+                want = [lm.words(t) for t in texts[at: at + len(part)]]
+                assert found.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+                at += len(part)
+            assert at == len(texts)
+    assert [ce.small(np.array(a, np.int64)).dtype.itemsize for a in ([], [-128, 127], [128], [-1, 1 << 40])] == [1, 1, 2, 8]
