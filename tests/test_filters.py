@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from canvass.operators import codebook as cb
 from canvass.operators import filters as f
 from canvass.operators import quality, reshape
+from canvass.plans.catalog import QUERIES
 
 
 def names(spark):
@@ -168,3 +169,49 @@ def test_harmonize_sheet_agrees_with_literals(spark):
     for source in ((None, None), ("source", ["a"])):
         want = cb.harmonize_all(df, changes, *source)
         assert rows(cb.harmonize_sheet(df, sheet, *source).select(want.columns)) == rows(want)
+
+
+def test_sums_over_bands_equal_those_of_the_joined_rows(spark):
+    rng = random.Random(11)
+    bands = [(a, a + rng.choice([-2, 0, 1, 5, 300, 4000]), rng.choice([None, -7, 2**62, i])) for i, a in enumerate(rng.choices(range(-500, 5000, 3), k=400))]
+    bands += [(None, 3, 10), (None, 3, 20), (4990, None, None), (None, None, 5), (None, None, None), (7000, 7001, None)]
+    values = [rng.choice([None, *range(-600, 5300, 7), 3, 3, 3, 7000]) for _ in range(500)]
+    b = spark.createDataFrame(bands, "lo long, hi long, points long")
+    v = spark.createDataFrame(list(enumerate(values)), "id int, x long")
+    sums = {"held": F.lit(1), "known": F.col("points").isNotNull().cast("int"), "points": F.col("points").cast("decimal(20,0)")}
+    found = f.band_join(v, "x", b, "lo", "hi", sums=sums)
+    assert found.columns == ["id", "x", *sums]
+    for r in found.collect():
+        fits = [p for lo, hi, p in bands if r.x is not None and (lo is None or lo <= r.x) and (hi is None or r.x <= hi) and not (lo is not None and hi is not None and lo > hi)]
+        known = [p for p in fits if p is not None]
+        assert (r.held, r.known, r.points) == ((len(fits), len(known), sum(known) if known else None) if fits else (None, None, None))
+    assert found.count() == len(values)
+    empty = f.band_join(v, "x", b.limit(0), "lo", "hi", sums=sums)
+    assert empty.count() == 500 and empty.where("held IS NOT NULL OR points IS NOT NULL").isEmpty()
+
+
+def test_interval_join_makes_no_row_per_value_and_band(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    # 2000 orders whose bands all begin at 0 and end within 50, some twice; 1500 lines, nearly all with one of 60 values from 0 on.
+    orders = [100003 * k for k in range(1990)] + [100003 * k for k in range(10)]
+    inverse = pow(13, -1, 100003)
+    lines = [((x - k) * inverse % 100003, k) for x, k in ((rng.randrange(60), rng.randrange(1, 8)) for _ in range(1480))] + [(5, None)] * 10 + [(50000, 3)] * 10
+    spark.createDataFrame([(o,) for o in orders], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+
+    def noted(df, name="table", write=f.materialize):
+        written.append((name, (out := write(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(f, "materialize", noted)
+    got = {r.line: (r.n, r.matches, r.total) for r in QUERIES["J6_interval_join"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for key, line in lines:
+        x = None if line is None else (key * 13 + line) % 100003
+        ids = [o for o in orders if x is not None and o * 7 % 100003 <= x <= o * 7 % 100003 + o % 50]
+        n, matches, total = expected.get(line, (0, 0, None))
+        expected[line] = (n + max(len(ids), 1), matches + len(ids), (total or 0) + sum(ids) if ids else total)
+    assert got == expected
+    assert sum(n for n, _, _ in got.values()) > 10**6
+    assert max(n for _, n in written) <= len(orders) + len(lines), written
